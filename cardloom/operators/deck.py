@@ -26,16 +26,21 @@ def consolidate_deck(
 ) -> DataFrame:
     """Merge the printings of one name: summed quantity, ids, type, mana cost.
 
-    Ids are summed before the card lookup, so a hot deck or card is reduced on the map
-    side and the join sees one row per (deck, id).
+    Type and cost come from the printing listed first (``pos``, else the lowest id). Ids
+    are summed before the card lookup, so a hot deck or card is reduced on the map side
+    and the join sees one row per (deck, id).
     """
-    per_id = decks.groupBy(*by, "grp_id").agg(F.sum("quantity").cast("bigint").alias("q"))
+    first = F.min("pos" if "pos" in decks.columns else "grp_id").alias("__first")
+    per_id = decks.groupBy(*by, "grp_id").agg(
+        F.sum("quantity").cast("bigint").alias("q"), first
+    )
+    at = F.struct("__first", "grp_id")
     named = with_card(per_id, mapping.select("grp_id", "name", "type", "manaCost"))
     return named.groupBy(*by, F.col("card_name").alias("name")).agg(
         F.sum("q").alias("quantity"),
         F.sort_array(F.collect_set("grp_id")).alias("grp_ids"),
-        card_type(F.min_by("type", "grp_id")).alias("card_type"),
-        F.coalesce(F.min_by("manaCost", "grp_id"), F.lit("")).alias("mana_cost"),
+        card_type(F.min_by("type", at)).alias("card_type"),
+        F.coalesce(F.min_by("manaCost", at), F.lit("")).alias("mana_cost"),
     )
 
 
