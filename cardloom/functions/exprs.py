@@ -22,6 +22,18 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def emit(df, keep, fields, where=None):
+    """Project ``fields`` per row and keep rows where ``where(struct)`` holds.
+
+    The generator is a barrier: a filter on the new columns is not pushed below them, so
+    long expressions are evaluated once and are not copied into every condition.
+    """
+    one = F.array(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    if where is not None:
+        one = F.filter(one, where)
+    return df.select(*keep, F.inline(one))
+
+
 def first_text(*cols: Column) -> Column:
     """First value that is neither null nor the empty string."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols])
