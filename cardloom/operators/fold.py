@@ -127,7 +127,10 @@ def fill_deck_name(
 
 
 def session_context(
-    events: DataFrame, by: Sequence[str] = ("player_id",), hot_rows: int = HOT_ROWS
+    events: DataFrame,
+    by: Sequence[str] = ("player_id",),
+    hot_rows: int = HOT_ROWS,
+    order: Sequence[str] = ("seq",),
 ) -> DataFrame:
     """Add what the session knows before each event.
 
@@ -149,7 +152,7 @@ def session_context(
         ).when(end, F.struct(none.alias("i"), none.alias("n"))),
         "__name": F.when(known & ~start & ~end, F.col("deck_name")),
     }
-    out = running_last(events, list(by), ["seq"], values, inclusive=False, hot_rows=hot_rows)
+    out = running_last(events, list(by), list(order), values, inclusive=False, hot_rows=hot_rows)
     return out.select(
         *[col(c) for c in events.columns],
         F.col("__match.x").isNotNull().alias("in_match"),
@@ -210,16 +213,17 @@ def resolve_deck_names(
     summaries: DataFrame,
     by: Sequence[str] = ("player_id",),
     hot_rows: int = HOT_ROWS,
+    order: Sequence[str] = ("seq",),
 ) -> DataFrame:
     """Unknown deck name + known id -> name from the summaries seen before the deck."""
     mark = F.lit(None).cast("string")
     left = decks.withColumn("__sum", mark).withColumn("__is_deck", F.lit(True))
     right = summaries.select(
-        *by, "seq", "deck_id", F.col("deck_name").alias("__sum"), F.lit(False).alias("__is_deck")
+        *by, *order, "deck_id", F.col("deck_name").alias("__sum"), F.lit(False).alias("__is_deck")
     )
     both = left.unionByName(right, allowMissingColumns=True)
     out = running_last(
-        both, [*by, "deck_id"], ["seq"], {"__known": F.col("__sum")}, False, hot_rows
+        both, [*by, "deck_id"], list(order), {"__known": F.col("__sum")}, False, hot_rows
     ).filter("__is_deck")
     unknown = F.coalesce("deck_name", F.lit("")).isin("", UNKNOWN_DECK) & (
         F.coalesce("deck_id", F.lit("")) != ""
