@@ -420,7 +420,7 @@ def _(spark, sf):
 
 @query(
     "zone_cards",
-    f"""WITH {EV} SELECT {FILE}, event_id * 10 AS line_no, 'hand' AS zone, CAST(0 AS INTEGER) AS pos, k + 1 AS grp_id FROM ev
+    f"""WITH {EV} SELECT {FILE}, event_id * 10 AS line_no, 'hand' AS zone, CAST(0 AS INTEGER) AS pos, k + 1 AS grp_id FROM ev WHERE event_id > 0
     UNION ALL SELECT {FILE}, event_id * 10, 'hand', 2, 9 FROM ev
     UNION ALL SELECT {FILE}, event_id * 10, 'exile', 0, k FROM ev WHERE k > 0""",
 )

@@ -83,92 +83,159 @@ def extract_messages(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         c.rlike(_LONE_BRACE).alias("lone"),
         _braces(part).alias("delta"),
     )
-    rows = _with_blocks(marked, hot_rows)
+    rows = _with_blocks(marked, base, hot_rows)
 
-    later = F.col("line_no") > F.col("b")
-    ends = rows.filter(F.col("b").isNotNull()).groupBy("source_file", "b").agg(
-        F.min(F.when(F.col("depth") <= 0, F.col("line_no"))).alias("zero"),
-        F.min(F.when(F.col("lone") & later, F.col("line_no"))).alias("brace"),
-    )
-    candidates = ends.filter(
-        F.col("zero").isNotNull() & (F.col("brace").isNull() | (F.col("zero") <= F.col("brace")))
-    )
-    texts = (
-        rows.join(candidates.select("source_file", "b", "zero"), ["source_file", "b"])
-        .filter(F.col("line_no") <= F.col("zero"))
-        .groupBy("source_file", "b", "zero")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("line_no", "part"))).alias("__p"),
-            F.max_by("line", "line_no").alias("line"),
+    # One group per block that reaches depth zero, and one per line outside blocks.
+    group = F.coalesce("block", "line_no").alias("__g")
+    pieces = F.sort_array(F.collect_list(F.struct("line_no", "part", "line"))).alias("__p")
+    found = (
+        rows.groupBy("source_file", group, "block", "unless_open")
+        .agg(pieces)
+        .select(
+            "source_file",
+            "block",
+            "unless_open",
+            F.element_at("__p", -1).alias("__last"),
+            F.array_join(F.transform("__p", lambda x: x["part"]), "\n").alias("__text"),
         )
         .select(
             "source_file",
-            "b",
-            F.col("zero").alias("line_no"),
-            "line",
-            strict_json(
-                F.array_join(F.transform("__p", lambda p: p["part"]), "\n")
-            ).alias("payload"),
+            "block",
+            "unless_open",
+            F.col("__last.line_no").alias("line_no"),
+            F.col("__last.line").alias("line"),
+            strict_json("__text").alias("payload"),
         )
-        .filter(F.col("payload").isNotNull())
     )
-    closed = ends.join(
-        texts.select("source_file", "b", F.col("line_no").alias("__ok")),
-        ["source_file", "b"],
-        "left",
-    ).select("source_file", "b", F.coalesce("__ok", "brace").alias("__end"), F.lit(True).alias("__in"))
-    outside = (
-        rows.filter(~F.col("start"))
-        .join(closed, ["source_file", "b"], "left")
-        .filter(F.col("__in").isNull() | (F.col("line_no") > F.col("__end")))
+    # A block whose text is no JSON at depth zero stays open up to a lone brace, so the
+    # lines after it that wait for its end are no messages.
+    still_open = found.filter(F.col("block").isNotNull() & F.col("payload").isNull()).select(
+        "source_file", F.col("block").alias("unless_open")
     )
-    embedded = F.regexp_extract("line", r"(?s)\{.*\}", 0)
-    single = (
-        outside.filter(F.col("line").contains("{"))
-        .select("source_file", "line_no", "line", strict_json(embedded).alias("payload"))
-        .filter(F.col("payload").isNotNull())
+    told = (
+        found.filter(F.col("payload").isNotNull())
+        .join(still_open, ["source_file", "unless_open"], "left_anti")
+        .select("source_file", "line_no", "line", "payload")
     )
-    return whole_arrows.unionByName(texts.drop("b")).unionByName(single)
+    return whole_arrows.unionByName(told)
 
 
-def _with_blocks(marked: DataFrame, hot_rows: int) -> DataFrame:
-    """Add the block a line is in (``b``, its first line) and the brace depth after it."""
-    c = split_hot(marked, ["source_file"], ["line_no"], hot_rows)
-    frame = c.window.rowsBetween(Window.unboundedPreceding, 0)
+def _with_blocks(marked: DataFrame, lines: DataFrame, hot_rows: int) -> DataFrame:
+    """Reduce lines to message parts.
 
-    def local(df: DataFrame) -> DataFrame:
-        summed = df.select("*", F.sum("delta").over(frame).alias("__s"))
+    ``block`` is the first line of the block a part belongs to, null outside blocks;
+    ``unless_open`` is the block that must have ended for the line to count. Everything
+    runs on one partitioning by (file, chunk); a hot file hands its state from chunk to
+    chunk through the carries.
+    """
+    c = split_hot(marked, ["source_file"], ["line_no"], hot_rows, sized_by=lines)
+    upto = c.window.rowsBetween(Window.unboundedPreceding, 0)
+    before = c.window.rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(*c._group()).orderBy(F.desc("line_no"))
+    later = Window.partitionBy("source_file").orderBy(F.desc("__chunk")).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    hot_rows_df = c.df.filter(F.col("__lo").isNotNull())
+
+    def depths(df: DataFrame) -> DataFrame:
+        summed = df.select("*", F.sum("delta").over(upto).alias("__s"))
         opened = F.struct(F.col("line_no").alias("b"), (F.col("__s") - F.col("delta")).alias("s"))
         return summed.select("*", F.when(F.col("start"), opened).alias("__open"))
 
-    rows = local(c.df).select("*", F.last("__open", True).over(frame).alias("__blk"))
-    hot = replace(c, df=local(c.df.filter(F.col("__lo").isNotNull())))
-    sums = hot.summary(
-        F.sum("delta").alias("__t"),
-        F.max_by("__open", F.when(F.col("start"), F.col("line_no"))).alias("__o"),
-    )
-    offsets = sums.select(
-        "*", F.coalesce(F.sum("__t").over(c.prefix()), F.lit(0)).alias("__off")
-    )
-    shifted = F.when(
-        F.col("__o").isNotNull(),
-        F.struct(F.col("__o.b").alias("b"), (F.col("__o.s") + F.col("__off")).alias("s")),
-    )
-    carry = offsets.select(*c._group(), "__off", shifted.alias("__o")).select(
-        *c._group(), "__off", F.last("__o", True).over(c.prefix()).alias("__before")
+    def carry() -> DataFrame:
+        sums = replace(c, df=depths(hot_rows_df)).summary(
+            F.sum("delta").alias("__t"),
+            F.max_by("__open", F.when(F.col("start"), F.col("line_no"))).alias("__o"),
+        )
+        offsets = sums.select(
+            "*", F.coalesce(F.sum("__t").over(c.prefix()), F.lit(0)).alias("__off")
+        )
+        shifted = F.when(
+            F.col("__o").isNotNull(),
+            F.struct(F.col("__o.b").alias("b"), (F.col("__o.s") + F.col("__off")).alias("s")),
+        )
+        return offsets.select(*c.chunk_key(), "__off", shifted.alias("__o")).select(
+            *c.chunk_key(), "__off", F.last("__o", True).over(c.prefix()).alias("__before")
+        )
+
+    keep = [*marked.columns, "__chunk", "__lo"]
+
+    def blocks(df: DataFrame) -> DataFrame:
+        placed = c.attach(
+            depths(df).select("*", F.last("__open", True).over(upto).alias("__blk")),
+            carry,
+            {"__off": "bigint", "__before": "__blk"},
+        )
+        off = F.coalesce("__off", F.lit(0))
+        base = F.coalesce(F.col("__blk.s") + off, F.col("__before.s"))
+        b = F.coalesce("__blk.b", "__before.b")
+        told = placed.select(*keep, b.alias("b"), (F.col("__s") + off - base).alias("depth"))
+        line = F.col("line_no")
+        return told.select(
+            "*",
+            F.when(F.col("depth") <= 0, line).alias("__zero"),
+            F.when(F.col("lone") & (line > F.col("b")), line).alias("__brace"),
+        )
+
+    def ends_carry() -> DataFrame:
+        ends = replace(c, df=blocks(hot_rows_df)).summary(
+            F.max("__zero").alias("__z"), F.max("__brace").alias("__l")
+        )
+        return ends.select(
+            *c.chunk_key(),
+            F.last("__z", True).over(c.prefix()).alias("__zero_old"),
+            F.last("__l", True).over(c.prefix()).alias("__brace_old"),
+        )
+
+    def states(df: DataFrame) -> DataFrame:
+        seen = blocks(df).select(
+            "*",
+            F.last("__zero", True).over(before).alias("__zero_in"),
+            F.last("__brace", True).over(before).alias("__brace_in"),
+        )
+        b = F.col("b")
+        like = {"__zero_old": "bigint", "__brace_old": "bigint"}
+        out = c.attach(seen, ends_carry, like).select(
+            *keep,
+            "b",
+            "__zero",
+            (F.coalesce("__zero_in", "__zero_old") > b).alias("after_zero"),
+            (F.coalesce("__brace_in", "__brace_old") > b).alias("after_brace"),
+        )
+        no = F.lit(False)
+        is_open = b.isNotNull() & ~F.coalesce("after_zero", no) & ~F.coalesce("after_brace", no)
+        staged = out.select("*", is_open.alias("open"))
+        hit = F.when(F.col("open") & F.col("__zero").isNotNull(), F.struct("line_no", "b"))
+        return staged.select("*", hit.alias("__hit"))
+
+    def firsts_carry() -> DataFrame:
+        firsts = replace(c, df=states(hot_rows_df)).summary(
+            F.min_by("__hit", F.when(F.col("__hit").isNotNull(), F.col("line_no"))).alias("__h")
+        )
+        return firsts.select(
+            *c.chunk_key(), F.last("__h", True).over(later).alias("__hit_new")
+        )
+
+    ahead = states(c.df).select(
+        "*",
+        F.last("__hit", True)
+        .over(back.rowsBetween(Window.unboundedPreceding, 0))
+        .alias("__hit_in"),
     )
-    placed = c.attach(rows, carry)
-    off = F.coalesce("__off", F.lit(0))
-    base = F.coalesce(F.col("__blk.s") + off, F.col("__before.s"))
-    return placed.select(
+    full = c.attach(ahead, firsts_carry, {"__hit_new": "__hit_in"})
+    b = F.col("b")
+    reaches = F.col("open") & (F.coalesce("__hit_in", "__hit_new")["b"] == b)
+    outside = ~F.col("open") & ~F.col("start") & F.col("line").contains("{")
+    waits = F.col("after_zero") & ~F.coalesce("after_brace", F.lit(False))
+    return full.filter(F.coalesce(reaches, F.lit(False)) | outside).select(
         "source_file",
         "line_no",
         "line",
-        "start",
-        "part",
-        "lone",
-        F.coalesce("__blk.b", "__before.b").alias("b"),
-        (F.col("__s") + off - base).alias("depth"),
+        F.when(F.col("open"), F.col("part"))
+        .otherwise(F.regexp_extract("line", r"(?s)\{.*\}", 0))
+        .alias("part"),
+        F.when(F.col("open"), b).alias("block"),
+        F.when(~F.col("open") & waits, b).alias("unless_open"),
     )
 
 

@@ -11,8 +11,9 @@ here works in three steps:
    the carry back to the rows of the chunk.
 
 The hot-key table and the carry table have at most ``rows / hot_rows`` (+ one per hot
-key) entries, which is the size bound behind the two ``broadcast`` hints. Keys below
-the limit take the plain window path: their chunk is always 0 and nothing is carried.
+key) entries, which is the size bound behind the two ``broadcast`` hints. Whether there
+is a hot key at all is asked once, by a job over the key and order columns; without one
+the plan is the plain window and nothing is joined.
 
 The first order column must be numeric, date or timestamp (it is what gets cut); the
 others are tie-breakers. Rows that tie on the first column stay in one chunk.
@@ -20,7 +21,7 @@ others are tie-breakers. Rows that tie on the first column stay in one chunk.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -65,18 +66,23 @@ class Chunked:
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
+    hot: bool
 
     @property
     def window(self):
         return Window.partitionBy(*self._group()).orderBy(*[col(o) for o in self.order])
 
     def _group(self) -> list[Column]:
+        keys = [col(k) for k in self.keys]
+        return [*keys, F.col(_CHUNK)] if self.hot else keys
+
+    def chunk_key(self) -> list[Column]:
         return [*[col(k) for k in self.keys], F.col(_CHUNK)]
 
     def summary(self, *aggs: Column) -> DataFrame:
         """One row per chunk of a hot key."""
         hot = self.df.filter(F.col(_LO).isNotNull())
-        return hot.groupBy(*self._group()).agg(*aggs)
+        return hot.groupBy(*self.chunk_key()).agg(*aggs)
 
     def prefix(self):
         """Frame over all earlier chunks of the key (runs on summaries only)."""
@@ -87,9 +93,23 @@ class Chunked:
             .rowsBetween(Window.unboundedPreceding, -1)
         )
 
-    def attach(self, rows: DataFrame, carry: DataFrame) -> DataFrame:
-        """Left-join the per-chunk carry back onto the rows."""
+    def attach(
+        self,
+        rows: DataFrame,
+        make_carry: Callable[[], DataFrame],
+        like: Mapping[str, str],
+    ) -> DataFrame:
+        """Left-join the per-chunk carry back onto the rows.
+
+        ``like`` names the carry columns and a column (or type) of the same type; without a
+        hot key they are null and the carry is not even planned.
+        """
         names = [*self.keys, _CHUNK]
+        if not self.hot:
+            types = {f.name: f.dataType for f in rows.schema.fields}
+            nulls = [F.lit(None).cast(types.get(t, t)).alias(n) for n, t in like.items()]
+            return rows.select("*", *nulls)
+        carry = make_carry()
         renamed = carry.select(
             *[col(n).alias(f"__r{i}") for i, n in enumerate(names)],
             *[col(c) for c in carry.columns if c not in names],
@@ -101,16 +121,22 @@ class Chunked:
         joined = rows.join(F.broadcast(renamed), on, "left")
         return joined.drop(*[f"__r{i}" for i in range(len(names))])
 
-    def clean(self, rows: DataFrame, *extra: str) -> DataFrame:
-        return rows.drop(_CHUNK, _LO, _WIDTH, *extra)
-
 
 def split_hot(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    hot_rows: int = HOT_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> Chunked:
-    """Number the chunks of every key that holds more than ``hot_rows`` rows."""
+    """Number the chunks of every key that holds more than ``hot_rows`` rows.
+
+    ``sized_by`` is a cheaper table with the same keys and order values (or more of them)
+    to count on.
+    """
     pos = position(df, order[0])
-    per_key = df.groupBy(*[col(k) for k in keys]) if keys else df.groupBy()
+    source = df if sized_by is None else sized_by
+    per_key = source.groupBy(*[col(k) for k in keys]) if keys else source.groupBy()
     chunks = F.ceil(F.col("__n") / F.lit(hot_rows))
     hot = (
         per_key.agg(
@@ -125,6 +151,12 @@ def split_hot(
             F.ceil((F.col("__hi") - F.col(_LO) + 1) / chunks).alias(_WIDTH),
         )
     )
+    if hot.isEmpty():
+        none = F.lit(None).cast("bigint")
+        plain = df.select(
+            "*", none.alias(_LO), none.alias(_WIDTH), F.lit(0).cast("bigint").alias(_CHUNK)
+        )
+        return Chunked(plain, tuple(keys), tuple(order), False)
     if keys:
         on = reduce(
             lambda a, b: a & b,
@@ -145,7 +177,7 @@ def split_hot(
         F.coalesce(F.floor((pos - F.col(_LO)) / F.col(_WIDTH)), F.lit(-1))
     )
     return Chunked(
-        sized.withColumn(_CHUNK, chunk.cast("bigint")), tuple(keys), tuple(order)
+        sized.withColumn(_CHUNK, chunk.cast("bigint")), tuple(keys), tuple(order), True
     )
 
 
@@ -169,18 +201,24 @@ def running_last(
     rows = c.df.select(
         "*", *[F.last(t, ignorenulls=True).over(frame).alias(f"{t}_in") for t in tmp.values()]
     )
-    at = _order_struct(order)
-    latest = c.summary(
-        *[
-            F.max_by(F.col(t), F.when(F.col(t).isNotNull(), at)).alias(t)
-            for t in tmp.values()
-        ]
-    )
-    carry = latest.select(
-        *c._group(),
-        *[F.last(t, ignorenulls=True).over(c.prefix()).alias(f"{t}_before") for t in tmp.values()],
-    )
-    out = c.attach(rows, carry)
+
+    def carry() -> DataFrame:
+        at = _order_struct(order)
+        latest = c.summary(
+            *[
+                F.max_by(F.col(t), F.when(F.col(t).isNotNull(), at)).alias(t)
+                for t in tmp.values()
+            ]
+        )
+        return latest.select(
+            *c.chunk_key(),
+            *[
+                F.last(t, ignorenulls=True).over(c.prefix()).alias(f"{t}_before")
+                for t in tmp.values()
+            ],
+        )
+
+    out = c.attach(rows, carry, {f"{t}_before": f"{t}_in" for t in tmp.values()})
     picked = [
         F.coalesce(F.col(f"{t}_in"), F.col(f"{t}_before")).alias(n) for n, t in tmp.items()
     ]
@@ -213,9 +251,12 @@ def row_positions(
     """Add the 1-based position of each row in its key, and the key's row count."""
     c = split_hot(df, keys, order, hot_rows)
     rows = c.df.select("*", F.row_number().over(c.window).alias("__rn"))
-    counts = c.summary(F.count(F.lit(1)).alias("__cn"))
-    carry = counts.select(*c._group(), F.sum("__cn").over(c.prefix()).alias("__off"))
-    placed = c.attach(rows, carry)
+
+    def carry() -> DataFrame:
+        counts = c.summary(F.count(F.lit(1)).alias("__cn"))
+        return counts.select(*c.chunk_key(), F.sum("__cn").over(c.prefix()).alias("__off"))
+
+    placed = c.attach(rows, carry, {"__off": "bigint"})
     base = [col(x) for x in df.columns]
     pos = (F.col("__rn") + F.coalesce(F.col("__off"), F.lit(0))).cast("bigint").alias(out)
     placed = placed.select(*base, pos)
@@ -249,11 +290,13 @@ def running_sum(
     c = split_hot(valued, keys, order, hot_rows)
     frame = c.window.rowsBetween(Window.unboundedPreceding, 0)
     rows = c.df.select("*", *[F.sum(t).over(frame).alias(f"{t}_in") for t in tmp.values()])
-    sums = c.summary(*[F.sum(t).alias(t) for t in tmp.values()])
-    carry = sums.select(
-        *c._group(), *[F.sum(t).over(c.prefix()).alias(f"{t}_before") for t in tmp.values()]
-    )
-    out = c.attach(rows, carry)
+
+    def carry() -> DataFrame:
+        sums = c.summary(*[F.sum(t).alias(t) for t in tmp.values()])
+        before = [F.sum(t).over(c.prefix()).alias(f"{t}_before") for t in tmp.values()]
+        return sums.select(*c.chunk_key(), *before)
+
+    out = c.attach(rows, carry, {f"{t}_before": f"{t}_in" for t in tmp.values()})
     zero = F.lit(0)
     picked = [
         (F.coalesce(F.col(f"{t}_in"), zero) + F.coalesce(F.col(f"{t}_before"), zero)).alias(n)
@@ -289,33 +332,37 @@ def rolling_count(
         F.row_number().over(c.window).alias("__rn"),
         F.sum("__f").over(last_k).alias("__in"),
     )
-    hot = c.df.filter(F.col(_LO).isNotNull())
-    tails = (
-        hot.select(*c._group(), "__f", F.row_number().over(back).alias("__b"))
-        .filter(F.col("__b") < k)
-        .groupBy(*c._group())
-        .agg(F.sort_array(F.collect_list(F.struct((-F.col("__b")).alias("p"), "__f"))).alias("__t"))
-    )
-    counts = c.summary(F.count(F.lit(1)).alias("__cn"))
-    chunk_facts = tails.join(
-        counts.select(
-            *[col(x).alias(f"__k{i}") for i, x in enumerate([*c.keys, _CHUNK])], "__cn"
-        ),
-        reduce(
-            lambda a, b: a & b,
-            [_same(col(x), F.col(f"__k{i}")) for i, x in enumerate([*c.keys, _CHUNK])],
-        ),
-    )
-    keyed = Window.partitionBy(*([col(x) for x in c.keys] or [F.lit(0)])).orderBy(_CHUNK)
-    joined_tails = F.flatten(
-        F.collect_list(F.col("__t.__f")).over(keyed.rowsBetween(-(k - 1), -1))
-    )
-    carry = chunk_facts.select(
-        *c._group(),
-        F.sum("__cn").over(c.prefix()).alias("__off"),
-        F.reverse(joined_tails).alias("__back"),
-    )
-    placed = c.attach(rows, carry)
+
+    def carry() -> DataFrame:
+        hot = c.df.filter(F.col(_LO).isNotNull())
+        tails = (
+            hot.select(*c.chunk_key(), "__f", F.row_number().over(back).alias("__b"))
+            .filter(F.col("__b") < k)
+            .groupBy(*c.chunk_key())
+            .agg(
+                F.sort_array(
+                    F.collect_list(F.struct((-F.col("__b")).alias("p"), "__f"))
+                ).alias("__t")
+            )
+        )
+        names = [*c.keys, _CHUNK]
+        counts = c.summary(F.count(F.lit(1)).alias("__cn")).select(
+            *[col(x).alias(f"__k{i}") for i, x in enumerate(names)], "__cn"
+        )
+        on = reduce(
+            lambda a, b: a & b, [_same(col(x), F.col(f"__k{i}")) for i, x in enumerate(names)]
+        )
+        keyed = Window.partitionBy(*([col(x) for x in c.keys] or [F.lit(0)])).orderBy(_CHUNK)
+        joined_tails = F.flatten(
+            F.collect_list(F.col("__t.__f")).over(keyed.rowsBetween(-(k - 1), -1))
+        )
+        return tails.join(counts, on).select(
+            *c.chunk_key(),
+            F.sum("__cn").over(c.prefix()).alias("__off"),
+            F.reverse(joined_tails).alias("__back"),
+        )
+
+    placed = c.attach(rows, carry, {"__off": "bigint", "__back": "array<int>"})
     missing = F.greatest(F.lit(k) - F.col("__rn"), F.lit(0))
     before = F.aggregate(
         F.slice(F.coalesce(F.col("__back"), F.array().cast("array<int>")), F.lit(1), missing),

@@ -12,6 +12,7 @@ from cardloom.operators import events as E
 from cardloom.operators import fold
 from cardloom.operators import messages as M
 from cardloom.operators.ordered import HOT_ROWS, row_positions
+from cardloom.plans.staging import stage
 from cardloom.sources.scan import log_files
 
 FILE_BITS = 41  # positions inside one file stay below 2**41
@@ -52,8 +53,9 @@ class LogEvents:
 
 def events_of(lines: DataFrame, platform: str = "Mac", hot_rows: int = HOT_ROWS) -> LogEvents:
     """Every typed event table of a line table."""
-    messages = M.extract_messages(lines, hot_rows)
-    routed = M.route(messages)
+    # Messages and routed messages feed a dozen tables each: written once, read by kind.
+    messages = stage(M.extract_messages(lines, hot_rows), "messages")
+    routed = stage(M.route(messages), "routed", "kind")
     starts = E.match_starts(routed, platform)
     decks = E.deck_identity(E.deck_from_message(routed))
     course_cards, course_picks = E.course_decks(routed)
@@ -146,8 +148,8 @@ def tables_of(
         order=["line", "tie"],
     )
     picks = _flat(seen(ev.selections).select("player_id", "seq", "deck_id", "deck_name"))
-    starts = _flat(seen(ev.match_starts))
-    ends = _flat(seen(ev.match_ends))
+    starts = stage(_flat(seen(ev.match_starts)), "starts")
+    ends = stage(_flat(seen(ev.match_ends)), "ends")
     states = _flat(seen(ev.game_states))
     base = ["player_id", "line", "tie", "seq"]
 
@@ -162,7 +164,9 @@ def tables_of(
         .unionByName(tagged(states, "state", "turn", "player_life", "opponent_life",
                             "life_reported", "opponent_life_reported"), allowMissingColumns=True)
     )
-    context = fold.session_context(stream, hot_rows=hot_rows, order=["line", "tie"])
+    context = stage(
+        fold.session_context(stream, hot_rows=hot_rows, order=["line", "tie"]), "context", "kind"
+    )
     at_start = context.filter("kind = 'match_start'").select(
         "player_id", "seq", F.col("current_deck_name").alias("deck_name")
     )
