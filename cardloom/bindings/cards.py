@@ -41,6 +41,8 @@ def bulk(spark, sf):
     )
     face = lambda u, i: F.struct(
         F.concat_ws("/", "name", F.lit(str(i))).alias("name"),
+        *[none.alias(n) for n in K.FACE_FIELDS[1:]],
+        F.lit(None).cast("array<string>").alias("colors"),
         uris(u, none).alias("image_uris"),
     )
     return b.select(

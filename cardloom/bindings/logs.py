@@ -7,6 +7,7 @@ from cardloom.functions.variants import text, whole
 from cardloom.operators import events as E
 from cardloom.operators import messages as M
 from cardloom.plans import log_flow
+from cardloom.plans.staging import stage
 
 K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k"
 EV = f"ev AS (SELECT event_id, user_id, event_type, ts, {K} FROM events)"
@@ -331,7 +332,7 @@ def order_lines(spark, sf, file_sql=ORDER_FILE, *extra):
 
 
 def order_routed(spark, sf):
-    return M.route(M.extract_messages(order_lines(spark, sf)))
+    return stage(M.route(M.extract_messages(order_lines(spark, sf))), "routed", "kind")
 
 
 MAC = "o_orderkey % 3 = 0"

@@ -51,10 +51,11 @@ class LogEvents:
     selections: DataFrame
 
 
-def events_of(lines: DataFrame, platform: str = "Mac", hot_rows: int = HOT_ROWS) -> LogEvents:
-    """Every typed event table of a line table."""
-    # Messages and routed messages feed a dozen tables each: written once, read by kind.
-    messages = stage(M.extract_messages(lines, hot_rows), "messages")
+def events_of(
+    messages: DataFrame, platform: str = "Mac", hot_rows: int = HOT_ROWS
+) -> LogEvents:
+    """Every typed event table of a message table (rows of ``extract_messages``)."""
+    # Routed messages feed a dozen tables: written once, read by kind.
     routed = stage(M.route(messages), "routed", "kind")
     starts = E.match_starts(routed, platform)
     decks = E.deck_identity(E.deck_from_message(routed))
@@ -134,8 +135,15 @@ def tables_of(
     Event times are those of the log file, since the lines carry none.
     """
     lines = with_player(lines)
-    files = file_order(lines)
-    ev = events_of(lines, platform, hot_rows)
+    messages = stage(M.extract_messages(lines, hot_rows), "messages")
+    return tables_of_messages(messages, file_order(lines), platform, hot_rows)
+
+
+def tables_of_messages(
+    messages: DataFrame, files: DataFrame, platform: str = "Mac", hot_rows: int = HOT_ROWS
+) -> LogTables:
+    """The same from a stored message table and the order of its files."""
+    ev = events_of(messages, platform, hot_rows)
 
     def seen(df: DataFrame) -> DataFrame:
         return ordered(df, files)
