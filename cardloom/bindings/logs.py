@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cardloom.bindings.registry import query, table, view
+from cardloom.functions.exprs import emit
 from cardloom.functions.variants import text, whole
 from cardloom.operators import events as E
 from cardloom.operators import messages as M
@@ -30,7 +31,8 @@ def _exploded(df, lines_sql: str):
 
 def _single(df, json_sql: str):
     """One JSON line per event."""
-    return df.selectExpr(FILE, "event_id * 10 AS line_no", f"{json_sql} AS line")
+    placed = df.selectExpr("*", FILE, "event_id * 10 AS line_no")
+    return emit(placed, ["source_file", "line_no"], {"line": F.expr(json_sql)})
 
 
 def _messages(df, json_sql: str):

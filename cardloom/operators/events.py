@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.functions.exprs import as_col, col, first_text, parse_int
+from cardloom.functions.exprs import as_col, col, emit, first_text, parse_int
 from cardloom.functions.variants import (
     first_items,
     first_obj,
@@ -121,10 +121,8 @@ def _first_telling(routed: DataFrame) -> DataFrame:
         F.col("__m"), lambda m: m["state"].isNotNull() | _has_cards(m["deck"])
     )
     keep = [c for c in routed.columns if c != "payload"]
-    return (
-        routed.select("*", F.when(F.col("kind") == "gre", entries).alias("__m"))
-        .select(*keep, "payload", F.try_element_at(telling, F.lit(1)).alias("told"))
-    )
+    staged = emit(routed, [*keep, "payload"], {"__m": F.when(F.col("kind") == "gre", entries)})
+    return emit(staged, [*keep, "payload"], {"told": F.try_element_at(telling, F.lit(1))})
 
 
 def deck_from_message(routed: DataFrame) -> DataFrame:
@@ -151,14 +149,10 @@ def deck_from_message(routed: DataFrame) -> DataFrame:
         F.when(F.col("told.state").isNull(), F.col("told.deck")).alias("d6"),
     )
     req = F.col("req")
-    opened = placed.select(
-        *at,
-        "d1",
-        "d2",
-        F.coalesce(obj(req, "$.Payload"), strict_json(text(req, "$.Payload"))).alias("d3"),
-        "d4",
-        "d5",
-        "d6",
+    opened = emit(
+        placed,
+        [*at, "d1", "d2", "d4", "d5", "d6"],
+        {"d3": F.coalesce(obj(req, "$.Payload"), strict_json(text(req, "$.Payload")))},
     )
     d3 = F.col("d3")
     asked = F.when(
@@ -168,10 +162,11 @@ def deck_from_message(routed: DataFrame) -> DataFrame:
         d3,
     )
     places = F.array("d1", "d2", asked, "d4", "d5", "d6")
-    return (
-        opened.select(*at, F.filter(places, _has_cards).alias("__d"))
-        .select(*at, F.try_element_at("__d", F.lit(1)).alias("deck"))
-        .filter(F.col("deck").isNotNull())
+    return emit(
+        opened,
+        at,
+        {"deck": F.try_element_at(F.filter(places, _has_cards), F.lit(1))},
+        lambda r: r["deck"].isNotNull(),
     )
 
 
@@ -301,9 +296,12 @@ def _inventory_block(p: Column) -> Column:
 def inventory_events(routed: DataFrame) -> DataFrame:
     """Inventory snapshots; a missing or non-numeric value is 0, vault is in percent."""
     b = F.col("b")
-    rows = routed.filter(F.col("kind") == "inventory").select(
-        *_where(routed), _inventory_block(F.col("payload")).alias("b")
-    ).filter(b.isNotNull())
+    rows = emit(
+        routed.filter(F.col("kind") == "inventory"),
+        _where(routed),
+        {"b": _inventory_block(F.col("payload"))},
+        lambda r: r["b"].isNotNull(),
+    )
     return rows.select(
         *_where(routed),
         *[number(b, *keys).cast("bigint").alias(n) for n, keys in INVENTORY_FIELDS.items()],
@@ -314,8 +312,10 @@ def inventory_events(routed: DataFrame) -> DataFrame:
 def boosters(routed: DataFrame) -> DataFrame:
     """One row per booster entry of an inventory."""
     at = _where(routed)
-    blocks = routed.filter(F.col("kind") == "inventory").select(
-        *at, _inventory_block(F.col("payload")).alias("b")
+    blocks = emit(
+        routed.filter(F.col("kind") == "inventory"),
+        at,
+        {"b": _inventory_block(F.col("payload"))},
     )
     rows = blocks.select(
         *at, F.posexplode(first_items(F.col("b"), "Boosters", "boosters")).alias("pos", "x")
@@ -341,7 +341,7 @@ def collection_events(routed: DataFrame) -> DataFrame:
         *[sub(p, f"$.{k}") for k in COLLECTION_FIELDS],
         *[sub(p, f"$.payload.{k}") for k in COLLECTION_FIELDS],
     )
-    found = routed.filter(F.col("kind") == "inventory").select(*at, field.alias("c"))
+    found = emit(routed.filter(F.col("kind") == "inventory"), at, {"c": field})
     none = F.lit(None).cast("bigint")
 
     def row(grp_id: Column, quantity: Column) -> Column:
@@ -397,10 +397,11 @@ def local_player(players: Column | str, platform: str = "Mac") -> Column:
 
 def _rooms(routed: DataFrame, state: str) -> DataFrame:
     room = obj(F.col("payload"), "$.matchGameRoomStateChangedEvent.gameRoomInfo")
-    return (
-        routed.filter(F.col("kind") == "match")
-        .select(*_where(routed), room.alias("room"))
-        .filter(text(F.col("room"), "$.stateType") == state)
+    return emit(
+        routed.filter(F.col("kind") == "match"),
+        _where(routed),
+        {"room": room},
+        lambda r: text(r["room"], "$.stateType") == state,
     )
 
 
@@ -413,9 +414,12 @@ def match_starts(routed: DataFrame, platform: str = "Mac") -> DataFrame:
         obj(r, "$.gameRoomConfig").alias("cfg"),
         F.try_variant_get(r, "$.gameRoomConfig.reservedPlayers", PLAYERS).alias("players"),
     )
-    rows = rows.select(
-        *at, "cfg", "players", local_player("players", platform).alias("me")
-    ).filter(F.col("cfg").isNotNull() & F.col("me").isNotNull())
+    rows = emit(
+        rows.filter(F.col("cfg").isNotNull()),
+        [*at, "cfg", "players"],
+        {"me": local_player("players", platform)},
+        lambda r: r["me"].isNotNull(),
+    )
     me = F.col("me")
     other = F.coalesce(
         F.try_element_at(

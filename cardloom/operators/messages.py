@@ -64,15 +64,16 @@ def extract_messages(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     rest = F.expr("substring(line, locate('{', line))")
     base = lines.select("source_file", "line_no", "line")
 
-    whole_arrows = (
-        base.filter(arrow)
-        .select("*", strict_json(rest).alias("payload"))
-        .filter(F.col("payload").isNotNull())
+    cols = ["source_file", "line_no", "line"]
+    whole_arrows = emit(
+        base.filter(arrow), cols, {"payload": strict_json(rest)}, lambda r: r["payload"].isNotNull()
+    )
+    others = emit(
+        base,
+        cols,
+        {"__start": F.when(arrow, strict_json(rest).isNull())},
+        lambda r: F.coalesce(r["__start"], F.lit(True)),
     )
-
-    others = base.select(
-        "*", F.when(arrow, strict_json(rest).isNull()).alias("__start")
-    ).filter(F.col("__start").isNull() | F.col("__start"))
     part = F.when(F.col("__start"), rest).otherwise(c)
     marked = others.select(
         "source_file",
@@ -98,14 +99,15 @@ def extract_messages(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
             F.element_at("__p", -1).alias("__last"),
             F.array_join(F.transform("__p", lambda x: x["part"]), "\n").alias("__text"),
         )
-        .select(
-            "source_file",
-            "block",
-            "unless_open",
-            F.col("__last.line_no").alias("line_no"),
-            F.col("__last.line").alias("line"),
-            strict_json("__text").alias("payload"),
-        )
+    )
+    found = emit(
+        found,
+        ["source_file", "block", "unless_open"],
+        {
+            "line_no": F.col("__last.line_no"),
+            "line": F.col("__last.line"),
+            "payload": strict_json("__text"),
+        },
     )
     # A block whose text is no JSON at depth zero stays open up to a lone brace, so the
     # lines after it that wait for its end are no messages.
