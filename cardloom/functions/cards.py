@@ -117,7 +117,9 @@ def decode_colours(codes: Column | str) -> Column:
     table = F.create_map(
         *[F.lit(x) for k, v in COLOUR_CODES.items() for x in (str(k), v)]
     )
-    parts = F.transform(F.split(F.coalesce(as_col(codes), F.lit("")), ","), F.trim)
+    parts = F.transform(
+        F.split(F.coalesce(as_col(codes), F.lit("")), ","), lambda p: F.trim(p)
+    )
     numbers = F.transform(
         F.filter(parts, lambda p: p != ""),
         lambda p: F.coalesce(p.try_cast("bigint").cast("string"), p),

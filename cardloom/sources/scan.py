@@ -40,7 +40,7 @@ identifiers:struct<mtgArenaId:string>>>>>
 """
 
 
-def file_position() -> Column:
+def file_position(block_start: Column | None = None) -> Column:
     """Order of a row inside its file, growing but not gap-free.
 
     A file is read in blocks; a block that is followed by another one is a partition of its
@@ -48,8 +48,9 @@ def file_position() -> Column:
     ``2 * block start + row number`` grows through the whole file. No shuffle, no
     whole-file rows, and a retried task gives the same numbers.
     """
+    start = F.col("_metadata.file_block_start") if block_start is None else block_start
     in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return F.col("_metadata.file_block_start") * 2 + in_partition
+    return start * 2 + in_partition
 
 
 def read_header(spark: SparkSession, path: str) -> list[str]:
@@ -139,27 +140,39 @@ def read_processed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _log_lines(rows: DataFrame) -> DataFrame:
-    # The position is taken before blank lines go, and "\n" alone ends a line.
-    numbered = rows.select(
+def _raw_lines(rows: DataFrame) -> DataFrame:
+    return rows.select(
         F.url_decode(F.col("_metadata.file_name")).alias("source_file"),
-        file_position().alias("line_no"),
+        F.col("_metadata.file_block_start").alias("block_start"),
         F.col("value").alias("line"),
     )
+
+
+def number_lines(raw: DataFrame) -> DataFrame:
+    """Raw lines as scanned -> ``source_file``, ``line_no``, ``line`` without blank lines.
+
+    The position is taken straight above the scan, before the blank lines go.
+    """
+    numbered = raw.select(
+        "source_file", file_position(F.col("block_start")).alias("line_no"), "line"
+    )
     return numbered.filter(F.col("line").rlike(r"\S"))
 
 
 def read_client_logs(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank lines of the logs of a folder: ``source_file``, ``line_no``, ``line``."""
     rows = spark.read.option("lineSep", "\n").option("pathGlobFilter", LOG_GLOB).text(path)
-    return _log_lines(rows)
+    return number_lines(_raw_lines(rows))
 
 
 def stream_client_logs(
     spark: SparkSession, path: str, max_files_per_trigger: int | None = None
 ) -> DataFrame:
-    """The same lines as a stream. Files are taken whole once they appear, so the input
-    contract is finished (rolled) logs; the checkpoint keeps what was read."""
+    """Raw lines of the logs of a folder as a stream (``number_lines`` runs per batch).
+
+    Files are taken whole once they appear, so the input contract is finished (rolled)
+    logs; the checkpoint keeps what was read.
+    """
     reader = (
         spark.readStream.schema("value string")
         .option("lineSep", "\n")
@@ -167,7 +180,7 @@ def stream_client_logs(
     )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return _log_lines(reader.text(path))
+    return _raw_lines(reader.text(path))
 
 
 def log_time(source_file: Column | str) -> Column:

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from cardloom.operators.messages import extract_messages
 from cardloom.operators.ordered import HOT_ROWS
 from cardloom.plans.log_flow import LogTables, file_order, tables_of_messages, with_player
+from cardloom.sources.scan import number_lines
 
 
 def _batch_folder(folder: str, batch_id: int) -> str:
@@ -37,7 +38,7 @@ def write_messages(
     """Line stream -> message table under ``folder``."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        extract_messages(batch, hot_rows).write.mode("overwrite").parquet(
+        extract_messages(number_lines(batch), hot_rows).write.mode("overwrite").parquet(
             _batch_folder(folder, batch_id)
         )
 
