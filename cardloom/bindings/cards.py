@@ -97,8 +97,8 @@ def _(spark, sf):
 
 
 FLAT = f"""SELECT id, name, set_id AS set, set_name, number AS collector_number, 'rare' AS rarity,
-    type_line, NULL AS mana_cost, CAST(input_pos AS DOUBLE) AS cmc, NULL AS oracle_text, NULL AS power,
-    NULL AS toughness, NULL AS loyalty, 'normal' AS layout, coalesce(colour_text, '') AS colors,
+    type_line, CAST(NULL AS VARCHAR) AS mana_cost, CAST(input_pos AS DOUBLE) AS cmc, CAST(NULL AS VARCHAR) AS oracle_text, CAST(NULL AS VARCHAR) AS power,
+    CAST(NULL AS VARCHAR) AS toughness, CAST(NULL AS VARCHAR) AS loyalty, 'normal' AS layout, coalesce(colour_text, '') AS colors,
     coalesce(colour_text, '') AS color_identity, coalesce(colour_text, '') AS keywords,
     {IMAGE} AS image_url, {PRICE['usd']} AS price_usd, {PRICE['foil']} AS price_usd_foil,
     {PRICE['etched']} AS price_usd_etched, {BEST} AS price_best FROM b WHERE {KEPT}"""
@@ -126,8 +126,8 @@ def _(spark, sf):
     "card_faces",
     """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS name,
       generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents)
-    SELECT CAST(doc_id AS VARCHAR) AS card_id, CAST(i AS INTEGER) AS face_index, name, NULL AS mana_cost,
-      NULL AS type_line, NULL AS oracle_text, NULL AS power, NULL AS toughness, NULL AS loyalty,
+    SELECT CAST(doc_id AS VARCHAR) AS card_id, CAST(i AS INTEGER) AS face_index, name, CAST(NULL AS VARCHAR) AS mana_cost,
+      CAST(NULL AS VARCHAR) AS type_line, CAST(NULL AS VARCHAR) AS oracle_text, CAST(NULL AS VARCHAR) AS power, CAST(NULL AS VARCHAR) AS toughness, CAST(NULL AS VARCHAR) AS loyalty,
       concat(length(name) % 3, ',x') AS colors FROM l""",
 )
 def _(spark, sf):
