@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.functions.exprs import as_col, parse_int
+from cardloom.functions.exprs import as_col, emit, parse_int
 
 JSON_SUSPECT = r"\}\s*\]"
 
@@ -18,7 +18,14 @@ def strict_json(text: Column | str) -> Column:
     parsed a second time inside braces.
     """
     t = as_col(text)
-    boxed = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]")))
+    return _single_value(t, F.try_parse_json(_boxed(t)))
+
+
+def _boxed(t: Column) -> Column:
+    return F.concat(F.lit("["), t, F.lit("]"))
+
+
+def _single_value(t: Column, boxed: Column) -> Column:
     alone = F.try_variant_get(boxed, "$[1]", "variant").isNull()
     sound = ~t.rlike(JSON_SUSPECT) | F.try_parse_json(
         F.concat(F.lit('{"v":'), t, F.lit("}"))
@@ -26,6 +33,13 @@ def strict_json(text: Column | str) -> Column:
     return F.when(alone & sound, F.try_variant_get(boxed, "$[0]", "variant"))
 
 
+def emit_json(df: DataFrame, keep: list[str], t: Column, out: str = "payload") -> DataFrame:
+    """``strict_json`` of a text as a new column, in steps that parse each text once."""
+    texts = emit(df, keep, {"__t": t})
+    boxed = emit(texts, [*keep, "__t"], {"__b": F.try_parse_json(_boxed(F.col("__t")))})
+    return emit(boxed, keep, {out: _single_value(F.col("__t"), F.col("__b"))})
+
+
 def sub(v: Column, path: str) -> Column:
     """Value at a path as VARIANT; JSON null counts as present."""
     return F.try_variant_get(v, path, "variant")

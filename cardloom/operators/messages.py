@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions.exprs import col, emit
 from cardloom.functions.variants import (
+    emit_json,
     first_obj,
     first_text_of,
     has,
@@ -33,16 +34,17 @@ NAME_FIELD = r'(?i)"(?:deckName|name)"\s*:\s*"([^"]+)"'
 ID_FIELD = r'(?i)"(?:deckId|id)"\s*:\s*"([^"]+)"'
 UNKNOWN_DECK = "Unknown Deck"
 
-_QUOTED = r'"(?:[^"\\]|\\.)*"'
 _LONE_BRACE = r"^\s*\},?\s*$"
 
 
 def _braces(c: Column) -> Column:
     """Opening minus closing braces outside quoted text."""
-    bare = F.regexp_replace(c, _QUOTED, "")
-    return F.length(F.regexp_replace(bare, r"[^{]", "")) - F.length(
-        F.regexp_replace(bare, r"[^}]", "")
-    )
+    plain = F.regexp_replace(F.regexp_replace(c, r"\\.", ""), r'"[^"]*"', "")
+
+    def without(brace: str) -> Column:
+        return F.length(F.replace(plain, F.lit(brace), F.lit("")))
+
+    return without("}") - without("{")
 
 
 def extract_messages(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -65,14 +67,11 @@ def extract_messages(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     base = lines.select("source_file", "line_no", "line")
 
     cols = ["source_file", "line_no", "line"]
-    whole_arrows = emit(
-        base.filter(arrow), cols, {"payload": strict_json(rest)}, lambda r: r["payload"].isNotNull()
+    whole_arrows = emit_json(base.filter(arrow), cols, rest).filter(
+        F.col("payload").isNotNull()
     )
-    others = emit(
-        base,
-        cols,
-        {"__start": F.when(arrow, strict_json(rest).isNull())},
-        lambda r: F.coalesce(r["__start"], F.lit(True)),
+    others = emit_json(base, cols, F.when(arrow, rest)).filter(F.col("payload").isNull()).select(
+        *cols, F.when(arrow, True).alias("__start")
     )
     part = F.when(F.col("__start"), rest).otherwise(c)
     marked = others.select(
@@ -99,16 +98,11 @@ def extract_messages(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
             F.element_at("__p", -1).alias("__last"),
             F.array_join(F.transform("__p", lambda x: x["part"]), "\n").alias("__text"),
         )
+        .select(
+            "source_file", "block", "unless_open", "__last.line_no", "__last.line", "__text"
+        )
     )
-    found = emit(
-        found,
-        ["source_file", "block", "unless_open"],
-        {
-            "line_no": F.col("__last.line_no"),
-            "line": F.col("__last.line"),
-            "payload": strict_json("__text"),
-        },
-    )
+    found = emit_json(found, ["source_file", "block", "unless_open", "line_no", "line"], F.col("__text"))
     # A block whose text is no JSON at depth zero stays open up to a lone brace, so the
     # lines after it that wait for its end are no messages.
     still_open = found.filter(F.col("block").isNotNull() & F.col("payload").isNull()).select(
