@@ -111,16 +111,16 @@ PRINT_COLUMNS = """
     CAST(p_size AS BIGINT) AS set_pos, p_brand AS set_code, p_partkey AS card_pos,
     CASE WHEN p_partkey % 17 = 0 THEN 'abc' WHEN p_partkey % 19 = 0 THEN '0'
       WHEN p_partkey % 23 = 0 THEN NULL
-      ELSE CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS STRING) END AS arena,
+      ELSE CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS STRING) END AS id_text,
     CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_name END AS name,
     CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_type END AS text
 """
 PRINTINGS_SQL = f"""p AS (SELECT {PRINT_COLUMNS} FROM part),
-  printings AS (SELECT TRY_CAST(arena AS BIGINT) AS grp_id, coalesce(name, 'Unknown') AS name,
+  printings AS (SELECT TRY_CAST(id_text AS BIGINT) AS grp_id, coalesce(name, 'Unknown') AS name,
       '' AS manaCost, '' AS type, 'common' AS rarity, '' AS colors, '' AS colorIdentity,
       coalesce(text, '') AS text, set_code AS setCode FROM p
-    WHERE TRY_CAST(arena AS BIGINT) > 0
-    QUALIFY row_number() OVER (PARTITION BY TRY_CAST(arena AS BIGINT) ORDER BY set_pos, card_pos) = 1)"""
+    WHERE TRY_CAST(id_text AS BIGINT) > 0
+    QUALIFY row_number() OVER (PARTITION BY TRY_CAST(id_text AS BIGINT) ORDER BY set_pos, card_pos) = 1)"""
 
 
 def printings(spark, sf):
@@ -135,7 +135,7 @@ def printings(spark, sf):
         "text",
         lists.alias("colors"),
         lists.alias("colorIdentity"),
-        F.struct(F.col("arena").alias("mtgArenaId")).alias("identifiers"),
+        F.struct(F.col("id_text").alias("mtgArenaId")).alias("identifiers"),
     )
     return rows.select("set_pos", "set_code", "card_pos", card.alias("card"))
 
