@@ -93,7 +93,7 @@ def _shard_quotas(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("shard")
     most = (group["repeat"].to_numpy() * group["n_blocks"].to_numpy()).astype(np.int64)
     quota = sainte_lague(group["shard_size"].to_numpy(), int(group["blocks"].iloc[0]), most)
-    return group.assign(quota=quota)[["source", "shard", "shard_size", "n_blocks", "quota"]]
+    return group.assign(quota=quota)[["number", "shard", "n_blocks", "quota"]]
 
 
 def mix(
@@ -114,41 +114,43 @@ def mix(
     Columns to keep that are named like a result are replaced by it.
     """
     spark = docs.sparkSession
-    work = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sizes_of(text_col).alias("size"), *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep])
-    work = stage(work, "sizes")
+    wide = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sizes_of(text_col).alias("size"), *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep])
+    work = stage(wide.select("id", "source", "size"), "sizes")
+    if not keep:
+        wide = work
     # one row per source; a corpus names its sources, so they are few against the documents
-    per_source = work.groupBy("source").agg(F.sum("size").alias("source_size")).toPandas()
-    per_source["key"] = [(s is None, (s or "").encode()) for s in per_source["source"].where(per_source["source"].notna(), None)]
-    per_source = per_source.sort_values("key").reset_index(drop=True)
-    size = per_source["source_size"].to_numpy(np.float64)
+    per_source = [(r["source"], r["n"]) for r in work.groupBy("source").agg(F.sum("size").alias("n")).toLocalIterator()]
+    per_source.sort(key=lambda r: (r[0] is None, (r[0] or "").encode()))
+    size = np.array([n for _, n in per_source], np.float64)
     w = np.array([weights[i % len(weights)] for i in range(len(size))], float)
     target = capped_shares(w, size, budget * size.sum(), repeat)
-    blocks = sainte_lague(target, round(target.sum() / block_words), np.full(len(size), np.iinfo(np.int64).max >> 2))
+    blocks = sainte_lague(target, round(target.sum() / block_words), np.ceil(repeat * size / block_words).astype(np.int64))
     table = [
-        (None if k[0] else s, int(n), float(t), int(b), max(1, -(-int(n) // shard_words)))
-        for s, k, n, t, b in zip(per_source["source"], per_source["key"], size, target, blocks, strict=True)
+        (source, i, n, float(t), int(b), max(1, -(-n // shard_words)))
+        for i, ((source, n), t, b) in enumerate(zip(per_source, target, blocks, strict=True))
     ]
     source_type = docs.schema[source_col].dataType
-    fields = [T.StructField("m_source", source_type), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("blocks", T.LongType()), T.StructField("shards", T.LongType())]
+    fields = [T.StructField("m_source", source_type), T.StructField("number", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("blocks", T.LongType()), T.StructField("shards", T.LongType())]
     sources = spark.createDataFrame(table, T.StructType(fields))
 
-    joined = work.join(sources, F.col("source").eqNullSafe(F.col("m_source"))).drop("m_source")
-    joined = joined.withColumn("shard", F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.col("shards")))
-    shard = joined.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
+    def dealt(df: DataFrame) -> DataFrame:
+        """Rows with their source's facts, the shard in the source, and its place in the line."""
+        df = df.join(sources, F.col("source").eqNullSafe(F.col("m_source"))).drop("m_source")
+        return df.withColumn("shard", F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.col("shards")))
+
+    shard = dealt(work).groupBy("number", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
     shard = shard.withColumns({"n_blocks": F.ceil(F.col("shard_size") / block_words), "repeat": F.lit(repeat)})
-    quota = shard.groupBy("source").applyInPandas(_shard_quotas, T.StructType([T.StructField("source", source_type), *(T.StructField(c, T.LongType()) for c in ("shard", "shard_size", "n_blocks", "quota"))]))
-    quota = quota.select(F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), "n_blocks", "quota")
+    quota = shard.groupBy("number").applyInPandas(_shard_quotas, "number long, shard long, n_blocks long, quota long")
 
-    place = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.col("id"), F.lit(seed + 1)), "id", "size")
+    place = Window.partitionBy("number", "shard").orderBy(F.xxhash64(F.col("id"), F.lit(seed + 1)), "id", "size")
     # begin of the document in its shard's line of words
-    line = joined.withColumn("begin", F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, -1)))
+    line = dealt(wide).withColumn("begin", F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, -1)))
     line = line.withColumn("begin", F.coalesce("begin", F.lit(0)))
-    out = line.join(quota, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
+    out = line.join(quota, ["number", "shard"])
     rest = F.col("quota") % F.greatest("n_blocks", F.lit(1))
     passes = F.floor(F.col("quota") / F.greatest("n_blocks", F.lit(1)))
-    # the chosen blocks are the first in a seeded order of the shard's blocks: a stride through the
-    # line by the golden ratio spreads any number of them evenly
-    start = F.pmod(F.xxhash64("source", "shard", F.lit(seed + 2)), F.greatest("n_blocks", F.lit(1)))
+    # the rest is every n-th block of the shard's line, from a seeded place on
+    start = F.pmod(F.xxhash64("number", "shard", F.lit(seed + 2)), F.greatest("n_blocks", F.lit(1)))
     out = out.withColumns({"rest": rest, "passes": passes, "start": start})
 
     def words_of(block):
