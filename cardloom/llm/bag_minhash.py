@@ -10,7 +10,9 @@ that share a band are candidates and are verified by their real multiset overlap
 
 Candidates are never spread into all pairs of a band: each round compares the members with one
 pivot per band, links close components, and only members that are still in different components
-are compared directly.
+are compared directly, each pair in the first band it shares. Before their texts are read, a pair
+must pass two tests that true pairs pass: its numbers of shingles (sure), and the share of equal
+slots in one-byte sketches of the signatures (a true pair fails with a chance below one in a million).
 
 Null and empty texts are one class (equal texts); a text without any letter or digit has copies
 only. Texts of fewer than five words are one shingle. Repeated rows and repeated or null ids each
@@ -30,9 +32,10 @@ from cardloom.llm.shared import drop_staged, mix, stage, word_batches
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-BANDS = 24
-ROWS = 4
+BANDS = 40
+ROWS = 8
 PIVOT_ROUNDS = 2  # at least so many; more while many unlinked pairs share a band
+SKETCH_MARGIN = 0.12  # a pair this far below the limit by its sketches (5 sigma) is not compared by text
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray, k: int = SHINGLE_WORDS):
@@ -130,16 +133,20 @@ def _band_batches(batches, bands: int, rows: int):
         names = batch.schema.names
         cols = {c: batch.column(i) for i, c in enumerate(names)}
         texts = cols.pop("text").to_pylist()
-        n_words = np.zeros(len(texts), np.int64)
+        n_shingles = np.zeros(len(texts), np.int64)
         keys = np.zeros((len(texts), bands), np.int64)
+        sketch = np.zeros((len(texts), bands * rows), np.uint8)
         for at, hashes, counts in word_batches(texts):
             out, owner, weight = counted(*shingles(hashes, counts))
             sig = signatures(out, owner, weight, len(counts), bands * rows)
-            keys[at : at + len(counts)] = band_keys(sig, bands, rows)
-            n_words[at : at + len(counts)] = counts
-        offsets = np.concatenate(([0], np.cumsum(np.where(n_words > 0, bands, 0)))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(offsets, pa.array(keys[n_words > 0].ravel()))
-        yield pa.RecordBatch.from_arrays([cols["id"], cols["digest"], lists], ["id", "digest", "bands"])
+            to = at + len(counts)
+            keys[at:to] = band_keys(sig, bands, rows)
+            sketch[at:to] = sig >> np.uint64(56)
+            n_shingles[at:to] = np.bincount(owner, weight, len(counts))
+        offsets = np.concatenate(([0], np.cumsum(np.where(n_shingles > 0, bands, 0)))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(offsets, pa.array(keys[n_shingles > 0].ravel()))
+        data = [cols["id"], cols["digest"], lists, pa.array([s.tobytes() for s in sketch], pa.binary()), pa.array(n_shingles)]
+        yield pa.RecordBatch.from_arrays(data, ["id", "digest", "bands", "sketch", "n_shingles"])
 
 
 def _overlap(a: str, b: str) -> float:
@@ -166,6 +173,15 @@ def _verify(batches, similarity: float):
         yield pa.RecordBatch.from_arrays([a, b], ["u", "v"]).filter(keep)
 
 
+def _alike(batches, least: float):
+    """Pairs whose sketches agree in at least the given share of slots."""
+    for batch in batches:
+        u, v = batch.column("u"), batch.column("v")
+        sides = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(u), -1) if len(u) else np.zeros((0, 1)) for c in ("su", "sv")]
+        keep = (sides[0] == sides[1]).mean(axis=1) >= least
+        yield pa.RecordBatch.from_arrays([u, v], ["u", "v"]).filter(pa.array(keep))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component; links are (u, v).
 
@@ -203,28 +219,32 @@ def near_duplicates(
     rows_in = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows_in = rows_in.select("id", F.unhex(F.md5("text")).alias("digest"), "text")
     id_type = docs.schema[id_col].dataType.simpleString()
-    hashed = rows_in.mapInArrow(partial(_band_batches, bands=bands, rows=rows), f"id {id_type}, digest binary, bands array<bigint>")
-    hashed = stage(hashed, "bands")
+    schema = f"id {id_type}, digest binary, bands array<bigint>, sketch binary, n_shingles bigint"
+    hashed = stage(rows_in.mapInArrow(partial(_band_batches, bands=bands, rows=rows), schema), "bands")
     members = hashed.select("id", "digest")
-    nodes = hashed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    in_band = nodes.select("digest", "rep", F.explode("bands").alias("band"))
+    facts = [F.first(c).alias(c) for c in ("bands", "sketch", "n_shingles")]
+    nodes = stage(hashed.groupBy("digest").agg(F.min("id").alias("rep"), *facts), "nodes")
+    in_band = nodes.select("digest", F.posexplode("bands").alias("place", "band"))
     shared_bands = in_band.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    cand = stage(in_band.join(shared_bands, "band"), "candidates")
-    wanted = cand.select("digest", "rep").distinct()
+    cand = stage(in_band.join(shared_bands, "band").select("band", "digest", "place"), "candidates")
+    wanted = stage(nodes.join(cand.select("digest").distinct(), "digest", "left_semi"), "wanted")
+    sketches = wanted.select("digest", "sketch")
     same = (F.col("a.digest") == F.col("b.digest")) & F.col("a.rep").eqNullSafe(F.col("b.rep"))
-    texts = rows_in.withColumnRenamed("id", "rep").alias("a").join(wanted.alias("b"), same, "left_semi")
+    texts = rows_in.withColumnRenamed("id", "rep").alias("a").join(wanted.select("digest", "rep").alias("b"), same, "left_semi")
     texts = stage(texts.select("digest", "text").dropDuplicates(["digest"]), "texts")
+    cand = cand.join(wanted.select("digest", "n_shingles"), "digest")
 
     labels = None
     links = tested = None
-    band = cand.select("band", "digest")
+    band = stage(cand.select("band", "digest", "place", "n_shingles"), "members")
+    all_bands = wanted.select("digest", "bands")
     turn = 0
     done = False
     while not done:
         held = band.withColumn("comp", F.col("digest"))
         if labels is not None:
             found = labels.select(F.col("node").alias("digest"), "label")
-            held = band.join(found, "digest", "left").select("band", "digest", F.coalesce("label", "digest").alias("comp"))
+            held = band.join(found, "digest", "left").select(*band.columns, F.coalesce("label", "digest").alias("comp"))
         sizes = held.groupBy("band", "comp").agg(F.count("*").alias("n"))
         apart = sizes.groupBy("band").agg(
             F.count("*").alias("comps"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")
@@ -234,22 +254,32 @@ def near_duplicates(
             left = apart.agg(F.sum("pairs").alias("p"), F.sum("comps").alias("c")).first()
             done = not left["p"] or left["p"] <= 20 * left["c"] or turn >= 8
         open_bands = held.join(apart.select("band"), "band")
+        small, large = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
+        sized = small >= similarity * large  # the overlap is at most the smaller by the larger
         if done:
+            open_bands = open_bands.join(all_bands, "digest")
             one, two = open_bands.alias("x"), open_bands.alias("y")
+            earlier = lambda i: F.col("x.bands")[i] == F.col("y.bands")[i]
+            first = (F.col("x.place") == 0) | ~F.exists(F.sequence(F.lit(0), F.greatest(F.col("x.place") - 1, F.lit(0))), earlier)
             apart_pair = (F.col("x.band") == F.col("y.band")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.comp") != F.col("y.comp"))
-            pairs = one.join(two, apart_pair).select(F.col("x.digest").alias("u"), F.col("y.digest").alias("v"))
+            pairs = one.join(two, apart_pair & sized & first).select(F.col("x.digest").alias("u"), F.col("y.digest").alias("v"))
         else:
-            order = F.struct(F.xxhash64("digest", F.lit(turn)).alias("h"), "digest", "comp")
-            pivot = open_bands.groupBy("band").agg(F.min(order).alias("p"))
-            pairs = open_bands.join(pivot, "band").filter(F.col("comp") != F.col("p.comp"))
-            pairs = pairs.select(F.least("digest", "p.digest").alias("u"), F.greatest("digest", "p.digest").alias("v"))
+            order = F.struct(F.xxhash64("digest", F.lit(turn)).alias("h"), "digest", "comp", "n_shingles")
+            pivot = open_bands.groupBy("band").agg(F.min(order).alias("p")).select("band", "p.*").alias("y")
+            apart_pair = (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp"))
+            pairs = open_bands.alias("x").join(pivot, apart_pair & sized)
+            pairs = pairs.select(F.least("x.digest", "y.digest").alias("u"), F.greatest("x.digest", "y.digest").alias("v"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = stage(pairs, "pairs")
+        su = sketches.select(F.col("digest").alias("u"), F.col("sketch").alias("su"))
+        sv = sketches.select(F.col("digest").alias("v"), F.col("sketch").alias("sv"))
+        alike = pairs.join(su, "u").join(sv, "v").select("u", "v", "su", "sv")
+        alike = alike.mapInArrow(partial(_alike, least=similarity - SKETCH_MARGIN), "u binary, v binary")
         ua = texts.select(F.col("digest").alias("u"), F.col("text").alias("ta"))
         va = texts.select(F.col("digest").alias("v"), F.col("text").alias("tb"))
-        with_text = pairs.join(ua, "u").join(va, "v").select("u", "v", "ta", "tb")
+        with_text = alike.join(ua, "u").join(va, "v").select("u", "v", "ta", "tb")
         close = stage(with_text.mapInArrow(partial(_verify, similarity=similarity), "u binary, v binary"), "close")
         links = close if links is None else links.union(close)
         tested = pairs if tested is None else tested.union(pairs)
