@@ -34,7 +34,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS = 40
 ROWS = 8
-PIVOT_ROUNDS = 2  # at least so many; more while many unlinked pairs share a band
+PIVOT_ROUNDS = 1  # at least so many; more while many unlinked pairs share a band
 SKETCH_MARGIN = 0.12  # a pair this far below the limit by its sketches (5 sigma) is not compared by text
 
 
@@ -204,6 +204,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: the components of the labels that the links connect."""
+    of_u = labels.select(F.col("node").alias("u"), F.col("label").alias("lu"))
+    of_v = labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
+    named = links.join(of_u, "u", "left").join(of_v, "v", "left")
+    named = stage(named.select("u", "v", F.coalesce("lu", "u").alias("lu"), F.coalesce("lv", "v").alias("lv")), "named")
+    over = components(named.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
+    both = labels.select("node", "label").union(named.select("u", "lu")).union(named.select("v", "lv")).distinct()
+    up = over.select(F.col("node").alias("label"), F.col("label").alias("up"))
+    return stage(both.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -234,8 +246,7 @@ def near_duplicates(
     texts = stage(texts.select("digest", "text").dropDuplicates(["digest"]), "texts")
     cand = cand.join(wanted.select("digest", "n_shingles"), "digest")
 
-    labels = None
-    links = tested = None
+    labels = tested = None
     band = stage(cand.select("band", "digest", "place", "n_shingles"), "members")
     all_bands = wanted.select("digest", "bands")
     turn = 0
@@ -281,9 +292,8 @@ def near_duplicates(
         va = texts.select(F.col("digest").alias("v"), F.col("text").alias("tb"))
         with_text = alike.join(ua, "u").join(va, "v").select("u", "v", "ta", "tb")
         close = stage(with_text.mapInArrow(partial(_verify, similarity=similarity), "u binary, v binary"), "close")
-        links = close if links is None else links.union(close)
         tested = pairs if tested is None else tested.union(pairs)
-        labels = components(links)
+        labels = components(close) if labels is None else joined(labels, close)
         turn += 1
 
     label = labels.select(F.col("node").alias("digest"), "label")
