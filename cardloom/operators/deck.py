@@ -18,6 +18,7 @@ from cardloom.functions.exprs import col
 from cardloom.operators.idmap import with_card
 from cardloom.operators.ordered import HOT_ROWS, previous
 
+# Fixed value: grammar of a deck line (count, name, set in brackets, collector number).
 DECK_LINE = r"^(\d+)\s+(.+?)(?:\s+\(([^)]+)\))?(?:\s+\d+)?$"
 
 

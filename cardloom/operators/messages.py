@@ -59,8 +59,10 @@ def extract_messages(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
       that line is put together.
     * Other lines give their ``{…}`` part (first to last brace) if it is JSON.
 
-    ``line`` of a block is its last line.
+    ``line`` of a block is its last line. Of a repeated key the last value counts; the
+    session is set to read such objects.
     """
+    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     c = F.col("line")
     arrow = (c.contains(ARROWS[0]) | c.contains(ARROWS[1])) & c.contains("{")
     rest = F.expr("substring(line, locate('{', line))")

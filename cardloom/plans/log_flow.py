@@ -25,6 +25,13 @@ def with_player(lines: DataFrame, player: str | None = None) -> DataFrame:
     return lines.withColumn("player_id", F.lit(player or "local"))
 
 
+def per_player_files(lines: DataFrame) -> DataFrame:
+    """Name files by player and file: log names are times, so players may share them."""
+    player = F.coalesce(F.col("player_id").cast("string"), F.lit(""))
+    named = F.concat(F.length(player).cast("string"), F.lit(":"), player, F.lit("/"), "source_file")
+    return lines.withColumn("source_file", named)
+
+
 def file_order(lines: DataFrame) -> DataFrame:
     """Files with the number of their place among the player's logs."""
     files = log_files(lines, ("player_id",))
@@ -134,7 +141,7 @@ def tables_of(
 
     Event times are those of the log file, since the lines carry none.
     """
-    lines = with_player(lines)
+    lines = per_player_files(with_player(lines))
     messages = stage(M.extract_messages(lines, hot_rows), "messages")
     return tables_of_messages(messages, file_order(lines), platform, hot_rows)
 

@@ -9,11 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """Folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset a temporary folder serves only if driver and executors are one process;
+    on a cluster it would be another folder on every machine, so that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="cardloom-")
+        if held.isDefined():
+            named = held.get()
+        elif spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):
+            named = tempfile.mkdtemp(prefix="cardloom-")
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
