@@ -46,13 +46,16 @@ def _file_system(path: str):
 
 
 def reversed_host(url: str | None) -> str:
-    """Sort key of a URL: com,example,www)/path?query, lower case in the host, without scheme and fragment."""
+    """Sort key of a URL: com,example,www)/path?query, lower case in the host, without scheme and fragment.
+
+    Tabs, line ends and backslashes are escaped, so a key fits a line of an index block.
+    """
     m = re.match(r"(?s)[^:/?#]*://([^/?#]*)([^#]*)", url or "")
     if not m:
-        return url or ""
+        return _escape(url or "")
     host = m[1].rpartition("@")[2].lower()
     host, _, port = host.partition(":")
-    return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + (m[2] or "/")
+    return _escape(",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + (m[2] or "/"))
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
@@ -127,7 +130,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def _line(key: str, page_id, file: str, offset: int, length: int) -> str:
-    return "\t".join((_escape(key), "" if page_id is None else str(page_id), file, str(offset), str(length)))
+    return "\t".join((key, "" if page_id is None else str(page_id), file, str(offset), str(length)))
 
 
 def _escape(key: str) -> str:
@@ -146,7 +149,7 @@ def _index_batches(batches, folder: str):
             out = system.open_output_stream(f"{base}/{name}", compression=None)
         data = zlib.compress("\n".join(_line(*r) for r in held).encode("utf-8", "surrogatepass"), 6)
         out.write(data)
-        blocks.append((_escape(held[0][0]), name, at, len(data), len(held)))
+        blocks.append((held[0][0], name, at, len(data), len(held)))
         at += len(data)
         held.clear()
 
@@ -186,7 +189,7 @@ def _find_batches(batches, folder: str, directory: list[tuple], low: bytes | Non
     for batch in batches:
         rows = []
         for key in batch.column(0).to_pylist():
-            wanted = _order(_escape(key))
+            wanted = _order(key)
             # captures of one key may span blocks; they begin in the last block that starts below it
             b = max(0, bisect.bisect_left(first, wanted) - 1)
             found = []
