@@ -26,8 +26,9 @@ from cardloom.llm.shared import mix, word_batches
 BITS = 18
 GRADES = 3
 MAX_LABELS = 8000
-STEPS = 150
-L1 = 2e-4
+STEPS = 300
+L1 = 5e-4
+CLIP = 5.0  # documents of a feature from which on its gradient is scaled by its frequency
 KEEP_TAIL = 0.5
 
 _CLASS: np.ndarray | None = None
@@ -101,7 +102,7 @@ class Model:
         w, look = np.zeros(d), np.zeros(d)
         t, t_look = np.array([-2.0, -1.0]), np.array([-2.0, -1.0])
         # a rare feature has a small gradient; scaling by its frequency makes all learn alike
-        speed = n / np.maximum(np.bincount(at, minlength=d), 20.0)
+        speed = n / np.maximum(np.bincount(at, minlength=d), CLIP)
         rate, momentum = 0.02, 1.0
         for _ in range(STEPS):
             s = np.bincount(row, look[at], n)
