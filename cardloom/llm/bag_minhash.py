@@ -8,10 +8,12 @@ its count of the shingle, and each slot keeps the name of its earliest point. Tw
 with a probability of sum(min) / sum(max) of the counts, for any counts. Slots form bands; texts
 that share a band are candidates and are verified by their real multiset overlap.
 
-Candidates are never spread into all pairs of a band: each round compares the members with one
-pivot per band, links close components, and only members that are still in different components
-are compared directly, each pair in the first band it shares. Before their texts are read, a pair
-must pass two tests that true pairs pass: its numbers of shingles (sure), and the share of equal
+Candidates are not spread into all pairs of a band: a round compares the members with one pivot
+per band and links the close ones, again as long as that joins at least half of the pairs left;
+then only members that are still in different components are compared directly, each pair in the
+first band it shares. Before their texts are read, a
+pair must pass two tests that true pairs pass: its numbers of shingles, from the second round on
+without those that no other open text has, as they are in no overlap (sure), and the share of equal
 slots in one-byte sketches of the signatures (a true pair fails with a chance below one in a million).
 
 Null and empty texts are one class (equal texts); a text without any letter or digit has copies
@@ -34,7 +36,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS = 40
 ROWS = 8
-PIVOT_ROUNDS = 1  # at least so many; more while many unlinked pairs share a band
+PAIRS_A_MEMBER = 100  # with fewer unlinked pairs in the bands a member they are compared directly
 SKETCH_MARGIN = 0.12  # a pair this far below the limit by its sketches (5 sigma) is not compared by text
 
 
@@ -182,14 +184,36 @@ def _alike(batches, least: float):
         yield pa.RecordBatch.from_arrays([u, v], ["u", "v"]).filter(pa.array(keep))
 
 
-def components(links: DataFrame) -> DataFrame:
+def _shingle_batches(batches):
+    """(shingle, digest, weight): the distinct shingles of each text with their counts."""
+    for batch in batches:
+        digests = batch.column("digest")
+        for at, hashes, counts in word_batches(batch.column("text").to_pylist()):
+            out, owner, weight = counted(*shingles(hashes, counts))
+            data = [pa.array(out.view(np.int64)), digests.take(pa.array(owner + at)), pa.array(weight)]
+            yield pa.RecordBatch.from_arrays(data, ["shingle", "digest", "weight"])
+
+
+def unshared(texts: DataFrame) -> DataFrame:
+    """(digest, alone): how many shingles of a text no other of the texts (digest, text) has."""
+    all_shingles = texts.select("digest", "text").mapInArrow(_shingle_batches, "shingle bigint, digest binary, weight bigint")
+    once = all_shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.first("digest").alias("digest"), F.first("weight").alias("weight"))
+    return once.filter("n = 1").groupBy("digest").agg(F.sum("weight").alias("alone"))
+
+
+def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(node, label): the smallest node of each connected component; links are (u, v).
 
-    Every round takes the smallest label among the neighbours and then the label of that label,
-    so a path of length n closes in about log n rounds. Each round's table is written out.
+    ``start``: labels of an earlier call over some of the links. Every round takes the smallest
+    label among the neighbours and then the label of that label, so a path of length n closes in
+    about log n rounds. Each round's table is written out.
     """
-    both = stage(links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    labels = stage(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label")), "labels")
+    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label"))
+    if start is not None:
+        known = start.select("node", F.col("label").alias("was"))
+        labels = labels.join(known, "node", "left").select("node", F.coalesce("was", "node").alias("label"))
+    labels = stage(labels, "labels")
     while True:
         seen = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
@@ -200,22 +224,9 @@ def components(links: DataFrame) -> DataFrame:
         drop_staged(labels)
         labels = step.drop("old")
         if not changed:
-            drop_staged(both)
             return labels
 
 
-def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after more links: the components of the labels that the links connect."""
-    of_u = labels.select(F.col("node").alias("u"), F.col("label").alias("lu"))
-    of_v = labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
-    named = links.join(of_u, "u", "left").join(of_v, "v", "left")
-    named = stage(named.select("u", "v", F.coalesce("lu", "u").alias("lu"), F.coalesce("lv", "v").alias("lv")), "named")
-    over = components(named.select(F.col("lu").alias("u"), F.col("lv").alias("v")))
-    both = labels.select("node", "label").union(named.select("u", "lu")).union(named.select("v", "lv")).distinct()
-    up = over.select(F.col("node").alias("label"), F.col("label").alias("up"))
-    return stage(both.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label")), "labels")
-
-
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -233,75 +244,97 @@ def near_duplicates(
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, digest binary, bands array<bigint>, sketch binary, n_shingles bigint"
     hashed = stage(rows_in.mapInArrow(partial(_band_batches, bands=bands, rows=rows), schema), "bands")
-    members = hashed.select("id", "digest")
     facts = [F.first(c).alias(c) for c in ("bands", "sketch", "n_shingles")]
-    nodes = stage(hashed.groupBy("digest").agg(F.min("id").alias("rep"), *facts), "nodes")
-    in_band = nodes.select("digest", F.posexplode("bands").alias("place", "band"))
-    shared_bands = in_band.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    cand = stage(in_band.join(shared_bands, "band").select("band", "digest", "place"), "candidates")
-    wanted = stage(nodes.join(cand.select("digest").distinct(), "digest", "left_semi"), "wanted")
-    sketches = wanted.select("digest", "sketch")
+    nodes = stage(hashed.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"), *facts), "nodes")
+
+    # members of the bands that several texts share, each with the band's first pivot: its smallest digest
+    in_band = nodes.select("digest", "n_shingles", F.posexplode("bands").alias("place", "band"))
+    first_pivot = in_band.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("digest", "n_shingles")).alias("p"))
+    first_pivot = first_pivot.filter("n > 1").select("band", F.col("p.digest").alias("pivot"), F.col("p.n_shingles").alias("pivot_n"))
+    band = stage(in_band.join(first_pivot, "band"), "candidates")
+    wanted = nodes.join(band.select("digest").distinct(), "digest", "left_semi").select("digest", "rep", "sketch")
     same = (F.col("a.digest") == F.col("b.digest")) & F.col("a.rep").eqNullSafe(F.col("b.rep"))
-    texts = rows_in.withColumnRenamed("id", "rep").alias("a").join(wanted.select("digest", "rep").alias("b"), same, "left_semi")
-    texts = stage(texts.select("digest", "text").dropDuplicates(["digest"]), "texts")
-    cand = cand.join(wanted.select("digest", "n_shingles"), "digest")
-
-    labels = tested = None
-    band = stage(cand.select("band", "digest", "place", "n_shingles"), "members")
-    all_bands = wanted.select("digest", "bands")
-    turn = 0
+    texts = rows_in.withColumnRenamed("id", "rep").alias("a").join(wanted.alias("b"), same).select("a.digest", "text", "sketch")
+    texts = stage(texts.dropDuplicates(["digest"]), "texts")
+
+    def close_ones(pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) whose texts reach the similarity."""
+        for side in "uv":
+            pairs = pairs.join(texts.select(F.col("digest").alias(side), F.col("sketch").alias("s" + side)), side)
+        alike = pairs.mapInArrow(partial(_alike, least=similarity - SKETCH_MARGIN), "u binary, v binary")
+        for side in "uv":
+            alike = alike.join(texts.select(F.col("digest").alias(side), F.col("text").alias("t" + side)), side)
+        alike = alike.select("u", "v", "tu", "tv")
+        return stage(alike.mapInArrow(partial(_verify, similarity=similarity), "u binary, v binary"), "close")
+
+    def sized(x, y):  # the overlap is at most the smaller number of shared shingles
+        most = F.least(f"{x}.shared", f"{y}.shared")
+        return most >= similarity * (F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles") - most)
+
+    with_pivot = (F.col("digest") != F.col("pivot")) & (F.least("n_shingles", "pivot_n") >= similarity * F.greatest("n_shingles", "pivot_n"))
+    pairs = stage(band.filter(with_pivot).select(F.col("pivot").alias("u"), F.col("digest").alias("v")).distinct(), "pairs")
+    links = close_ones(pairs)
+    tested = pairs
+    labels = components(links)
+    band = band.select("band", "digest", "place", "n_shingles")
+    before = shared = None
+    turn = 1
     done = False
     while not done:
-        held = band.withColumn("comp", F.col("digest"))
-        if labels is not None:
-            found = labels.select(F.col("node").alias("digest"), "label")
-            held = band.join(found, "digest", "left").select(*band.columns, F.coalesce("label", "digest").alias("comp"))
+        found = labels.select(F.col("node").alias("digest"), "label")
+        held = band.join(found, "digest", "left").select(*band.columns, F.coalesce("label", "digest").alias("comp"))
+        held = stage(held, "held")
         sizes = held.groupBy("band", "comp").agg(F.count("*").alias("n"))
         apart = sizes.groupBy("band").agg(
-            F.count("*").alias("comps"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")
+            F.max(F.struct("n", "comp"))["comp"].alias("main"),
+            F.count("*").alias("comps"),
+            ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"),
         )
-        apart = apart.filter("comps > 1")
-        if turn >= PIVOT_ROUNDS:
-            left = apart.agg(F.sum("pairs").alias("p"), F.sum("comps").alias("c")).first()
-            done = not left["p"] or left["p"] <= 20 * left["c"] or turn >= 8
-        open_bands = held.join(apart.select("band"), "band")
-        small, large = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
-        sized = small >= similarity * large  # the overlap is at most the smaller by the larger
+        apart = stage(apart.filter("comps > 1"), "apart")
+        left = apart.agg(F.sum("pairs").alias("p"), F.sum("comps").alias("c")).first()
+        # pivots again only while many pairs are left and the last round joined at least half of them
+        few = not left["p"] or left["p"] <= PAIRS_A_MEMBER * left["c"]
+        done = few or (before is not None and left["p"] > before / 2)
+        before = left["p"]
+        open_bands = held.join(apart.select("band", "main"), "band")
+        if shared is None:  # shingles of no other open text are in no overlap
+            alone = unshared(texts.join(open_bands.select("digest").distinct(), "digest", "left_semi"))
+            shared = band.select("digest", "n_shingles").distinct().join(alone, "digest", "left")
+            shared = shared.select("digest", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("shared"))
+            shared = stage(shared.filter(F.col("shared") >= similarity * F.col("n_shingles")), "shared")
+            band = stage(band.join(shared, "digest"), "members")
+            drop_staged(held, apart)
+            before = None
+            done = False
+            continue
         if done:
-            open_bands = open_bands.join(all_bands, "digest")
-            one, two = open_bands.alias("x"), open_bands.alias("y")
+            # of two members in different components one is outside the band's largest component
+            one = open_bands.filter(F.col("comp") != F.col("main")).join(nodes.select("digest", "bands"), "digest").alias("x")
+            two = open_bands.join(nodes.select("digest", "bands"), "digest").alias("y")
             earlier = lambda i: F.col("x.bands")[i] == F.col("y.bands")[i]
             first = (F.col("x.place") == 0) | ~F.exists(F.sequence(F.lit(0), F.greatest(F.col("x.place") - 1, F.lit(0))), earlier)
-            apart_pair = (F.col("x.band") == F.col("y.band")) & (F.col("x.digest") < F.col("y.digest")) & (F.col("x.comp") != F.col("y.comp"))
-            pairs = one.join(two, apart_pair & sized & first).select(F.col("x.digest").alias("u"), F.col("y.digest").alias("v"))
+            once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.digest") < F.col("y.digest"))
+            apart_pair = (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & once
+            pairs = one.join(two, apart_pair & sized("x", "y") & first)
         else:
-            order = F.struct(F.xxhash64("digest", F.lit(turn)).alias("h"), "digest", "comp", "n_shingles")
+            order = F.struct(F.xxhash64("digest", F.lit(turn)).alias("h"), "digest", "comp", "n_shingles", "shared")
             pivot = open_bands.groupBy("band").agg(F.min(order).alias("p")).select("band", "p.*").alias("y")
             apart_pair = (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp"))
-            pairs = open_bands.alias("x").join(pivot, apart_pair & sized)
-            pairs = pairs.select(F.least("x.digest", "y.digest").alias("u"), F.greatest("x.digest", "y.digest").alias("v"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        su = sketches.select(F.col("digest").alias("u"), F.col("sketch").alias("su"))
-        sv = sketches.select(F.col("digest").alias("v"), F.col("sketch").alias("sv"))
-        alike = pairs.join(su, "u").join(sv, "v").select("u", "v", "su", "sv")
-        alike = alike.mapInArrow(partial(_alike, least=similarity - SKETCH_MARGIN), "u binary, v binary")
-        ua = texts.select(F.col("digest").alias("u"), F.col("text").alias("ta"))
-        va = texts.select(F.col("digest").alias("v"), F.col("text").alias("tb"))
-        with_text = alike.join(ua, "u").join(va, "v").select("u", "v", "ta", "tb")
-        close = stage(with_text.mapInArrow(partial(_verify, similarity=similarity), "u binary, v binary"), "close")
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = components(close) if labels is None else joined(labels, close)
+            pairs = open_bands.alias("x").join(pivot, apart_pair & sized("x", "y"))
+        pairs = pairs.select(F.least("x.digest", "y.digest").alias("u"), F.greatest("x.digest", "y.digest").alias("v"))
+        pairs = stage(pairs.distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
+        drop_staged(held, apart)
+        tested = tested.union(pairs)
+        links = links.union(close_ones(pairs))
+        labels = components(links, labels)
         turn += 1
 
     label = labels.select(F.col("node").alias("digest"), "label")
-    reps = hashed.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    classed = reps.join(label, "digest", "left").select("digest", "rep", "n", F.coalesce("label", "digest").alias("class_digest"))
+    classed = nodes.select("digest", "rep", "n").join(label, "digest", "left")
+    classed = classed.select("digest", "rep", "n", F.coalesce("label", "digest").alias("class_digest"))
     tops = classed.groupBy("class_digest").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
     by_text = classed.select("digest", "class_digest").join(tops, "class_digest")
-    return members.join(by_text, "digest").select("id", "digest", "class_id", "class_digest", "class_size")
+    return hashed.select("id", "digest").join(by_text, "digest").select("id", "digest", "class_id", "class_digest", "class_size")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
