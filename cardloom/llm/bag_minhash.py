@@ -11,10 +11,10 @@ that share a band are candidates and are verified by their real multiset overlap
 Candidates are not spread into all pairs of a band: a round compares the members with one pivot
 per band and links the close ones, again as long as that joins at least half of the pairs left;
 then only members that are still in different components are compared directly, each pair in the
-first band it shares. Before their texts are read, a
-pair must pass two tests that true pairs pass: its numbers of shingles, from the second round on
-without those that no other open text has, as they are in no overlap (sure), and the share of equal
-slots in one-byte sketches of the signatures (a true pair fails with a chance below one in a million).
+first band it shares. Before their texts are read, a pair must pass two tests that true pairs pass:
+its numbers of shingles, from the second round on without those that no other open text has, as
+they are in no overlap (sure), and the share of equal slots in one-byte sketches of the
+signatures (a true pair fails with a chance below one in a million).
 
 Null and empty texts are one class (equal texts); a text without any letter or digit has copies
 only. Texts of fewer than five words are one shingle. Repeated rows and repeated or null ids each
