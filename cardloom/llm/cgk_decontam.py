@@ -243,28 +243,59 @@ def contaminated(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, item_id bigint, start_word bigint, edits bigint, item_words bigint"
+    out = None
+    for block in _blocks(benchmark, edit_share, target_recall, block_items, seed):
+        found = rows.mapInArrow(partial(_find_batches, block=block), schema)
+        out = found if out is None else out.unionAll(found)
+    return out.withColumn("similarity", 1 - F.col("edits") / F.col("item_words"))
+
+
+def _blocks(benchmark: DataFrame, edit_share: float, target_recall: float, block_items: int, seed: int):
+    """The benchmark in blocks of ``block_items`` items; one empty block without items."""
     items = benchmark.select(F.col("item_id").cast("bigint"), "text").orderBy("item_id", "text").toLocalIterator()
-    out, ids, texts = None, [], []
+    ids, texts, none = [], [], True
 
-    def scan(out):
+    def block() -> Block:
         words = []
         for _, hashes, counts in word_batches(texts):
             words += np.split(hashes, np.cumsum(counts)[:-1])
-        block = Block(ids[:], words, edit_share, target_recall, seed)
-        found = rows.mapInArrow(partial(_find_batches, block=block), schema)
-        return found if out is None else out.unionAll(found)
+        return Block(ids[:], words, edit_share, target_recall, seed)
 
     for r in items:
         ids.append(r["item_id"])
         texts.append(r["text"])
         if len(ids) == block_items:
-            out, ids, texts = scan(out), [], []
-    if ids or out is None:
-        out = scan(out)
-    return out.withColumn("similarity", 1 - F.col("edits") / F.col("item_words"))
+            yield block()
+            ids, texts, none = [], [], False
+    if ids or none:
+        yield block()
+
+
+def _clean_batches(batches, block: Block, text_at: int):
+    """The rows that hold none of the block's items."""
+    for batch in batches:
+        clean = np.ones(batch.num_rows, bool)
+        for at, words, counts in word_batches(batch.column(text_at).to_pylist()):
+            for t, _, _, _ in block.find(words, counts):
+                clean[at + t] = False
+        yield batch.filter(pa.array(clean))
+
 
+def without_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    edit_share: float = EDIT_SHARE,
+    target_recall: float = TARGET_RECALL,
+    block_items: int = BLOCK_ITEMS,
+    seed: int = 9,
+) -> DataFrame:
+    """Rows that hold no benchmark passage, all columns unchanged.
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents that hold no benchmark passage, all columns unchanged; rows with a null id are judged too."""
-    hits = contaminated(docs, benchmark, id_col, text_col).select(F.col("id").alias("_hit")).distinct()
-    return docs.join(hits, docs[id_col].eqNullSafe(F.col("_hit")), "left_anti")
+    Each row is judged by its own text in the scan and ``id_col`` is not read: rows with a null or
+    repeated id stay or go one by one.
+    """
+    for block in _blocks(benchmark, edit_share, target_recall, block_items, seed):
+        docs = docs.mapInArrow(partial(_clean_batches, block=block, text_at=docs.columns.index(text_col)), docs.schema)
+    return docs

@@ -173,6 +173,17 @@ def test_decontamination_edge_cases(spark):
     assert C.contaminated(df.limit(0), benchmark).collect() == []
 
 
+def test_rows_are_rejected_by_their_own_text(spark):
+    benchmark = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "q r s t u v w x")], "item_id long, text string")
+    dirty, other, clean = "x A b c d e f g h i j y", "q r s t u v w x", "nothing of it in here at all"
+    rows = [(i, t, "en", "s", n) for n, (i, t) in enumerate([(None, clean), (None, dirty), (None, None), (5, clean), (5, other), (5, clean), (6, dirty), (7, "")])]
+    df = spark.createDataFrame(rows, DOCS)
+    for items in (1, 5000):
+        got = C.without_contaminated(df, benchmark, block_items=items).collect()
+        assert sorted(x["n_chars"] for x in got) == [0, 2, 3, 5, 7]
+        assert all(tuple(x) == rows[x["n_chars"]] for x in got)
+
+
 def test_edit_distance_vector_form():
     r = random.Random(5)
     for _ in range(50):
