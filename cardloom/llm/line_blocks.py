@@ -1,13 +1,14 @@
 """Main text of HTML by line-block distribution.
 
 Markup is stripped to lines: every block-level element, and every ``br``-free run of text, is one
-line; scripts, styles and elements that say by tag, role, class or id that they are menus, headers,
-footers, sidebars, notices, adverts, forms or comments do not reach the lines. The text lengths of
-WINDOW neighbouring lines are summed. The text region begins where the sums surge above the
-threshold and ends where they dive below it; lines between a surge and the next dive are kept whole,
-with their short neighbours inside the window. Lines inside an ``article`` or ``main`` element are
-text by statement of the page: where one exists, only its lines are considered and the region runs
-from its first to its last line.
+line. The weighted text lengths of WINDOW neighbouring lines are summed. Text regions begin where the
+sums surge above the threshold and end where they dive below it. Short lines between two regions are
+text as well, and so are those next to a region up to a line without weight.
+
+Lines of mostly link text weigh nothing, nor do those of elements that say by tag, role, class or id
+that they are menus, headers, footers, sidebars, notices, adverts, forms or comments. Where a page has an ``article`` or ``main``
+element, lines in it weigh CONTENT_WEIGHT times their length and the others that part of it; windows
+do not reach over its border. A page without surge is all text, of the lines that weigh most.
 
 Null and empty pages give an empty text. Unclosed tags, stray ``<`` and cut pages are read as far as
 they go. Repeated rows each get their row. The whole page is read, nothing is cut.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import re
 from functools import partial
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +28,9 @@ from pyspark.sql import functions as F
 WINDOW = 3
 SURGE_CHARS = 80  # sum over a window that starts a text region
 LINK_SHARE = 0.6  # lines of mostly link text count as empty
+CONTENT_WEIGHT = 4  # of lines in article or main; others are divided by it
+MOST = 0.5
+NEARLY_ALL = 0.9
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*>?", re.S)
 SILENT = frozenset("script style noscript template svg math canvas iframe object select textarea head title button".split())
@@ -40,74 +45,74 @@ MARKS = re.compile(
     r"comments?|commentlist|discussion|disqus|replies|reviews?|header|masthead|footer|foot|copyright|pagination|pager|login|signup|search|form)(?:$|[\s_-])",
     re.I,
 )
+COMMENTS = re.compile(r"(?:^|[_-])(?:comments?|commentlist|discussion|disqus|replies|reviews?)(?:$|[_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 SPACE = re.compile(r"\s+")
 
 
-def _drops(tag: str, attributes: str, inside_content: bool) -> bool:
-    """Whether the page itself marks the element as something else than text."""
-    if tag in SILENT:
-        return True
-    if tag in BOILERPLATE:
-        return True
+def _mark(tag: str, attributes: str) -> float | None:
+    """The share of the text above which the element is a wrapper in spite of its mark; None without a mark."""
+    share = MOST if tag == "form" else NEARLY_ALL if tag in BOILERPLATE else None
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return share
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").strip()
-        if name in ("class", "id") and MARKS.search(value):
-            return True
-        if name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("hidden", "aria-hidden") and value.lower() == "true":
-            return True
-    return False
+        if name in ("class", "id"):
+            marked = [x for x in value.split() if MARKS.search(x)]
+            if marked:
+                # has-sidebar or main-form may name a layout, sidebar or cookie-notice may not
+                whole = any(COMMENTS.search(x) or all(MARKS.search(y) for y in re.split("[_-]+", x) if y) for x in marked)
+                share = NEARLY_ALL if whole else share or MOST
+        elif (name == "role" and value.lower() in ROLES) or (name in ("hidden", "aria-hidden") and value.lower() == "true"):
+            share = NEARLY_ALL
+    return share
 
 
 def lines_of(page: str) -> list[tuple[str, float, bool]]:
-    """(text, share of link text, inside article or main) of each line of the page."""
-    out: list[tuple[str, float, bool]] = []
-    held: list[str] = []
-    linked = 0
-    stack: list[tuple[str, bool]] = []  # open elements and whether they are dropped
+    """(text, share of link text, inside article or main) of each line of the page.
+
+    The share is 1 on lines of elements that the page marks as something else than text.
+    """
+    # pieces (text, in a link, open marks) of each line, and whether it is inside article or main
+    raw: list[tuple[list[tuple[str, bool, tuple[int, ...]]], bool]] = []
+    held: list[tuple[str, bool, tuple[int, ...]]] = []
+    stack: list[tuple[str, bool, int]] = []  # open elements, whether they are silent, their mark
+    marks: list[tuple[float, bool]] = []  # share that makes a wrapper, inside article or main
+    open_marks: tuple[int, ...] = ()
+    holds_content: set[int] = set()
     dropped = content = links = 0
     at = 0
 
     def close_line() -> None:
-        nonlocal linked
         if held:
-            text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
-            if text:
-                out.append((text, min(1.0, linked / max(1, len(text))), content > 0))
+            raw.append((held[:], content > 0))
             held.clear()
-        linked = 0
 
     def pop() -> None:
-        nonlocal dropped, content, links
-        tag, drop = stack.pop()
-        dropped -= drop
+        nonlocal dropped, content, links, open_marks
+        tag, silent, mark = stack.pop()
+        dropped -= silent
         content -= tag in CONTENT
         links -= tag == "a"
+        if mark >= 0:
+            open_marks = open_marks[:-1]
 
     while at < len(page):
         m = TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text and not dropped:
-            held.append(text)
-            if links:
-                linked += len(text)
+            held.append((text, links > 0, open_marks))
         if not m:
             break
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
-            if not dropped:
-                held.append("")
             continue
         closing = bool(m[1] or m[4])
         attributes = m[3] or ""
         if tag == "br" and not dropped:
-            held.append(" ")
+            held.append((" ", False, open_marks))
         if tag in VOID:
             continue
         if tag not in INLINE and not dropped:
@@ -130,49 +135,76 @@ def lines_of(page: str) -> list[tuple[str, float, bool]]:
                     break
                 if stack[i][0] not in INLINE:
                     break
-        drop = _drops(tag, attributes, content > 0)
-        if attributes.rstrip().endswith("/") and tag not in SILENT:
+        silent = tag in SILENT
+        if attributes.rstrip().endswith("/") and not silent:
             continue
-        if tag in SILENT and tag not in ("head", "svg", "math", "object", "select", "button"):
+        if silent and tag not in ("head", "svg", "math", "object", "select", "button"):
             # raw text: up to the closing tag, whatever stands between
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        stack.append((tag, drop))
-        dropped += drop
+        share, mark = None if silent or dropped else _mark(tag, attributes), -1
+        if share is not None:
+            mark = len(marks)
+            marks.append((share, content > 0))
+            open_marks += (mark,)
+        stack.append((tag, silent, mark))
+        dropped += silent
+        if tag in CONTENT and not dropped:
+            holds_content.update(open_marks)
         content += tag in CONTENT
         links += tag == "a"
     close_line()
+
+    lines = [(_pieces(pieces), inside) for pieces, inside in raw]
+    marked = set(range(len(marks)))
+
+    out: list[tuple[str, float, bool]] = []
+    for pieces, inside in lines:
+        text_of = [p for p in pieces if marked.isdisjoint(p[2])]
+        text = "".join(p[0] for p in text_of).strip()
+        if text:
+            text = SPACE.sub(" ", text)
+            linked = sum(len(p[0]) for p in text_of if p[1])
+            out.append((text, min(1.0, linked / len(text)), inside))
+        elif other := SPACE.sub(" ", "".join(p[0] for p in pieces)).strip():
+            out.append((other, 1.0, inside))
+    return out
+
+
+def _pieces(pieces: list[tuple[str, bool, tuple[int, ...]]]) -> list[tuple[str, bool, tuple[int, ...]]]:
+    """Neighbours of one kind joined, entities read and white space made single."""
+    out: list[tuple[str, bool, tuple[int, ...]]] = []
+    for (linked, of), group in groupby(pieces, key=lambda p: p[1:]):
+        out.append((SPACE.sub(" ", entities.unescape("".join(p[0] for p in group))), linked, of))
     return out
 
 
 def region(lines: list[tuple[str, float, bool]], window: int = WINDOW, surge: int = SURGE_CHARS) -> list[str]:
     """The lines between surge and dive points."""
-    if any(inside for _, _, inside in lines):
-        return [text for text, _, inside in lines if inside]
-    size = [0 if link > LINK_SHARE else len(text) for text, link, _ in lines]
-    # a page whose lines are all short has no surge: then all of it is its text
-    sums = [sum(size[max(0, i - window // 2) : i + window // 2 + 1]) for i in range(len(size))]
-    top = max(sums, default=0)
-    if top < surge:
-        return [text for text, link, _ in lines if link <= LINK_SHARE]
-    out, i = [], 0
-    while i < len(sums):
-        if sums[i] < surge:
-            i += 1
-            continue
-        dive = i
-        while dive < len(sums) and sums[dive] >= surge:
-            dive += 1
-        first, last = i, dive - 1
-        # the window reaches beyond the text: link lines at both ends belong to what is around it
-        while first < last and size[first] == 0:
-            first += 1
-        while last > first and size[last] == 0:
-            last -= 1
-        out += [lines[k][0] for k in range(first, last + 1) if lines[k][1] <= LINK_SHARE]
-        i = dive
-    return out
+    tagged = any(inside for _, _, inside in lines)
+    weight = {True: CONTENT_WEIGHT, False: 1 / CONTENT_WEIGHT if tagged else 1}
+    size = [0 if link > LINK_SHARE else len(text) * weight[inside] for text, link, inside in lines]
+    half, n = window // 2, len(lines)
+    sums = [sum(size[k] for k in range(max(0, i - half), min(n, i + half + 1)) if lines[k][2] == lines[i][2]) for i in range(n)]
+    if max(sums, default=0) < surge:
+        # a page whose lines are all short has no surge
+        content = any(x and line[2] for x, line in zip(size, lines, strict=True))
+        return [line[0] for x, line in zip(size, lines, strict=True) if x and line[2] == content]
+    text = [s >= surge and x > 0 for s, x in zip(sums, size, strict=True)]
+    # short neighbours of a region up to a line without weight or the border of the content
+    for order in (range(1, n), range(n - 2, -1, -1)):
+        back = -1 if order.step > 0 else 1
+        for i in order:
+            if text[i + back] and size[i] and lines[i][2] == lines[i + back][2]:
+                text[i] = True
+    # short lines between two regions on one side of the border
+    at = [i for i in range(n) if text[i]]
+    for a, b in zip(at, at[1:], strict=False):
+        if all(lines[k][2] == lines[a][2] for k in range(a + 1, b + 1)):
+            for k in range(a + 1, b):
+                text[k] = size[k] > 0
+    return [line[0] for line, is_text in zip(lines, text, strict=True) if is_text]
 
 
 def main_text(page: str | None) -> str:

@@ -286,6 +286,26 @@ def test_region_follows_surge_and_dive():
     assert H.region(lines) == ["x" * 90, "short", "y" * 200]
 
 
+def test_main_text_is_found_without_article_tags(spark):
+    rows = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html").collect()
+    assert len(rows) > 20
+    for r in rows:
+        want = H.main_text(r["html"])
+        for tag in ("", "div"):
+            bare = r["html"].replace("<article>", f"<{tag}>" if tag else "").replace("</article>", f"</{tag}>" if tag else "")
+            assert H.main_text(bare) == want, r["page_id"]
+
+
+def test_lines_outside_the_content_can_surge():
+    far = LONG * 5
+    assert H.main_text(page(f"<article><p>{LONG}</p></article><p><a href=x>Next</a></p><p>{far}</p>")) == f"{LONG}{far}".strip()
+    assert H.main_text(page(f"<p>By line</p><article><p>{LONG}</p><p>End.</p><p>Fin.</p></article><p>Imprint</p>")) == f"{LONG}End. Fin."
+    # short lines between two regions stay, link lines and what lies behind them do not
+    between = "".join(f"<p>Item {i}</p>" for i in range(9))
+    got = H.main_text(page(f"<p>Log in</p><p><a href=x>Home</a></p><p>Title</p><p>{LONG}</p>{between}<p><a href=x>More</a></p><p>{LONG}</p><p><a href=x>Next</a></p><p>Imprint</p>"))
+    assert got == f"Title {LONG}" + "".join(f"Item {i} " for i in range(9)) + LONG.strip()
+
+
 def test_archives_round_trip(spark):
     big = "<p>" + "päyload " * 40 + "</p>"
     rows = [
