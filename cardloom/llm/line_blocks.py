@@ -6,7 +6,9 @@ sums surge above the threshold and end where they dive below it. Short lines bet
 text as well, and so are those next to a region up to a line without weight.
 
 Lines of mostly link text weigh nothing, nor do those of elements that say by tag, role, class or id
-that they are menus, headers, footers, sidebars, notices, adverts, forms or comments. Where a page has an ``article`` or ``main``
+that they are menus, headers, footers, sidebars, notices, adverts, forms or comments. Such a mark is
+passed over on a wrapper, an element that holds most of the page's unlinked text (MOST; of elements
+whose whole name is a mark, like ``footer``, NEARLY_ALL). Where a page has an ``article`` or ``main``
 element, lines in it weigh CONTENT_WEIGHT times their length and the others that part of it; windows
 do not reach over its border. A page without surge is all text, of the lines that weigh most.
 
@@ -29,8 +31,8 @@ WINDOW = 3
 SURGE_CHARS = 80  # sum over a window that starts a text region
 LINK_SHARE = 0.6  # lines of mostly link text count as empty
 CONTENT_WEIGHT = 4  # of lines in article or main; others are divided by it
-MOST = 0.5
-NEARLY_ALL = 0.9
+MOST = 0.5  # share of the unlinked text that makes an element with a mark a wrapper
+NEARLY_ALL = 0.9  # the same for an element whose name is a mark as a whole
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*>?", re.S)
 SILENT = frozenset("script style noscript template svg math canvas iframe object select textarea head title button".split())
@@ -157,7 +159,25 @@ def lines_of(page: str) -> list[tuple[str, float, bool]]:
     close_line()
 
     lines = [(_pieces(pieces), inside) for pieces, inside in raw]
-    marked = set(range(len(marks)))
+    total, in_content = 0, 0
+    held_by = [0] * len(marks)
+    for pieces, inside in lines:
+        for text, linked, of in pieces:
+            n = 0 if linked else len(text) - text.count(" ")
+            total += n
+            in_content += n if inside else 0
+            for k in of:
+                held_by[k] += n
+    any_content = any(inside for _, inside in lines)
+    marked = set()
+    for k, (share, inside) in enumerate(marks):
+        if any_content and not inside and k not in holds_content:
+            wrapper = False  # the page says that its text is elsewhere
+        else:
+            # inside article or main a mark is an exception that the page makes
+            wrapper = held_by[k] > (NEARLY_ALL * in_content if inside else share * total)
+        if not wrapper:
+            marked.add(k)
 
     out: list[tuple[str, float, bool]] = []
     for pieces, inside in lines:

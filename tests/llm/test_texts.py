@@ -306,6 +306,26 @@ def test_lines_outside_the_content_can_surge():
     assert got == f"Title {LONG}" + "".join(f"Item {i} " for i in range(9)) + LONG.strip()
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ["<div class='has-sidebar'>", "<div class='layout-with-sidebar'>", "<div class='content no-header'>", "<div id='main-form'>", "<form method=post>", "<div class='page'><form><div class='has-sidebar'>"],
+)
+def test_wrappers_of_the_text_are_not_dropped(wrapper):
+    text, want = f"<h1>Head</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p>", f"Head {LONG}Short. {LONG}".strip()
+    side = "<div class='sidebar'><p>A few words of the side.</p></div>"
+    ends = "</div></form></div>"
+    around = lambda x: page(f"<nav><a href=x>Home</a></nav>{wrapper}{x}{side}{ends}<footer>Some words of the footer.</footer>")
+    assert H.main_text(around(text)) == want
+    assert H.main_text(around(f"<article>{text}</article>")) == want
+    assert H.main_text(around(f"<main>{wrapper}{text}{ends}</main>")) == want
+
+
+def test_marks_hold_on_elements_beside_the_text():
+    assert H.main_text(page(f"<p>{LONG}</p><div class='comments-area'>{'<p>' + LONG + '</p>'}{'<p>' + LONG + '</p>'}</div>")) == LONG.strip()
+    assert H.main_text(page(f"<article><p>Tiny.</p></article><footer>{LONG}</footer>")) == "Tiny."
+    assert H.main_text(page(f"<article></article><div class='ad'>Some advert.</div><footer>{LONG}</footer>")) == ""
+
+
 def test_archives_round_trip(spark):
     big = "<p>" + "päyload " * 40 + "</p>"
     rows = [
