@@ -1,20 +1,23 @@
 """URL filter by association rules of URL tokens.
 
 Tokens of a URL are its scheme, the labels of its host with their place, the words of its path and
-the names of its query parameters. FP-growth over the token sets of labelled pages (a page is bad if
-its label says toxic or of low quality) finds frequent combinations; those that come with the bad
-mark in at least ``confidence`` of their pages become rules, and a rule is dropped where one with
-fewer tokens of it is at least as confident. A page is blocked if it holds all tokens of a rule. Rules
+the names of its query parameters. A page shows the document whose number ends its path, and has
+that document's label. FP-growth over the token sets of labelled pages (a page is bad if its label
+says toxic or of low quality) finds frequent combinations; those that come with the bad mark in at
+least ``confidence`` of their pages, and in ``least`` pages, become rules if that is no coincidence: the
+chance of so many bad pages at the base rate, times the number of combinations looked at, is at most
+CHANCE. A rule is dropped where one with fewer tokens of it is at least as confident. A page is blocked if it holds all tokens of a rule. Rules
 are found by an inverted index from their rarest token. Fixed rules on (host, path) come first: a
 rule fits its host and all subdomains when the path starts with the rule's path; the longest wins.
 
 Null URLs and those without ``://`` have an empty host and path, match no rule and are allowed unless
-the rules learned say otherwise of their (empty) token set. Repeated rows each get their row. Without
-labels there are no learned rules.
+the rules learned say otherwise of their (empty) token set. Pages whose path ends in no number have no
+label. Repeated rows each get their row. Without labels there are no learned rules.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from functools import partial
@@ -33,6 +36,8 @@ FIXED_RULES = (
 )
 SUPPORT = 0.002
 CONFIDENCE = 0.7
+LEAST = 10  # bad pages of a rule, whatever the share
+CHANCE = 0.01  # that any rule is found among labels without a bearing on URLs
 MAX_RULE_BYTES = 64 << 20  # what is sent to the tasks
 BAD = "\u0001bad"
 # A-Z and a-z of ASCII, for lower-casing hosts by these letters only
@@ -82,23 +87,43 @@ class Rules:
         return any(rule <= have for t in have if t in self.index for rule in self.index[t])
 
 
-def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> Rules:
-    """Rules from pages whose id has a label. labels: (doc_id, quality, toxic)."""
+def document_number(url):
+    """The number that ends the path, null without one: /en/12, /en/12/ and /en/12.html."""
+    _, path = url_parts(url)
+    return F.regexp_extract(path, r"/([0-9]+)(?:\.[A-Za-z0-9]+)?/?$", 1).try_cast("bigint")
+
+
+def chance_of(bad: int, of: int, base: float) -> float:
+    """An upper bound (Chernoff) of the chance of at least ``bad`` of ``of`` pages at the base rate."""
+    share = bad / of
+    if share <= base or base <= 0:
+        return 1.0
+    rest = (1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0.0
+    return math.exp(-of * (share * math.log(share / base) + rest))
+
+
+def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> Rules:
+    """Rules from pages whose document has a label. labels: (doc_id, quality, toxic)."""
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
     marks = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max(bad).alias("bad")).filter("bad is not null and _id is not null")
-    sets = pages.select(F.col("page_id").alias("_id"), tokens(F.col("url")).alias("t")).join(marks, "_id")
+    sets = pages.select(document_number(F.col("url")).alias("_id"), tokens(F.col("url")).alias("t")).join(marks, "_id")
     items = F.when(F.col("bad") == 1, F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t"))
     baskets = sets.select(items.alias("items")).persist()
-    if baskets.isEmpty():
+    n, n_bad = baskets.agg(F.count("*"), F.count_if(F.array_contains("items", BAD))).first()
+    if n_bad < least:
+        baskets.unpersist()
         return Rules([], {})
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=confidence).fit(baskets)
     frequent = model.freqItemsets.select("items", "freq").persist()
     with_bad = frequent.filter(F.array_contains("items", BAD) & (F.size("items") > 1))
     with_bad = with_bad.select(F.array_sort(F.array_remove("items", BAD)).alias("rule"), F.col("freq").alias("bad_freq"))
     all_ = frequent.filter(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("rule"), "freq")
-    found = with_bad.join(all_, "rule").withColumn("conf", F.col("bad_freq") / F.col("freq")).filter(F.col("conf") >= confidence)
+    found = with_bad.join(all_, "rule").withColumn("conf", F.col("bad_freq") / F.col("freq")).filter((F.col("conf") >= confidence) & (F.col("bad_freq") >= least))
+    looked_at = all_.count()
     rules, size = [], 0
     for r in found.toLocalIterator():
+        if looked_at * chance_of(r["bad_freq"], r["freq"], n_bad / n) > CHANCE:
+            continue
         rules.append((tuple(r["rule"]), r["conf"], r["bad_freq"]))
         size += sum(len(t) for t in r["rule"]) + 64
         if size > MAX_RULE_BYTES:

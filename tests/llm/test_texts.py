@@ -248,6 +248,29 @@ def test_learned_rules_are_those_of_all_combinations(spark):
     assert U.judge(pages.limit(0), rules).collect() == []
 
 
+def test_labels_go_to_pages_by_the_number_in_the_url(spark):
+    urls = {"http://a.org/en/12": 12, "http://a.org/en/12/": 12, "http://a.org/en/12.html?page=7": 12, "http://a.org/x7/9#3": 9, "http://a.org/12/en": None, "http://a.org": None, "": None, None: None}
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r["url"]: r["n"] for r in df.select("url", U.document_number(F.col("url")).alias("n")).collect()} == urls
+    # page ids run against the document numbers, so labels joined by page_id would block the good host
+    rows = [(199 - i, f"http://{'spam' if i < 100 else 'good'}.org/{i}", None) for i in range(200)]
+    pages = spark.createDataFrame(rows, PAGES)
+    labels = spark.createDataFrame([(i, int(i >= 100), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    rules = U.mine(pages, labels)
+    blocked = {r["page_id"] for r in U.judge(pages, rules, ()).collect() if r["verdict"] == "block"}
+    assert blocked == {199 - i for i in range(100)}
+
+
+def test_coincidences_are_no_rules(spark):
+    r = random.Random(8)
+    rows = [(i, f"http://h{r.randrange(40)}.org/{'abc'[i % 3]}{r.choice('xyz')}/{r.choice('uvw')}/{i}", None) for i in range(900)]
+    labels = [(i, int(r.random() > 0.25), 0) for i in range(900)]
+    pages = spark.createDataFrame(rows, PAGES)
+    assert U.mine(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).rules == []
+    few = spark.createDataFrame([(1, 0, 0), (2, 0, 0), *((i, 1, 0) for i in range(3, 80))], "doc_id long, quality int, toxic int")
+    assert U.mine(pages, few).rules == []
+
+
 def page(body, head=""):
     return f"<!DOCTYPE html><html><head><title>T</title>{head}</head><body>{body}</body></html>"
 
