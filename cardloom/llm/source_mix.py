@@ -10,8 +10,11 @@ blocks go to the highest quotients target / (2 k + 1), ties to the first source.
 source are dealt by a hash of their id into shards of about ``shard_words`` words, and the source's
 blocks are apportioned to its shards by size in the same way. A shard's documents, in seeded order,
 form one line of words, cut into blocks; all blocks are taken as often as the quota allows in full,
-and the rest is a seeded choice of blocks. A document's ``taken`` is the number of its words in
-taken blocks, repeats counted.
+and the rest is a seeded choice of blocks.
+
+``spans`` returns what is taken of each document: pass, first and last word of each piece, in the order
+of the shard's line. ``mixed_texts`` cuts these pieces out of the texts, which gives the mixed corpus.
+A document's ``taken`` in ``mix`` is the sum of its pieces, repeats counted.
 
 Null text counts 0 words and is never taken. Repeated rows and ids are separate documents of the
 line. Null ids hash like a fixed value. An empty table gives an empty result.
@@ -19,8 +22,12 @@ line. Null ids hash like a fixed value. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+from functools import partial
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +40,7 @@ REPEAT = 2
 BLOCK_WORDS = 32
 SHARD_WORDS = 1_000_000
 RESULT = ("size", "source_size", "target", "taken")
+PLACES = ("source_number", "shard", "begin", "takes")
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -96,7 +104,7 @@ def _shard_quotas(group: pd.DataFrame) -> pd.DataFrame:
     return group.assign(quota=quota)[["number", "shard", "n_blocks", "quota"]]
 
 
-def mix(
+def spans(
     docs: DataFrame,
     id_col: str = "doc_id",
     source_col: str = "source",
@@ -109,9 +117,12 @@ def mix(
     seed: int = 4,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Id, source, the ``keep`` columns, and size, source_size, target, taken; one row per document.
+    """Id, source, the ``keep`` columns, and what is taken; one row per document.
 
-    Columns to keep that are named like a result are replaced by it.
+    size, source_size, target and taken are the figures. source_number and shard name the shard, begin
+    is the document's first word in the shard's line, and takes holds a struct (pass, first, last) for
+    each piece, words counted from 0 in the document: the whole document for each pass in full, then
+    one piece for each chosen block. Columns to keep that are named like a result are replaced by it.
     """
     spark = docs.sparkSession
     wide = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sizes_of(text_col).alias("size"), *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep])
@@ -153,16 +164,63 @@ def mix(
     start = F.pmod(F.xxhash64("number", "shard", F.lit(seed + 2)), F.greatest("n_blocks", F.lit(1)))
     out = out.withColumns({"rest": rest, "passes": passes, "start": start})
 
-    def words_of(block):
-        from_, to = F.greatest(F.col("begin"), block * block_words), F.least(F.col("begin") + F.col("size"), (block + 1) * block_words)
+    def span(pass_, first, last):
+        return F.struct(pass_.cast("int").alias("pass"), first.cast("bigint").alias("first"), last.cast("bigint").alias("last"))
+
+    def chosen(block):
         turn = F.pmod(block + F.col("start"), F.col("n_blocks"))
         # block k is chosen where the running count of rest / n_blocks steps up
-        chosen = F.floor((turn + 1) * F.col("rest") / F.col("n_blocks")) > F.floor(turn * F.col("rest") / F.col("n_blocks"))
-        return F.when(chosen, to - from_).otherwise(F.lit(0).cast("bigint"))
+        return F.floor((turn + 1) * F.col("rest") / F.col("n_blocks")) > F.floor(turn * F.col("rest") / F.col("n_blocks"))
 
+    def piece(block):
+        from_, to = F.greatest(F.col("begin"), block * block_words), F.least(F.col("begin") + F.col("size"), (block + 1) * block_words)
+        return span(F.col("passes"), from_ - F.col("begin"), to - F.col("begin") - 1)
+
+    nothing = F.array().cast("array<struct<pass:int,first:bigint,last:bigint>>")
+    full = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("passes") - 1), lambda p: span(p, F.lit(0), F.col("size") - 1))
     first, last = F.floor(F.col("begin") / block_words), F.floor((F.col("begin") + F.col("size") - 1) / block_words)
-    some = F.aggregate(F.sequence(first, last), F.lit(0).cast("bigint"), lambda a, k: a + words_of(k))
-    taken = F.col("passes") * F.col("size") + F.when((F.col("size") > 0) & (F.col("rest") > 0), some).otherwise(F.lit(0).cast("bigint"))
-    kept = [F.col(f"keep_{c}").alias(c) for c in keep if c not in (id_col, source_col, *RESULT)]
-    first = [F.col("id").alias(id_col), F.col("source").alias(source_col)]
-    return out.select(*first, *kept, "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+    some = F.transform(F.filter(F.sequence(first, last), chosen), piece)
+    takes = F.concat(
+        F.when((F.col("size") > 0) & (F.col("passes") > 0), full).otherwise(nothing),
+        F.when((F.col("size") > 0) & (F.col("rest") > 0), some).otherwise(nothing),
+    )
+    out = out.withColumn("takes", takes)
+    taken = F.aggregate("takes", F.lit(0).cast("bigint"), lambda n, t: n + t["last"] - t["first"] + 1)
+    kept = [F.col(f"keep_{c}").alias(c) for c in keep if c not in (id_col, source_col, *RESULT, *PLACES)]
+    names = [F.col("id").alias(id_col), F.col("source").alias(source_col)]
+    return out.select(*names, *kept, "size", "source_size", "target", taken.alias("taken"), F.col("number").alias("source_number"), "shard", "begin", "takes")
+
+
+def mix(docs: DataFrame, *args, **options) -> DataFrame:
+    """The figures of ``spans``, which has the parameters: without the places and pieces."""
+    return spans(docs, *args, **options).drop(*PLACES)
+
+
+def _cut_batches(batches, n_text: int):
+    """Pieces of each text, white space inside them as it stands."""
+    word = re.compile(WORD)
+    for batch in batches:
+        row, cols = [], ([], [], [], [])
+        for i, (text, begin, takes) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(n_text, n_text + 3)), strict=True)):
+            if not takes:
+                continue
+            at = np.array([m.span() for m in word.finditer(text)])
+            for t in takes:
+                row.append(i)
+                for col, value in zip(cols, (t["pass"], begin + t["first"], begin + t["last"], text[at[t["first"], 0] : at[t["last"], 1]]), strict=True):
+                    col.append(value)
+        took = pa.array(row, pa.int64())
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(took) for k in range(n_text)), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], [*batch.schema.names[:n_text], "pass", "first", "last", "text"])
+
+
+def mixed_texts(planned: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mixed corpus, of ``spans`` that keep the text: one row per piece.
+
+    (id, source, source_number, shard, pass, first, last, text): first and last are words of the shard's
+    line, so a shard's pieces by (pass, first) are its text in order.
+    """
+    names = [id_col, source_col, "source_number", "shard"]
+    work = planned.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("_text"), "begin", "takes")
+    schema = work.drop("_text", "begin", "takes").schema.add("pass", "integer").add("first", "long").add("last", "long").add("text", "string")
+    return work.mapInArrow(partial(_cut_batches, n_text=len(names)), schema)

@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns
 a DataFrame that is written as parquet and read again. All stages but the last return the columns
-of documents unchanged; the last adds what the mix takes of each document.
+of documents unchanged; the last adds the pieces (pass, first and last word) that the
+mix takes of each document, and their shard.
 """
 
 from __future__ import annotations
@@ -44,8 +45,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their size, their source's size and target, and the words taken."""
-    return source_mix.mix(docs, keep=tuple(docs.columns))
+    """All documents with their size, their source's size and target, and the pieces that the mix takes.
+
+    ``source_mix.mixed_texts`` of the result is the text of the mix.
+    """
+    return source_mix.spans(docs, keep=tuple(docs.columns))
 
 
 STAGES = [

@@ -237,6 +237,39 @@ def test_mix_meets_its_contract(spark):
         assert abs(taken[s] - t) <= 0.01 * t + 4 * M.BLOCK_WORDS
 
 
+def test_mixed_texts_are_the_blocks_of_the_shards(spark):
+    r = random.Random(9)
+    rows = [(i if i % 9 else None, " \n".join(f"w{i}.{k}" for k in range(r.randint(0, 300))) + " ", "en", r.choice(["a", "b", "b", "b", "c"]), i) for i in range(300)]
+    df = spark.createDataFrame(rows, DOCS)
+    planned = M.spans(df, shard_words=5000, keep=("text", "n_chars"))
+    got = planned.collect()
+    digest = M.mix(df, shard_words=5000, keep=("n_chars",)).collect()
+    taken = {x["n_chars"]: x["taken"] for x in digest}
+    assert len(got) == len(rows) and sum(taken.values()) > 0
+    assert all(sum(t["last"] - t["first"] + 1 for t in x["takes"]) == x["taken"] == taken[x["n_chars"]] for x in got)
+    pieces = defaultdict(list)
+    for x in M.mixed_texts(planned).collect():
+        pieces[x["source_number"], x["shard"]].append(x)
+    lines = defaultdict(list)
+    for x in sorted((x for x in got if x["size"]), key=lambda x: x["begin"]):
+        assert len(lines[x["source_number"], x["shard"]]) == x["begin"]
+        lines[x["source_number"], x["shard"]] += x["text"].split()
+    assert any(len(x["takes"]) > 1 for x in got) and len(lines) > 3
+    times = set()
+    for shard, line in lines.items():
+        count = [0] * len(line)
+        for p in pieces[shard]:
+            assert p["text"].split() == line[p["first"] : p["last"] + 1]
+            for k in range(p["first"], p["last"] + 1):
+                count[k] += 1
+        # a block is taken as a whole, and its times differ by one at most from the others'
+        for k in range(0, len(line), M.BLOCK_WORDS):
+            assert len(set(count[k : k + M.BLOCK_WORDS])) == 1
+        assert max(count) - min(count) <= 1
+        times |= set(count)
+    assert len(times) > 1
+
+
 def plain_targets(sizes):
     weights = [(3, 1, 2)[i % 3] for i in range(len(sizes))]
     capped = set()
