@@ -1,7 +1,8 @@
 """Document fingerprints by Order MinHash, in built-in expressions only.
 
-The k-mers of a text are its runs of K words (runs without white space, longer ones cut every
-WORD_CHARS characters; a shorter text is one k-mer). The n-th occurrence of a k-mer in the text
+The k-mers of a text are its runs of K words (runs without white space; a shorter text is one k-mer).
+A run of over WORD_CHARS characters, as in scripts without spaces, gives the PIECE_CHARS characters
+from each of its characters on as words, so an edit changes only the k-mers around it. The n-th occurrence of a k-mer in the text
 becomes an element (k-mer, n). For each of SKETCHES orders the L smallest elements are selected,
 brought back to their order in the text, and the tuple of their k-mers is hashed. Equal tuples in
 two texts show k-mers that are shared and stand in the same order, so the share of equal sketches
@@ -27,6 +28,10 @@ K = 3
 L = 2
 SKETCHES = 32
 WORD_CHARS = 24
+PIECE_CHARS = 6
+_WORD = r"(?<!\S)\S{1,%d}(?!\S)" % WORD_CHARS
+# a word as a whole, or at each character of a longer run the piece that begins there
+WORDS = r"(?=(%s|\S{%d}))(?:%s|\S)" % (_WORD, PIECE_CHARS, _WORD)
 PLACE_BITS = 26
 HASH_BITS = 63 - PLACE_BITS
 _PLACE = (1 << PLACE_BITS) - 1
@@ -41,7 +46,7 @@ def _ring(h: Column) -> Column:
 def with_fingerprint(df: DataFrame, text_col: str, out: str, k: int = K) -> DataFrame:
     """``df`` with column ``out``: 8 hexadecimal digits per sketch, empty for texts without words."""
     w, s, e, n = f"_{out}_w", f"_{out}_s", f"_{out}_e", f"_{out}_n"
-    df = df.withColumn(w, F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\S{1,%d}" % WORD_CHARS), F.lit(0)))
+    df = df.withColumn(w, F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORDS), F.lit(1)))
     last = F.greatest(F.size(w) - k, F.lit(0))
     word = F.col(w)
     # (hash of the k-mer, place), sorted: equal k-mers are neighbours in text order

@@ -122,6 +122,21 @@ def test_fingerprint_is_the_plain_one(spark):
         assert got[t] == "".join(sketches), t
 
 
+def test_one_insertion_in_unspaced_text_keeps_the_likeness(spark):
+    r = random.Random(2)
+    rows = []
+    for n, alphabet in ((72, range(0x4E00, 0x4F00)), (3000, range(0x4E00, 0x4F00)), (3000, range(0x61, 0x7B)), (500, range(0x1F600, 0x1F640))):
+        text = "".join(chr(r.choice(alphabet)) for _ in range(n))
+        rows += [(n, text, text[:9] + "x" + text[9:]), (-n, text, "".join(r.sample(text, n)))]
+    rows.append((24, "ab " + "y" * 24 + " c", "ab " + "y" * 24 + " c"))
+    df = O.with_fingerprint(O.with_fingerprint(spark.createDataFrame(rows, "n long, a string, b string"), "a", "fa"), "b", "fb")
+    got = df.select("n", O.likeness("fa", "fb").alias("near")).collect()
+    assert len(got) == len(rows)
+    assert all(x["near"] > 0.8 if x["n"] >= 500 or x["n"] == 24 else x["near"] > 0.5 if x["n"] > 0 else x["near"] < 0.3 for x in got), got
+    words = spark.createDataFrame([("ab " + "abcdefgh" * 3 + " " + "z" * 23 + "ab c",)], "t string").select(F.regexp_extract_all("t", F.lit(O.WORDS), F.lit(1)).alias("w")).first()["w"]
+    assert words == ["ab", "abcdefgh" * 3, *["z" * 6] * 18, "zzzzza", "zzzzab", "c"]
+
+
 def xx_long(spark, h, n):
     return spark.range(1).select(F.xxhash64(F.lit(h).cast("bigint"), F.lit(n).cast("int")).alias("h")).first()["h"]
 
