@@ -218,9 +218,10 @@ def _(spark, sf):
 
     k = natural_sort_key("number")
     keyed = bulk(spark, sf).select(
-        "id", "number", F.coalesce(k["number"], F.lit(2**62)).alias("n"), k["padded"].alias("p"), k["raw"].alias("r")
+        "id", "number", *[k[x].alias(f"k_{x}") for x in ("coarse", "side", "number", "beyond", "ordered", "raw")]
     )
-    return row_positions(keyed, [], ["n", "p", "r", "id"], "place").select("id", "number", "place")
+    order = ["k_coarse", "k_side", "k_number", "k_beyond", "k_ordered", "k_raw", "id"]
+    return row_positions(keyed, [], order, "place").select("id", "number", "place")
 
 
 @query(

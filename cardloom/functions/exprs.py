@@ -81,22 +81,44 @@ def rate_band(rate: Column | str) -> Column:
 
 
 def natural_sort_key(c: Column | str, width: int = 20) -> Column:
-    """Sort key that orders embedded numbers by value: leading integer, then padded text.
+    """Sort key that orders embedded numbers by value: leading integer, then text by number runs.
 
-    Texts without a leading integer sort after those with one.
+    Texts without a leading integer sort after those with one. Numbers have no greatest size: those
+    beyond a bigint have a null ``number`` and sort by sign and ``beyond``, runs by length and digits.
+    ``padded`` has runs of at least ``width`` digits; ``coarse`` is a whole number within 2**61 that never
+    falls along the key, for cutting it into chunks.
     """
     text = F.coalesce(as_col(c).cast("string"), F.lit(""))
     runs = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1))
-    padded = F.transform(
-        runs,
-        lambda r: F.when(
-            r.rlike(r"^\d"),
-            F.lpad(F.regexp_replace(r, r"^0+(?=\d)", ""), width, "0"),
-        ).otherwise(F.lower(r)),
+
+    def joined(number) -> Column:
+        def part(r: Column) -> Column:
+            return F.when(r.rlike(r"^\d"), number(F.regexp_replace(r, r"^0+(?=\d)", ""))).otherwise(F.lower(r))
+
+        return F.array_join(F.transform(runs, part), "")
+
+    def sized(digits: Column) -> Column:
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+    lead = F.regexp_extract(text, r"^\s*([+-]?\d+)", 1)
+    digits = F.regexp_replace(lead, r"^[+-]?0*(?=\d)", "")
+    number = parse_int(text)
+    # -1 and 1: an integer below and above all of a bigint
+    side = F.when(number.isNotNull(), 0).when(lead.startswith("-"), -1).otherwise(1)
+    falling = F.concat(
+        F.lpad((F.lit(9_999_999_999) - F.length(digits)).cast("string"), 10, "0"),
+        F.translate(digits, "0123456789", "9876543210"),
     )
+    far = F.lit(2**61)
+    within = F.least(F.greatest(number, -far), far)
+    coarse = F.when(lead == "", far + 1).when(number.isNull(), side * far).otherwise(within)
     return F.struct(
-        parse_int(text).isNull().alias("no_number"),
-        parse_int(text).alias("number"),
-        F.array_join(padded, "").alias("padded"),
+        (lead == "").alias("no_number"),
+        coarse.alias("coarse"),
+        side.alias("side"),
+        number.alias("number"),
+        F.when(number.isNotNull() | (lead == ""), "").when(side < 0, falling).otherwise(sized(digits)).alias("beyond"),
+        joined(sized).alias("ordered"),
+        joined(lambda r: F.lpad(r, F.greatest(F.length(r), F.lit(width)), F.lit("0"))).alias("padded"),
         text.alias("raw"),
     )

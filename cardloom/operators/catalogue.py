@@ -186,11 +186,14 @@ def index_page(
     k = natural_sort_key(key)
     keyed = df.select(
         "*",
-        F.coalesce(k["number"], F.lit(2**62)).alias("__num"),
-        k["padded"].alias("__pad"),
+        k["coarse"].alias("__coarse"),
+        k["side"].alias("__side"),
+        k["number"].alias("__num"),
+        k["beyond"].alias("__beyond"),
+        k["ordered"].alias("__runs"),
         k["raw"].alias("__raw"),
     )
-    order = ["__num", "__pad", "__raw", tie]
+    order = ["__coarse", "__side", "__num", "__beyond", "__runs", "__raw", tie]
     out = row_positions(keyed, list(by), order, "position", "n", hot_rows)
-    out = out.drop("__num", "__pad", "__raw")
+    out = out.drop("__coarse", "__side", "__num", "__beyond", "__runs", "__raw")
     return out if i is None else out.filter(F.col("position") == i + 1)

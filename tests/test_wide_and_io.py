@@ -150,3 +150,18 @@ def test_rolling_needs_two_points(spark):
     now = datetime(2023, 11, 20)
     assert stats.rolling_win_rate(at(7), now).count() == 0
     assert [r.win_rate for r in stats.rolling_win_rate(at(8), now, hot_rows=3).collect()] == [100.0, 100.0]
+
+
+@pytest.mark.parametrize("hot_rows", [1_000_000, 3])
+def test_numbers_of_any_length_sort_by_value(spark, hot_rows):
+    from cardloom.functions.exprs import natural_sort_key
+    from cardloom.operators.catalogue import index_page
+
+    want = [
+        "-2" + "0" * 21, "-1" + "0" * 21, "-7", "5", "17", "17a", "17b2", "17b10", str(2**62 - 1), str(2**62), str(2**62 + 1), "9" * 18 + "99",
+        "2" + "0" * 20, "1" + "0" * 21, "1" + "0" * 21 + "a", "A-2", "A-12", "A-2" + "0" * 20, "A-1" + "0" * 21, "b",
+    ]
+    df = spark.createDataFrame([(i, "s", x) for i, x in enumerate(want)], "id long, setCode string, collectorNumber string").repartition(5)
+    got = index_page(df, hot_rows=hot_rows).orderBy("position").collect()
+    assert [r["collectorNumber"] for r in got] == want
+    assert [r["collectorNumber"] for r in df.orderBy(natural_sort_key("collectorNumber")).collect()] == want
