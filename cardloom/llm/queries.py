@@ -14,6 +14,9 @@ from cardloom.llm import (
     line_blocks,
     order_minhash,
     ordinal_quality,
+    piece_codec,
+    pivot_clusters,
+    shared_lists,
     source_mix,
     token_count,
     url_rules,
@@ -25,6 +28,7 @@ ORACLES: dict[str, str] = {}
 
 # the tokenizer file of the token counts; its folder holds public vocabularies on every machine
 VOCABULARY = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"  # the model of the piece codec
 
 
 def query(fn):
@@ -117,6 +121,89 @@ def op10_langid(spark: SparkSession, sf: str) -> DataFrame:
     return langid_ftrl.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op11_shared_lists(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    moved = F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False))
+    label = F.when(moved, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return shared_lists.hard_negatives(rows, F.col("vec_id") % 100 == 0, label=label)
+
+
+ORACLES["op11_shared_lists"] = f"""
+WITH r AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor({shared_lists.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.k AS a, a.vec_id AS anchor_id, b.k AS b, b.vec_id AS id, a.label = b.label AS same,
+         CAST(coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM r a CROSS JOIN r b WHERE a.vec_id % 100 = 0 AND a.k <> b.k),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id NULLS LAST) AS place
+  FROM s WHERE same QUALIFY place <= {shared_lists.POSITIVES}),
+n AS (
+  SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.a, p.place ORDER BY s.score DESC, s.id NULLS LAST) AS INTEGER) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same
+   AND {shared_lists.LOW_PCT} * p.score <= 100 * s.score AND 100 * s.score <= {shared_lists.HIGH_PCT} * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= {shared_lists.NEGATIVES}"""
+
+
+@query
+def op12_piece_codec(spark: SparkSession, sf: str) -> DataFrame:
+    coded = piece_codec.encode(table(spark, sf, "documents"), vocabulary_path(PIECES))
+    decoded = F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
+    return coded.select("doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"), decoded)
+
+
+@query
+def op13_pivot_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return pivot_clusters.cluster(table(spark, sf, "embeddings")).drop("centroid")
+
+
+def _cluster_sql() -> str:
+    """Rounds of assignment and floor means, one pair of tables each."""
+    nearest = """
+a{r} AS MATERIALIZED (
+  SELECT k, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT v.k, m.c, CAST(list_sum(list_transform(list_zip(v.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+    FROM v CROSS JOIN m{r} m)
+  GROUP BY k)"""
+    means = """
+m{next} AS MATERIALIZED (
+  SELECT m.c, coalesce(n.v, m.v) AS v FROM m{r} m LEFT JOIN (
+    SELECT c, list((t - ((t % n) + n) % n) // n ORDER BY i) AS v FROM (
+      SELECT c, i, CAST(sum(x) AS BIGINT) AS t, count(*) AS n FROM (
+        SELECT a.c, unnest(v.v) AS x, unnest(range(len(v.v))) AS i FROM a{r} a JOIN v ON v.k = a.k)
+      GROUP BY c, i)
+    GROUP BY c) n ON n.c = m.c)"""
+    rounds = range(pivot_clusters.ROUNDS)
+    tables = [step.format(r=r, next=r + 1) for r in rounds for step in (nearest, means)]
+    last = pivot_clusters.ROUNDS
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, vec_id,
+         list_transform(embedding, lambda x: CAST(floor({pivot_clusters.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = {pivot_clusters.DIMS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+m0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1 AS c, v
+  FROM v QUALIFY c < {pivot_clusters.CLUSTERS}),
+{",".join(tables)},
+{nearest.format(r=last)}
+SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance,
+       CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a{last} a JOIN v ON v.k = a.k JOIN m{last} m ON m.c = a.c"""
+
+
+ORACLES["op13_pivot_clusters"] = _cluster_sql()
+
+
 @query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
