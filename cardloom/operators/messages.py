@@ -34,7 +34,7 @@ NAME_FIELD = r'(?i)"(?:deckName|name)"\s*:\s*"([^"]+)"'
 ID_FIELD = r'(?i)"(?:deckId|id)"\s*:\s*"([^"]+)"'
 UNKNOWN_DECK = "Unknown Deck"
 
-_LONE_BRACE = r"^\s*\},?\s*$"
+LONE_BRACE = r"^\s*\},?\s*$"
 
 
 def _braces(c: Column) -> Column:
@@ -82,7 +82,7 @@ def extract_messages(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         "line",
         F.coalesce("__start", F.lit(False)).alias("start"),
         part.alias("part"),
-        c.rlike(_LONE_BRACE).alias("lone"),
+        c.rlike(LONE_BRACE).alias("lone"),
         _braces(part).alias("delta"),
     )
     rows = _with_blocks(marked, base, hot_rows)
