@@ -27,6 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path of a folder of the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write a table that several jobs read, and read it back.
 
@@ -34,6 +39,6 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     and readers of one partition value touch only its files.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -16,6 +16,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from cardloom.functions.variants import emit_json
 from cardloom.operators.messages import ARROWS, LONE_BRACE
+from cardloom.sources.growing import name_order
 
 _LONE = re.compile(LONE_BRACE, re.ASCII)
 _LINE_ENDS = "".join(map(chr, (0x0A, 0x0D, 0x85, 0x2028, 0x2029)))  # what a dot does not match in the batch
@@ -47,23 +48,27 @@ class OpenBlocks(StatefulProcessor):
 
     State: ``is_open``; ``text`` and ``depth`` of the open block, whose text is dropped (null) once it
     came back to depth zero without being JSON, as only a lone brace ends it then; ``base``, which
-    is added to places so that they keep growing when a file is read anew, and the ``last`` place.
+    is added to places so that they keep growing when a file is read anew or another file follows;
+    the ``last`` place and its ``file``.
     """
 
     def __init__(self, by: tuple[str, ...]):
         self.shape = Row(*by, "line_no", "line", "text")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.block = handle.getValueState("block", "is_open boolean, text string, depth bigint, base bigint, last bigint")
+        self.block = handle.getValueState("block", "is_open boolean, text string, depth bigint, base bigint, last bigint, file string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        held = self.block.get() if self.block.exists() else (False, None, 0, 0, -1)
-        is_open, text, depth, base, last = held
-        listed = sorted(rows, key=lambda r: r["line_no"])
-        if listed[0]["reset"]:
-            base = last + 1
-        for row in listed:
-            line, last = row["line"], base + row["line_no"]
+        held = self.block.get() if self.block.exists() else (False, None, 0, 0, -1, None)
+        is_open, text, depth, base, last, file = held
+        anew = set()
+        for row in sorted(rows, key=lambda r: (name_order(r["source_file"]), r["line_no"])):
+            name = row["source_file"]
+            if (name != file and file is not None) or (row["reset"] and name not in anew):
+                base = last + 1
+            if row["reset"]:
+                anew.add(name)
+            file, line, last = name, row["line"], base + row["line_no"]
             brace = line.find("{")
             if brace >= 0 and any(a in line for a in ARROWS):
                 rest = line[brace:]
@@ -86,14 +91,15 @@ class OpenBlocks(StatefulProcessor):
                 part = line[brace : line.rfind("}") + 1]
                 if is_json(part):
                     yield self.shape(*key, last, line, part)
-        self.block.update((is_open, text if is_open else None, depth if is_open else 0, base, last))
+        self.block.update((is_open, text if is_open else None, depth if is_open else 0, base, last, file))
 
 
 def stream_messages(lines: DataFrame, by: tuple[str, ...] = ("player_id", "source_file")) -> DataFrame:
     """Stream of lines -> stream of ``by``, ``line_no``, ``line``, ``payload``, as ``extract_messages`` gives.
 
-    Rows of one key and batch are put in order in their task; ``by`` names the key whose lines are
-    in the order of ``line_no``.
+    By player and file it equals the batch operator. By player alone one parser follows all files of a
+    player in the order of their names' times, so a block may begin in one and end in the next;
+    ``line_no`` then grows over the files. The rows of one key and batch are put in order in their task.
     """
     shape = ", ".join(f"{c} string" for c in by) + ", line_no bigint, line string, text string"
     texts = lines.groupBy(*by).transformWithState(

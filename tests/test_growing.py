@@ -134,3 +134,20 @@ def test_places_grow_when_a_file_is_read_anew(spark, tmp_path):
     log.look()
     got = log.rows("line_no", F.expr("try_variant_get(payload, '$.k', 'int')"))
     assert [k for _, k in got] == [1, 2, 3]
+
+
+@pytest.mark.parametrize("together", [True, False])
+def test_one_parser_follows_the_files_of_a_player(spark, tmp_path, together):
+    """The block begins in the old file and ends in the new one, in one look or in two."""
+    log = Lines(spark, tmp_path, lambda df: stream_messages(df, ("player_id",)), startingOffsets="earliest")
+    log.write(A, '{"k": 1}\n==> T {\n"k":')
+    if not together:
+        log.look()
+    log.write(B, '2}\n{"k": 3}\n', player=None)
+    log.write(A, '{"k": 9}\n', player="other")
+    log.look()
+    log.write(B, '{"k": 4}\n')
+    log.look()
+    got = log.rows("player_id", "line_no", F.expr("try_variant_get(payload, '$.k', 'int')"))
+    assert [k for p, _, k in got if p == "local"] == [1, 2, 3, 4]
+    assert [k for p, _, k in got if p == "other"] == [9]
