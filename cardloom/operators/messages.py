@@ -133,7 +133,7 @@ def _with_blocks(marked: DataFrame, lines: DataFrame, hot_rows: int) -> DataFram
     later = Window.partitionBy("source_file").orderBy(F.desc("__chunk")).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    hot_rows_df = c.df.filter(F.col("__lo").isNotNull())
+    hot_rows_df = c.df.filter("__hot")
 
     def depths(df: DataFrame) -> DataFrame:
         summed = df.select("*", F.sum("delta").over(upto).alias("__s"))
@@ -156,7 +156,7 @@ def _with_blocks(marked: DataFrame, lines: DataFrame, hot_rows: int) -> DataFram
             *c.chunk_key(), "__off", F.last("__o", True).over(c.prefix()).alias("__before")
         )
 
-    keep = [*marked.columns, "__chunk", "__lo"]
+    keep = [*marked.columns, "__chunk", "__hot"]
 
     def blocks(df: DataFrame) -> DataFrame:
         placed = c.attach(

@@ -5,18 +5,19 @@ task. One log file, player or match may hold a third of all rows, so each operat
 here works in three steps:
 
 1. count the rows per key (map-side combined) and keep the keys above ``hot_rows``;
-2. cut only those keys into chunks of consecutive order values and run the window
+2. cut only those keys into chunks of about equal numbers of rows and run the window
    inside ``(key, chunk)``;
 3. reduce each chunk to a small summary, run the prefix over the summaries, and hand
    the carry back to the rows of the chunk.
 
-The hot-key table and the carry table have at most ``rows / hot_rows`` (+ one per hot
-key) entries, which is the size bound behind the two ``broadcast`` hints. Whether there
-is a hot key at all is asked once, by a job over the key and order columns; without one
-the plan is the plain window and nothing is joined.
+Chunks end at quantiles of a sample of the key's rows, taken over all order columns together, so
+clustered values, far-off ones, nulls and ties on the first columns do not matter; only rows equal
+in every order column share a chunk. Order columns may be of any type that can be ordered.
 
-The first order column must be numeric, date or timestamp (it is what gets cut); the
-others are tie-breakers. Rows that tie on the first column stay in one chunk.
+The cuts and the carry table have at most ``rows / hot_rows`` (+ one per hot key) entries,
+which is the size bound behind the two ``broadcast`` hints. Whether there is a hot key at all is
+asked once, by a job over the key columns; without one the plan is the plain window and nothing is
+joined. With one, a second job samples the rows of the hot keys; the cuts are then fixed for the plan.
 """
 
 from __future__ import annotations
@@ -27,32 +28,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cardloom.functions.exprs import col
 
 HOT_ROWS = 2_000_000
 
-_CHUNK, _LO, _WIDTH = "__chunk", "__lo", "__width"
+SAMPLES = 64  # sampled rows per chunk: chunks are within twice hot_rows with all but certainty
 
-
-def position(df: DataFrame, name: str) -> Column:
-    """Order column as a non-decreasing whole number, independent of the session zone."""
-    kind = df.schema[name].dataType
-    c = col(name)
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(c)
-    if isinstance(kind, T.TimestampNTZType):
-        days = F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date"))
-        return (
-            days.cast("bigint") * 86400
-            + F.hour(c) * 3600
-            + F.minute(c) * 60
-            + F.second(c)
-        )
-    if isinstance(kind, T.DateType):
-        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("bigint")
-    return F.floor(c).cast("bigint")
+_CHUNK, _HOT = "__chunk", "__hot"
 
 
 def _same(left: Column, right: Column) -> Column:
@@ -81,8 +64,7 @@ class Chunked:
 
     def summary(self, *aggs: Column) -> DataFrame:
         """One row per chunk of a hot key."""
-        hot = self.df.filter(F.col(_LO).isNotNull())
-        return hot.groupBy(*self.chunk_key()).agg(*aggs)
+        return self.df.filter(_HOT).groupBy(*self.chunk_key()).agg(*aggs)
 
     def prefix(self):
         """Frame over all earlier chunks of the key (runs on summaries only)."""
@@ -132,57 +114,56 @@ def split_hot(
     """Number the chunks of every key that holds more than ``hot_rows`` rows.
 
     ``sized_by`` is a cheaper table with the same keys and order values (or more of them)
-    to count on.
+    to count and sample on.
     """
-    pos = position(df, order[0])
-    source = df if sized_by is None else sized_by
-    per_key = source.groupBy(*[col(k) for k in keys]) if keys else source.groupBy()
-    chunks = F.ceil(F.col("__n") / F.lit(hot_rows))
-    hot = (
-        per_key.agg(
-            F.count(F.lit(1)).alias("__n"),
-            F.min(pos).alias(_LO),
-            F.max(pos).alias("__hi"),
-        )
-        .filter((F.col("__n") > hot_rows) & F.col(_LO).isNotNull())
-        .select(
-            *[col(k).alias(f"__h{i}") for i, k in enumerate(keys)],
-            _LO,
-            F.ceil((F.col("__hi") - F.col(_LO) + 1) / chunks).alias(_WIDTH),
-        )
+    names = [f"__h{i}" for i in range(len(keys))]
+    source = (df if sized_by is None else sized_by).select(
+        *[col(k).alias(n) for k, n in zip(keys, names, strict=True)], _order_struct(order).alias("__at")
     )
-    if hot.isEmpty():
-        none = F.lit(None).cast("bigint")
-        plain = df.select(
-            "*", none.alias(_LO), none.alias(_WIDTH), F.lit(0).cast("bigint").alias(_CHUNK)
-        )
+    size = F.count(F.lit(1)).alias("__n")
+    counts = (source.groupBy(*names) if names else source.groupBy()).agg(size).filter(F.col("__n") > hot_rows)
+    hot = counts.toArrow()  # at most rows / hot_rows keys
+    if not hot.num_rows:
+        plain = df.select("*", F.lit(False).alias(_HOT), F.lit(0).cast("bigint").alias(_CHUNK))
         return Chunked(plain, tuple(keys), tuple(order), False)
-    if keys:
-        on = reduce(
-            lambda a, b: a & b,
-            [_same(col(k), F.col(f"__h{i}")) for i, k in enumerate(keys)],
-        )
-        sized = df.join(F.broadcast(hot), on, "left").drop(
-            *[f"__h{i}" for i in range(len(keys))]
-        )
+    cuts = _cuts(source, df.sparkSession.createDataFrame(hot), names, hot_rows)
+    if names:
+        on = reduce(lambda a, b: a & b, [_same(col(k), F.col(n)) for k, n in zip(keys, names, strict=True)])
+        sized = df.join(F.broadcast(cuts), on, "left").drop(*names)
     else:
-        bounds = hot.select(F.struct(_LO, _WIDTH)).scalar()
-        sized = df.select("*", bounds.alias("__b")).select(
-            *df.columns,
-            F.col(f"__b.{_LO}").alias(_LO),
-            F.col(f"__b.{_WIDTH}").alias(_WIDTH),
-        )
-    # Rows without an order value go first, as in an ascending sort.
-    chunk = F.when(F.col(_LO).isNull(), F.lit(0)).otherwise(
-        F.coalesce(F.floor((pos - F.col(_LO)) / F.col(_WIDTH)), F.lit(-1))
-    )
+        sized = df.select("*", cuts.select("__cuts").scalar().alias("__cuts"))
+    below = F.size(F.filter("__cuts", lambda cut: cut <= _order_struct(order)))
+    is_hot = F.col("__cuts").isNotNull()
+    chunk = F.when(is_hot, below).otherwise(F.lit(0)).cast("bigint")
     return Chunked(
-        sized.withColumn(_CHUNK, chunk.cast("bigint")), tuple(keys), tuple(order), True
+        sized.select(*[col(x) for x in df.columns], is_hot.alias(_HOT), chunk.alias(_CHUNK)), tuple(keys), tuple(order), True
     )
 
 
+def _cuts(source: DataFrame, hot: DataFrame, names: Sequence[str], hot_rows: int) -> DataFrame:
+    """First order values of the chunks of every hot key but its first chunk.
+
+    Held as a local table, since another sample would give other cuts.
+    """
+    chunks = F.ceil(F.col("__n") / F.lit(hot_rows))
+    wanted = hot.withColumn("__chunks", chunks).withColumn("__share", F.lit(SAMPLES) * chunks / F.col("__n"))
+    if names:
+        renamed = wanted.withColumnsRenamed({n: f"{n}_" for n in names})
+        on = reduce(lambda a, b: a & b, [_same(F.col(n), F.col(f"{n}_")) for n in names])
+        rows = source.join(F.broadcast(renamed), on)
+    else:
+        rows = source.join(F.broadcast(wanted), F.lit(True))  # one row
+    sampled = rows.filter(F.rand(7) < F.col("__share"))
+    sorted_rows = F.sort_array(F.collect_list("__at")).alias("__s")
+    per_key = sampled.groupBy(*names, "__chunks").agg(sorted_rows)
+    place = lambda i: F.floor(i * F.size("__s") / F.col("__chunks")).cast("int") + 1
+    cuts = F.transform(F.sequence(F.lit(1), F.col("__chunks").cast("int") - 1), lambda i: F.element_at("__s", place(i)))
+    found = per_key.select(*names, F.array_distinct(cuts).alias("__cuts"))
+    return source.sparkSession.createDataFrame(found.toArrow(), found.schema)
+
+
 def _order_struct(order: Sequence[str]) -> Column:
-    return F.struct(*[col(o) for o in order])
+    return F.struct(*[col(o).alias(f"o{i}") for i, o in enumerate(order)])
 
 
 def running_last(
@@ -334,9 +315,8 @@ def rolling_count(
     )
 
     def carry() -> DataFrame:
-        hot = c.df.filter(F.col(_LO).isNotNull())
         tails = (
-            hot.select(*c.chunk_key(), "__f", F.row_number().over(back).alias("__b"))
+            c.df.filter(_HOT).select(*c.chunk_key(), "__f", F.row_number().over(back).alias("__b"))
             .filter(F.col("__b") < k)
             .groupBy(*c.chunk_key())
             .agg(

@@ -76,3 +76,38 @@ def test_timestamp_order(spark):
     )
     out = O.previous(df, [], ["t", "id"], {"x": F.col("v")}, 5)
     assert {r.id: r.x for r in out.collect()} == {i: (None if i == 0 else (i - 1) % 3) for i in range(60)}
+
+
+def sizes(chunked):
+    return {(r[0], r[1]): r[2] for r in chunked.df.groupBy("k", "__chunk").count().collect()}
+
+
+CLUSTERED = {
+    "one shared value": lambda i: (5, i),
+    "one far-off value": lambda i: (2**60 if i == 7 else i % 3, i),
+    "one without a value": lambda i: (None if i == 7 else i, i),
+    "mostly without a value": lambda i: (i if i % 9 == 0 else None, i),
+    "two far files": lambda i: ((i % 2) * 2**41 + i, 0),
+}
+
+
+@pytest.mark.parametrize("case", CLUSTERED)
+def test_chunks_of_clustered_values_are_even(spark, case):
+    data = [("hot", *CLUSTERED[case](i), i) for i in range(6000)] + [("cold", i, i, i) for i in range(50)]
+    df = spark.createDataFrame(data, "k string, a bigint, b bigint, i bigint").repartition(6)
+    c = O.split_hot(df, ["k"], ["a", "b"], 300)
+    found = sizes(c)
+    assert max(found.values()) <= 600
+    assert sum(n for (k, _), n in found.items() if k == "hot") == 6000 and found[("cold", 0)] == 50
+    pos = O.row_positions(df, ["k"], ["a", "b"], "p", "n", 300).filter("k = 'hot'").collect()
+    order = sorted(data[:6000], key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+    assert {r.i: r.p for r in pos} == {r[3]: n for n, r in enumerate(order, 1)}
+
+
+def test_order_columns_of_other_types(spark):
+    data = [("k", f"{i % 11:02}", float(i % 7) if i % 5 else float("nan"), i) for i in range(400)]
+    df = spark.createDataFrame(data, "k string, s string, d double, i bigint").withColumn("t", F.timestamp_seconds("i"))
+    df = df.withColumn("st", F.struct("s", "t")).repartition(4)
+    for order in (["s", "d", "i"], ["st", "i"], ["t"]):
+        plain, cut = (O.row_positions(df, ["k"], order, "p", None, h).select("i", "p") for h in (10_000, 20))
+        assert sorted(plain.collect()) == sorted(cut.collect())
