@@ -237,6 +237,19 @@ def _(spark, sf):
     return K.index_page(b)
 
 
+@query(
+    "index_page_hot_set",
+    f"""WITH {BULK}, h AS (SELECT id, 'HOT' AS setCode, CASE WHEN number LIKE '%7' THEN NULL ELSE number END AS number FROM b)
+    SELECT id, setCode, number AS collectorNumber, row_number() OVER (PARTITION BY setCode ORDER BY {NUMBER_ORDER}) AS position,
+      count(*) OVER (PARTITION BY setCode) AS n FROM h""",
+)
+def _(spark, sf):
+    """One set of all cards, cut into chunks; many cards share a number or have none."""
+    number = F.when(~F.col("number").like("%7"), F.col("number")).alias("collectorNumber")
+    b = bulk(spark, sf).select("id", F.lit("HOT").alias("setCode"), number)
+    return K.index_page(b, hot_rows=100)
+
+
 @query(
     "index_page_second",
     f"""WITH {BULK} SELECT id, set_id AS setCode, number AS collectorNumber,

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cardloom.bindings.registry import query, table, view
+from cardloom.bindings.registry import ORACLES, query, table, view
 from cardloom.functions.exprs import emit
 from cardloom.functions.variants import text, whole
 from cardloom.operators import events as E
@@ -72,6 +72,42 @@ def _(spark, sf):
     return _message_rows(M.extract_messages(_exploded(ev(spark, sf), FORMS), hot_rows=30))
 
 
+def _over_files(lines):
+    """The lines as two files a player, equal in name for all; where possible a block lies over the border."""
+    begins = F.when((F.col("line_no") >= 3000) & (F.col("line_no") % 10 > 0), F.col("line_no"))
+    border = lines.groupBy("source_file").agg(F.coalesce(F.min(begins), F.lit(4000)).alias("border"))
+    newer = F.col("line_no") >= F.col("border")
+    name = F.when(newer, "UTC_Log - 03-02-2024 09.30.00.log").otherwise("UTC_Log - 03-01-2024 10.00.00.log")
+    split = lines.join(border, "source_file").select(F.col("source_file").alias("player_id"), name.alias("source_file"), "line_no", "line")
+    return log_flow.parser_lines(split)
+
+
+def _own_lines(df):
+    """Places back to the numbers of the lines."""
+    return df.withColumn("line_no", F.col("line_no.line"))
+
+
+@query("extract_messages_over_files", MESSAGES_SQL)
+def _(spark, sf):
+    return _own_lines(_message_rows(M.extract_messages(_over_files(_exploded(ev(spark, sf), FORMS)))))
+
+
+@query("extract_messages_over_files_hot", MESSAGES_SQL)
+def _(spark, sf):
+    lines = _over_files(_exploded(ev(spark, sf), FORMS))
+    return _own_lines(_message_rows(M.extract_messages(lines, hot_rows=30)))
+
+
+REPEATED = """CASE k % 3 WHEN 0 THEN concat('{"k": 0, "e": ', event_id, ', "k": ', k, '}')
+  WHEN 1 THEN concat('<== T {"e": 1, "k": ', k, ', "e": ', event_id, '}')
+  ELSE concat('{"x": {"a": 1, "a": 2}, "k": ', k, ', "e": ', event_id, '}') END"""
+
+
+@query("extract_messages_repeated_keys", f"WITH {EV} SELECT {FILE}, event_id * 10 AS line_no, k, event_id AS e FROM ev")
+def _(spark, sf):
+    return _message_rows(_messages(ev(spark, sf), REPEATED))
+
+
 ROUTED = """CASE k % 10
   WHEN 0 THEN '{"InventoryInfo":{},"Summaries":[]}'
   WHEN 1 THEN '{"matchGameRoomStateChangedEvent":{}}'
@@ -461,3 +497,24 @@ def _(spark, sf):
         "player_id", "id", "event_id", "format", "opponent_name", "opponent_platform", "on_play",
         "result", "game_count", *ntz, "win_condition",
     )
+
+
+# --- the same over two files a player ----------------------------------------------------
+
+
+@query("deck_name_from_line_over_files", ORACLES["deck_name_from_line"])
+def _(spark, sf):
+    lines = _over_files(_single(ev(spark, sf), NAME_LINES))
+    return _own_lines(M.deck_name_from_line(M.extract_messages(lines))).drop("ord")
+
+
+@query("deck_from_request_over_files", ORACLES["deck_from_request"])
+def _(spark, sf):
+    routed = M.route(M.extract_messages(_over_files(_single(ev(spark, sf), REQUESTS))))
+    return _own_lines(M.deck_from_request(routed)).drop("ord")
+
+
+@query("match_ends_over_files", ENDS_SQL)
+def _(spark, sf):
+    routed = stage(M.route(M.extract_messages(_over_files(order_lines(spark, sf)))), "routed", "kind")
+    return _own_lines(E.match_ends(routed, E.match_starts(routed))).drop("ord")

@@ -1,6 +1,7 @@
 """Log lines -> JSON messages -> routed messages -> deck names.
 
-A line table has ``source_file``, ``line_no`` (order inside the file) and ``line``.
+A line table has ``source_file``, ``line_no`` (order inside the file, of any type that can be ordered) and
+``line``. ``plans.log_flow.parser_lines`` puts the player and the place among all files there.
 """
 
 from __future__ import annotations
@@ -192,7 +193,7 @@ def _with_blocks(marked: DataFrame, lines: DataFrame, hot_rows: int) -> DataFram
             F.last("__brace", True).over(before).alias("__brace_in"),
         )
         b = F.col("b")
-        like = {"__zero_old": "bigint", "__brace_old": "bigint"}
+        like = {"__zero_old": "__zero_in", "__brace_old": "__brace_in"}
         out = c.attach(seen, ends_carry, like).select(
             *keep,
             "b",

@@ -11,11 +11,9 @@ from cardloom.functions.exprs import first_text
 from cardloom.operators import events as E
 from cardloom.operators import fold
 from cardloom.operators import messages as M
-from cardloom.operators.ordered import HOT_ROWS, row_positions
+from cardloom.operators.ordered import HOT_ROWS
 from cardloom.plans.staging import stage
-from cardloom.sources.scan import log_files
-
-FILE_BITS = 41  # positions inside one file stay below 2**41
+from cardloom.sources.scan import log_time
 
 
 def with_player(lines: DataFrame, player: str | None = None) -> DataFrame:
@@ -25,23 +23,23 @@ def with_player(lines: DataFrame, player: str | None = None) -> DataFrame:
     return lines.withColumn("player_id", F.lit(player or "local"))
 
 
-def per_player_files(lines: DataFrame) -> DataFrame:
-    """Name files by player and file: log names are times, so players may share them."""
-    player = F.coalesce(F.col("player_id").cast("string"), F.lit(""))
-    named = F.concat(F.length(player).cast("string"), F.lit(":"), player, F.lit("/"), "source_file")
-    return lines.withColumn("source_file", named)
-
+def parser_lines(lines: DataFrame, player: str | None = None) -> DataFrame:
+    """Lines (or messages) of log files as one parser per player reads them: file after file.
 
-def file_order(lines: DataFrame) -> DataFrame:
-    """Files with the number of their place among the player's logs."""
-    files = log_files(lines, ("player_id",))
-    ranked = row_positions(files, ["player_id"], ["log_time", "source_file"], "file_no")
-    return ranked.select("player_id", "source_file", "file_no", "log_time")
+    ``source_file`` becomes the player, and ``line_no`` the place (``log_time``, ``file``, ``line``) among the
+    lines of all files, so the operators keep their state over a rotation and files of one name of two
+    players stay apart. Files without a time in their name are left out.
+    """
+    lines = with_player(lines, player)
+    place = F.struct(log_time("source_file").alias("log_time"), F.col("source_file").alias("file"), F.col("line_no").alias("line"))
+    others = [c for c in lines.columns if c not in ("player_id", "source_file", "line_no")]
+    name = F.coalesce(F.col("player_id").cast("string"), F.lit(""))
+    return lines.select(name.alias("source_file"), place.alias("line_no"), *others).filter(F.col("line_no.log_time").isNotNull())
 
 
 @dataclass(frozen=True)
 class LogEvents:
-    """Typed events of a set of logs; every table has ``source_file``, ``line_no``, ``ord``."""
+    """Typed events of placed lines; every table has ``source_file`` (player), ``line_no`` (place), ``ord``."""
 
     messages: DataFrame
     routed: DataFrame
@@ -116,15 +114,10 @@ def events_of(
     )
 
 
-def ordered(events: DataFrame, files: DataFrame) -> DataFrame:
-    """Add ``player_id``, ``seq`` (file place, line, order in the line) and ``at`` (file time)."""
-    seq = F.struct(
-        (F.col("file_no") * F.lit(1 << FILE_BITS) + F.col("line_no")).alias("line"),
-        F.col("ord").cast("double").alias("ord"),
-    )
-    return events.join(files, "source_file").select(
-        "player_id", seq.alias("seq"), F.col("log_time").alias("at"), *[c for c in events.columns]
-    )
+def ordered(events: DataFrame) -> DataFrame:
+    """Add ``player_id``, ``seq`` (file time, file, line, order in the line) and ``at`` (file time)."""
+    seq = F.struct(F.col("line_no").alias("line"), F.col("ord").cast("double").alias("ord"))
+    return events.select(F.col("source_file").alias("player_id"), seq.alias("seq"), F.col("line_no.log_time").alias("at"), "*")
 
 
 @dataclass(frozen=True)
@@ -141,19 +134,14 @@ def tables_of(
 
     Event times are those of the log file, since the lines carry none.
     """
-    lines = per_player_files(with_player(lines))
-    messages = stage(M.extract_messages(lines, hot_rows), "messages")
-    return tables_of_messages(messages, file_order(lines), platform, hot_rows)
+    messages = stage(M.extract_messages(parser_lines(lines), hot_rows), "messages")
+    return tables_of_messages(messages, platform, hot_rows)
 
 
-def tables_of_messages(
-    messages: DataFrame, files: DataFrame, platform: str = "Mac", hot_rows: int = HOT_ROWS
-) -> LogTables:
-    """The same from a stored message table and the order of its files."""
+def tables_of_messages(messages: DataFrame, platform: str = "Mac", hot_rows: int = HOT_ROWS) -> LogTables:
+    """The same from a stored message table of placed lines (``parser_lines``)."""
     ev = events_of(messages, platform, hot_rows)
-
-    def seen(df: DataFrame) -> DataFrame:
-        return ordered(df, files)
+    seen = ordered
 
     summaries = seen(ev.summaries).select("player_id", "seq", "deck_id", "deck_name")
     decks = fold.resolve_deck_names(

@@ -140,8 +140,10 @@ def read_processed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _raw_lines(rows: DataFrame) -> DataFrame:
+def _raw_lines(rows: DataFrame, per_player: bool = False) -> DataFrame:
+    owner = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)).alias("player_id")
     return rows.select(
+        *([owner] if per_player else []),
         F.url_decode(F.col("_metadata.file_name")).alias("source_file"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.col("value").alias("line"),
@@ -149,29 +151,33 @@ def _raw_lines(rows: DataFrame) -> DataFrame:
 
 
 def number_lines(raw: DataFrame) -> DataFrame:
-    """Raw lines as scanned -> ``source_file``, ``line_no``, ``line`` without blank lines.
+    """Raw lines as scanned -> (``player_id``,) ``source_file``, ``line_no``, ``line`` without blank lines.
 
     The position is taken straight above the scan, before the blank lines go.
     """
+    owner = [c for c in raw.columns if c == "player_id"]
     numbered = raw.select(
-        "source_file", file_position(F.col("block_start")).alias("line_no"), "line"
+        *owner, "source_file", file_position(F.col("block_start")).alias("line_no"), "line"
     )
     return numbered.filter(F.col("line").rlike(r"\S"))
 
 
-def read_client_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines of the logs of a folder: ``source_file``, ``line_no``, ``line``."""
-    rows = spark.read.option("lineSep", "\n").option("pathGlobFilter", LOG_GLOB).text(path)
-    return number_lines(_raw_lines(rows))
+def read_client_logs(spark: SparkSession, path: str, per_player: bool = False) -> DataFrame:
+    """Non-blank lines of the logs of a folder: ``source_file``, ``line_no``, ``line``.
+
+    With ``per_player`` the folder holds a folder per player, whose name is ``player_id``.
+    """
+    rows = spark.read.option("lineSep", "\n").option("pathGlobFilter", LOG_GLOB)
+    return number_lines(_raw_lines(rows.text(f"{path.rstrip('/')}/*" if per_player else path), per_player))
 
 
 def stream_client_logs(
-    spark: SparkSession, path: str, max_files_per_trigger: int | None = None
+    spark: SparkSession, path: str, max_files_per_trigger: int | None = None, per_player: bool = False
 ) -> DataFrame:
     """Raw lines of the logs of a folder as a stream (``number_lines`` runs per batch).
 
     Files are taken whole once they appear, so the input contract is finished (rolled)
-    logs; the checkpoint keeps what was read.
+    logs; the checkpoint keeps what was read. Growing logs: ``sources.growing``.
     """
     reader = (
         spark.readStream.schema("value string")
@@ -180,7 +186,7 @@ def stream_client_logs(
     )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return _raw_lines(reader.text(path))
+    return _raw_lines(reader.text(f"{path.rstrip('/')}/*" if per_player else path), per_player)
 
 
 def log_time(source_file: Column | str) -> Column:

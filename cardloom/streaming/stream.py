@@ -3,8 +3,8 @@
 Two stages, both idempotent under replays:
 
 * lines -> messages: each micro-batch runs the batch operator and writes its own
-  ``batch_id=N`` folder, so a repeated batch replaces itself. A log file is taken whole, so
-  a multi-line block never crosses batches.
+  ``batch_id=N`` folder, so a repeated batch replaces itself. A log file is taken whole; a block
+  that goes on in the next file needs ``streaming.blocks``, which keeps it open between batches.
 * events -> state: the folds are plain aggregates, so Spark keeps their state per key
   (RocksDB); each batch writes the keys it changed, and the newest version of a key counts.
 """
@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cardloom.operators.messages import extract_messages
 from cardloom.operators.ordered import HOT_ROWS
-from cardloom.plans.log_flow import LogTables, file_order, tables_of_messages, with_player
+from cardloom.plans.log_flow import LogTables, parser_lines, tables_of_messages
 from cardloom.sources.scan import number_lines
 
 
@@ -34,11 +34,15 @@ def write_messages(
     available_now: bool = True,
     interval: str = "10 seconds",
     hot_rows: int = HOT_ROWS,
+    player: str | None = None,
 ) -> StreamingQuery:
-    """Line stream -> message table under ``folder``."""
+    """Line stream -> message table under ``folder``, by player and place among the player's files.
+
+    ``player`` names the owner of lines that carry no ``player_id``.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        extract_messages(number_lines(batch), hot_rows).write.mode("overwrite").parquet(
+        extract_messages(parser_lines(number_lines(batch), player), hot_rows).write.mode("overwrite").parquet(
             _batch_folder(folder, batch_id)
         )
 
@@ -51,12 +55,9 @@ def read_messages(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder).drop("batch_id")
 
 
-def tables_of_stream(
-    spark: SparkSession, folder: str, player: str | None = None, **options
-) -> LogTables:
+def tables_of_stream(spark: SparkSession, folder: str, **options) -> LogTables:
     """Current-state tables of everything streamed so far."""
-    messages = read_messages(spark, folder)
-    return tables_of_messages(messages, file_order(with_player(messages, player)), **options)
+    return tables_of_messages(read_messages(spark, folder), **options)
 
 
 def fold_stream(

@@ -109,6 +109,46 @@ def test_stream_equals_batch(spark, folder, tmp_path):
     check_tables(stream.tables_of_stream(spark, str(tmp_path / "m")))
 
 
+@pytest.fixture(scope="module")
+def players(tmp_path_factory):
+    """Two players with files of the same names; p1's match ends, and a block closes, in the newer file."""
+    d = tmp_path_factory.mktemp("players")
+    for p in ("p1", "p2 é"):
+        (d / p).mkdir()
+    (d / "p1" / OLD).write_text("\n".join(["==> " + room("Playing", "m1", mine="Web"), state(4, 3, 20), "==> Deck {", '"Payload":']))
+    (d / "p1" / NEW).write_text("\n".join([json.dumps(json.dumps(DECK)), "}", room("MatchCompleted", "m1", LOST)]))
+    (d / "p2 é" / OLD).write_text("==> " + room("Playing", "m1"))
+    (d / "p2 é" / NEW).write_text(room("MatchCompleted", "m1", WON) + "\n" + '==> SetDeck {"deck": {"id":"q","name":"Named"}}')
+    return str(d)
+
+
+def check_players(tables):
+    m = {r.player_id: r for r in tables.matches.collect()}
+    assert set(m) == {"p1", "p2 é"}
+    one, two = m["p1"], m["p2 é"]
+    assert (one.id, one.win_condition, one.final_turn) == ("m1", "Opponent Conceded", 4)  # team of the start in the older file
+    assert (one.result, str(one.started_at)[:10], str(one.ended_at)[:10]) == ("win", "2024-03-01", "2024-03-02")
+    assert (two.id, two.result, two.final_turn, two.win_condition) == ("m1", "win", None, "Milled")
+
+
+def test_one_parser_per_player_over_files(spark, players):
+    lines = scan.read_client_logs(spark, players, per_player=True)
+    assert {r.player_id for r in lines.select("player_id").distinct().collect()} == {"p1", "p2 é"}
+    check_players(log_flow.tables_of(lines))
+    check_players(log_flow.tables_of(lines, hot_rows=2))
+    messages = log_flow.M.extract_messages(log_flow.parser_lines(lines))
+    inside = messages.filter("source_file = 'p1' AND line_no.file = '" + NEW + "'").orderBy("line_no").collect()
+    assert [r.line for r in inside][0] == "}"  # the block of the older file
+
+
+def test_stream_of_players(spark, players, tmp_path):
+    lines = scan.stream_client_logs(spark, players, max_files_per_trigger=1, per_player=True)
+    q = stream.write_messages(lines, str(tmp_path / "m"), str(tmp_path / "c"))
+    q.awaitTermination(120)
+    assert q.exception() is None
+    check_players(stream.tables_of_stream(spark, str(tmp_path / "m")))
+
+
 def test_streamed_fold_equals_batch(spark, tmp_path):
     rows = [(f"c{i % 5}", i % 7, i) for i in range(60)]
     df = spark.createDataFrame(rows, "player_id string, quantity int, seq bigint").selectExpr(
