@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from cardloom.bindings.cards import BULK, FLAT, APP, bulk, flat
-from cardloom.bindings.ids import PRINTINGS_SQL, SOURCE_SQL, cards, loc, printings
+from cardloom.bindings.ids import PRINT_COLUMNS, PRINTINGS_SQL, SOURCE_SQL, cards, loc, printings
 from cardloom.bindings.registry import MATCHES_SQL, matches, query, table
 from cardloom.bindings.stats import SHORT_NAME
 from cardloom.bindings.wide import _dense, game_logs
@@ -47,6 +47,35 @@ def _(spark, sf):
     return K.flatten_card(K.paper_english(cards_))
 
 
+@query("read_cards_bulk_array", f"WITH {BULK} {FLAT}")
+def _(spark, sf):
+    """Bulk cards as JSON arrays, one per set, cut by all tasks; a file holds many."""
+    path = scratch(spark, "bulk-array")
+    fields = [f.name for f in spark.createDataFrame([], scan.CARD_SCHEMA).schema.fields]
+    full = bulk(spark, sf).withColumn("arena_id", F.lit(None).cast("bigint"))
+    arrays = full.groupBy("set_id").agg(F.to_json(F.collect_list(F.struct(*fields))).alias("value"))
+    arrays.select("value").write.text(path)
+    return K.flatten_card(K.paper_english(scan.read_cards_bulk(spark, path, hot_rows=500)))
+
+
+@query(
+    "read_printings",
+    f"""WITH p AS (SELECT {PRINT_COLUMNS} FROM part) SELECT set_code, id_text, name, text,
+      row_number() OVER (PARTITION BY set_code ORDER BY card_pos) - 1 AS card_pos FROM p""",
+)
+def _(spark, sf):
+    """Printings documents of some sets each, with objects that are no sets beside them."""
+    path = scratch(spark, "printings")
+    cards_ = F.transform(F.sort_array(F.collect_list(F.struct("card_pos", "card"))), lambda x: x["card"])
+    sets = printings(spark, sf).groupBy("set_code").agg(F.struct(F.lit("a } name").alias("name"), cards_.alias("cards")).alias("info"))
+    entries = F.map_from_entries(F.collect_list(F.struct("set_code", "info"))).alias("data")
+    meta = F.struct(F.struct(F.lit("1 {").alias("version")).alias("about")).alias("meta")
+    docs = sets.groupBy(F.pmod(F.hash("set_code"), F.lit(4))).agg(entries).select(F.to_json(F.struct(meta, "data")).alias("value"))
+    docs.write.text(path)
+    back = scan.read_printings(spark, path, hot_rows=500)
+    return back.select("set_code", F.col("card.identifiers.mtgArenaId").alias("id_text"), "card.name", "card.text", F.col("card_pos").cast("bigint"))
+
+
 @query("read_card_tables", f"WITH {SOURCE_SQL} SELECT GrpId, c.TitleId, Loc FROM cards c LEFT JOIN loc ON LocId = TitleId")
 def _(spark, sf):
     path = scratch(spark, "card-tables")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardloom.functions.exprs import col
+from cardloom.operators.ordered import HOT_ROWS
 from cardloom.operators.wide import schema_for_header
+from cardloom.sources.json_elements import json_elements
 
 # Kinds of wide logs and the pattern of their file names.
 DATA_TYPES = ("draft", "game", "replay")
@@ -33,10 +35,10 @@ card_faces array<struct<name:string,mana_cost:string,type_line:string,oracle_tex
 power:string,toughness:string,loyalty:string,colors:array<string>,image_uris:{_URIS}>>
 """
 
-PRINTINGS_SCHEMA = """
-data map<string, struct<cards: array<struct<name:string,manaCost:string,type:string,
+SET_SCHEMA = """
+cards array<struct<name:string,manaCost:string,type:string,
 rarity:string,text:string,colors:array<string>,colorIdentity:array<string>,
-identifiers:struct<mtgArenaId:string>>>>>
+identifiers:struct<mtgArenaId:string>>>
 """
 
 
@@ -102,20 +104,26 @@ def read_wide_logs(
     return keyed if partitions is None else keyed.repartition(partitions, "game_id")
 
 
-def read_cards_bulk(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_cards_bulk(spark: SparkSession, path: str, lines: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Bulk card objects in input order (``input_pos``).
 
-    A JSON array is one unsplittable document; pass ``lines=True`` for JSON lines, which
-    split.
+    The objects of a JSON array are found by all tasks together (``json_elements``); ``lines=True``
+    reads JSON lines.
     """
-    rows = spark.read.schema(CARD_SCHEMA).json(path, multiLine=not lines)
-    return rows.select(file_position().alias("input_pos"), "*")
+    if lines:
+        return spark.read.schema(CARD_SCHEMA).json(path).select(file_position().alias("input_pos"), "*")
+    found = json_elements(spark, path, 1, hot_rows)
+    return found.select("input_pos", F.from_json("text", CARD_SCHEMA).alias("card")).select("input_pos", "card.*")
 
 
-def read_printings(spark: SparkSession, path: str) -> DataFrame:
-    """Printings document -> one row per card: ``set_code``, ``set_pos``, ``card_pos``, ``card``."""
-    doc = spark.read.schema(PRINTINGS_SCHEMA).json(path, multiLine=True)
-    sets = doc.select(F.posexplode("data").alias("set_pos", "set_code", "info"))
+def read_printings(spark: SparkSession, path: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Printings document -> one row per card: ``set_code``, ``set_pos``, ``card_pos``, ``card``.
+
+    Sets are the objects two levels below the document, each read by one task. ``set_pos`` grows
+    through the document.
+    """
+    found = json_elements(spark, path, 3, hot_rows).filter(F.col("key").isNotNull())
+    sets = found.select(F.col("input_pos").alias("set_pos"), F.col("key").alias("set_code"), F.from_json("text", SET_SCHEMA).alias("info"))
     return sets.select(
         "set_pos", "set_code", F.posexplode("info.cards").alias("card_pos", "card")
     )
