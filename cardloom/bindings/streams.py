@@ -25,6 +25,7 @@ from cardloom.bindings.registry import query, table, view
 from cardloom.functions.variants import whole
 from cardloom.plans.sessions import sessions
 from cardloom.plans.staging import new_folder, stage
+from cardloom.sources import scan
 from cardloom.sources.growing import stream_growing_logs
 from cardloom.streaming import refold
 from cardloom.streaming.blocks import stream_messages
@@ -102,6 +103,18 @@ def _(spark, sf):
     return _through_logs(spark, rows, lambda lines: lines).select("line")
 
 
+@query("read_client_logs", "SELECT concat('p', CAST(user_id % 4 AS STRING)) AS player_id, count(*) AS lines, CAST(sum(event_id) AS BIGINT) AS e FROM events GROUP BY 1")
+def _(spark, sf):
+    """The logs of four players, two files each, in folders of their own."""
+    root = new_folder(spark, "logs")
+    number = F.col("user_id") % 4
+    rows = table(spark, sf, "events").select(number.cast("int").alias("n"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("line"))
+    for step in (2, 3):
+        rows.repartitionById(4, "n").select("line").mapInArrow(partial(_write_logs, root=root, step=step), "lines long").agg(F.sum("lines")).collect()
+    lines = scan.read_client_logs(spark, root, per_player=True)
+    return lines.groupBy("player_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.substring("line", 2, 20).cast("bigint")).alias("e"))
+
+
 @query("stream_messages", f"SELECT k, e FROM ({MESSAGES_SQL})")
 def _(spark, sf):
     """Messages of growing logs; lines and blocks lie over the borders of looks and of files."""

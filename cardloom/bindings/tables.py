@@ -85,6 +85,19 @@ def _(spark, sf):
     return c.join(text, c["TitleId"] == text["LocId"], "left").select("GrpId", "TitleId", "Loc")
 
 
+@query("require_rows", "SELECT o_orderkey, NULL AS problem FROM orders UNION ALL SELECT -1, 'no orders to write'")
+def _(spark, sf):
+    """A table passes as it is; an empty one is an error, here its text."""
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    try:
+        K.require_rows(orders.filter("o_orderkey < 0"), "orders")
+        problem = None
+    except ValueError as error:
+        problem = str(error)
+    told = spark.createDataFrame([(-1, problem)], "o_orderkey bigint, problem string")
+    return K.require_rows(orders, "orders").withColumn("problem", F.lit(None).cast("string")).unionByName(told)
+
+
 @query("write_processed", f"WITH {MATCHES_SQL} SELECT id, result, event_id, opponent_name FROM matches")
 def _(spark, sf):
     """Partitioned table; a second write without refresh keeps what is there."""
@@ -117,33 +130,35 @@ def _(spark, sf):
     )
 
 
-@query("write_app_catalogue", f'WITH {BULK}, {APP} SELECT id, name, colors, "valueHint", "imageUrl" FROM app')
+@query("write_app_catalogue", f"WITH {BULK}, {APP} SELECT * FROM app")
 def _(spark, sf):
     path = scratch(spark, "app")
     app = K.app_catalogue(flat(spark, sf))
     sinks.write_app_catalogue(app, path)
     back = spark.read.schema(app.schema).json(path)
-    return back.select("id", "name", F.array_join("colors", ",").alias("colors"), "valueHint", "imageUrl")
+    return back.withColumn("colors", F.array_join("colors", ","))
 
 
-@query("write_mapping", f"WITH {PRINTINGS_SQL} SELECT grp_id, name, text, setCode FROM printings")
+@query("write_mapping", f"WITH {PRINTINGS_SQL} SELECT * FROM printings")
 def _(spark, sf):
     path = scratch(spark, "mapping")
     mapping = idmap.printings_mapping(printings(spark, sf))
     sinks.write_mapping(mapping, path)
-    return spark.read.schema(mapping.schema).json(path).select("grp_id", "name", "text", "setCode")
+    back = spark.read.schema(mapping.schema).json(path)
+    return back.withColumns({c: F.array_join(c, ",") for c in ("colors", "colorIdentity")})
 
 
 @query(
     "export_matches_csv",
     f"""WITH {MATCHES_SQL}, x AS (SELECT *, CASE WHEN format = '' THEN event_id ELSE format END AS e FROM matches)
-    SELECT strftime(started_at, '%Y-%m-%d %H:%M:%S') AS "Date", {SHORT_NAME} AS "Format", upper(result) AS "Result",
+    SELECT strftime(started_at, '%Y-%m-%d %H:%M:%S') AS "Date", CASE WHEN deck_name = '' THEN 'Unknown' ELSE deck_name END AS "Deck",
+      opponent_name AS "Opponent", {SHORT_NAME} AS "Format", upper(result) AS "Result", CAST(game_count AS VARCHAR) AS "Games",
       CASE WHEN on_play THEN 'Yes' ELSE 'No' END AS "On Play" FROM x""",
 )
 def _(spark, sf):
     path = scratch(spark, "export-csv")
     sinks.export_matches_csv(matches(spark, sf), path)
-    return spark.read.csv(path, header=True).select("Date", "Format", "Result", "On Play")
+    return spark.read.csv(path, header=True)
 
 
 @query("export_matches_json", f"WITH {MATCHES_SQL} SELECT id, event_id, result, notes, on_play FROM matches")

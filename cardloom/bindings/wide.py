@@ -81,7 +81,70 @@ def _(spark, sf):
 
 @query("row_count", "SELECT count(*) AS n FROM lineitem")
 def _(spark, sf):
-    return spark.createDataFrame([(Wd.row_count(table(spark, sf, "lineitem")),)], "n bigint")
+    return Wd.row_count(table(spark, sf, "lineitem"))
+
+
+# A header made of the brands and sizes of the parts: card, turn and other columns, some of unknown kind.
+HEADER = """SELECT DISTINCT CASE p_size % 7 WHEN 0 THEN concat('deck_', p_brand) WHEN 1 THEN concat('opening_hand_', p_brand)
+    WHEN 2 THEN concat('user_turn_', CAST(p_size AS STRING), '_lands_played') WHEN 3 THEN concat('oppo_turn_', CAST(p_size AS STRING), '_creatures_cast')
+    WHEN 4 THEN concat('sideboard_', p_brand) WHEN 5 THEN concat('odd ', p_brand) ELSE 'rank' END AS name FROM {part}"""
+SQL_HEADER = f"h AS ({HEADER.format(part='part')})"
+
+
+def header(spark, sf):
+    """The names of the columns: as many as brands and sizes."""
+    names = spark.sql(HEADER.format(part="{part}"), part=table(spark, sf, "part"))
+    return [r.name for r in names.orderBy("name").collect()]
+
+
+@query(
+    "schema_for_header",
+    f"""WITH {SQL_HEADER} SELECT name, CASE WHEN regexp_matches(name, '^(deck|opening_hand|sideboard)_') THEN 'tinyint'
+      WHEN regexp_matches(name, '_turn_') THEN 'text?' ELSE 'string' END AS kind, name LIKE 'odd %' AS unknown FROM h""",
+)
+def _(spark, sf):
+    schema, unmatched = Wd.schema_for_header(header(spark, sf))
+    told = [(f.name, "text?" if "_turn_" in f.name else f.dataType.simpleString(), f.name in unmatched) for f in schema.fields]
+    return spark.createDataFrame(told, "name string, kind string, unknown boolean")
+
+
+PLAYED = "regexp_extract(name, '^(.*)_turn_([0-9]+)_(.*)$', {i})"
+
+
+@query(
+    "classify_game_columns",
+    f"""WITH {SQL_HEADER}, p AS (SELECT name, regexp_extract(name, '^(deck|opening_hand|sideboard)_', 1) AS place FROM h)
+    SELECT name AS "column", CASE WHEN place = '' THEN 'meta' ELSE place END AS category,
+      CASE WHEN place <> '' THEN substr(name, length(place) + 2) END AS card FROM p""",
+)
+def _(spark, sf):
+    return Wd.classify_game_columns(spark, header(spark, sf)).select("column", "category", "card")
+
+
+@query(
+    "classify_replay_columns",
+    f"""WITH {SQL_HEADER} SELECT name AS "column", CASE WHEN name LIKE 'deck%' THEN 'deck' WHEN name LIKE 'sideboard%' THEN 'sideboard'
+      WHEN name LIKE '%!_turn!_%' ESCAPE '!' THEN 'turn' ELSE 'meta' END AS category,
+      CASE WHEN name LIKE 'deck%' OR name LIKE 'sideboard%' THEN regexp_extract(name, '^[a-z]*_(.*)$', 1) END AS card,
+      nullif({PLAYED.format(i=1)}, '') AS player, TRY_CAST(nullif({PLAYED.format(i=2)}, '') AS INTEGER) AS turn,
+      nullif({PLAYED.format(i=3)}, '') AS field FROM h""",
+)
+def _(spark, sf):
+    return Wd.classify_replay_columns(spark, header(spark, sf)).drop("position")
+
+
+@query(
+    "check_columns",
+    f"""WITH {SQL_HEADER}, p AS (SELECT regexp_extract(name, '^(deck|opening_hand|sideboard)_', 1) AS place, regexp_extract(name, '_(Brand.*)$', 1) AS card
+      FROM h WHERE regexp_matches(name, '^(deck|opening_hand|sideboard)_')),
+    s AS (SELECT DISTINCT place FROM p), c AS (SELECT DISTINCT card FROM p)
+    SELECT 'card missing in position' AS problem, concat(place, '_', card) AS "column" FROM s CROSS JOIN c
+      WHERE (place, card) NOT IN (SELECT (place, card) FROM p)
+    UNION ALL SELECT 'duplicate column', 'rank'""",
+)
+def _(spark, sf):
+    """A header of uneven card sets whose rank column stands there twice."""
+    return Wd.check_columns(spark, [*header(spark, sf), "rank"])
 
 
 @query(
