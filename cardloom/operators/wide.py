@@ -27,68 +27,91 @@ REPLAY_PATTERNS = (
     ("turn", r"^(.*)_turn_(\d+)_(.*)$"),
 )
 
-# Column name pattern -> type, first match wins. Grouped by type here only
-# where the order between the groups cannot matter (the patterns exclude each other).
-_EITHER = "(user|oppo)"
-_TURN = rf"^{_EITHER}_turn_\d+_"
-_TEXT, _BYTE, _SHORT, _FLOAT, _BOOL = (
-    T.StringType(), T.ByteType(), T.ShortType(), T.FloatType(), T.BooleanType(),
-)
-
-
-def _names(kind: T.DataType, *names: str) -> tuple[tuple[str, T.DataType], ...]:
-    return tuple((rf"^{n}$", kind) for n in names)
-
-
-TYPE_RULES: tuple[tuple[str, T.DataType], ...] = (
-    *_names(_SHORT, "user_n_games_bucket"),
-    *_names(_FLOAT, "user_game_win_rate_bucket", "pick_maindeck_rate", "pick_sideboard_in_rate"),
-    *_names(
-        _TEXT, "expansion", "event_type", "draft_id", "draft_time", "rank", "pick", "game_time",
-        "opp_rank", "main_colors", "splash_colors", "opp_colors", "opening_hand",
-        r"candidate_hand_\d",
-    ),
-    *_names(_BOOL, "on_play", "won"),
-    *_names(
-        _BYTE, "event_match_wins", "event_match_losses", "pack_number", "pick_number",
-        "build_index", "match_number", "game_number", "num_mulligans", "opp_num_mulligans",
-        "num_turns",
-    ),
-    (r"^(pool|pack_card|deck|sideboard|drawn|tutored|opening_hand)_.*", _BYTE),
-    (r"^user_turn_\d+_(cards_drawn|cards_foretold|cards_tutored)$", _TEXT),
-    (
-        _TURN + r"(cards_discarded|lands_played|creatures_cast|non_creatures_cast"
-        r"|creatures_attacked|creatures_blocked|creatures_unblocked|creatures_blocking"
-        r"|player_combat_damage_dealt)$",
-        _TEXT,
-    ),
-    (
-        _TURN + _EITHER + r"_(instants_sorceries_cast|abilities|cards_learned"
-        r"|combat_damage_taken|creatures_killed_combat|creatures_killed_non_combat)$",
-        _TEXT,
-    ),
-    (_TURN + r"creatures_blitzed$", _BYTE),
-    (_TURN + _EITHER + r"_mana_spent$", _FLOAT),
-    (_TURN + r"eot_user_cards_in_hand$", _TEXT),
-    (_TURN + r"eot_oppo_cards_in_hand$", _FLOAT),
-    (
-        _TURN + "eot_" + _EITHER + r"_(lands_in_play|creatures_in_play|non_creatures_in_play)$",
-        _TEXT,
-    ),
-    (_TURN + "eot_" + _EITHER + r"_(life|poison_counters)$", _FLOAT),
-    (
-        r"^oppo_turn_\d+_(cards_tutored|cards_drawn_or_tutored|cards_drawn|cards_foretold)$",
-        _BYTE,
-    ),
-    (
-        rf"^{_EITHER}_total_(cards_drawn|cards_discarded|lands_played|cards_foretold"
-        r"|creatures_cast|creatures_blitzed|non_creatures_cast|instants_sorceries_cast"
-        r"|cards_learned)$",
-        _BYTE,
-    ),
-    (rf"^{_EITHER}_total_mana_spent$", _SHORT),
-    (r"^oppo_total_cards_drawn_or_tutored$", _BYTE),
-)
+# Column name patterns and their types, in the order in which they are tried.
+_TYPE_RULES = r"""
+^user_n_games_bucket$ int16
+^user_game_win_rate_bucket$ float16
+^expansion$ str
+^event_type$ str
+^draft_id$ str
+^draft_time$ str
+^rank$ str
+^event_match_wins$ int8
+^event_match_losses$ int8
+^pack_number$ int8
+^pick_number$ int8
+^pick$ str
+^pick_maindeck_rate$ float16
+^pick_sideboard_in_rate$ float16
+^pool_.* int8
+^pack_card_.* int8
+^game_time$ str
+^build_index$ int8
+^match_number$ int8
+^game_number$ int8
+^opp_rank$ str
+^main_colors$ str
+^splash_colors$ str
+^on_play$ bool
+^num_mulligans$ int8
+^opp_num_mulligans$ int8
+^opp_colors$ str
+^num_turns$ int8
+^won$ bool
+^deck_.* int8
+^sideboard_.* int8
+^drawn_.* int8
+^tutored_.* int8
+^opening_hand_.* int8
+^candidate_hand_\d$ str
+^opening_hand$ str
+^user_turn_\d+_cards_drawn$ str
+^((user)|(oppo))_turn_\d+_cards_discarded$ str
+^((user)|(oppo))_turn_\d+_lands_played$ str
+^user_turn_\d+_cards_foretold$ str
+^((user)|(oppo))_turn_\d+_creatures_cast$ str
+^((user)|(oppo))_turn_\d+_non_creatures_cast$ str
+^((user)|(oppo))_turn_\d+_((user)|(oppo))_instants_sorceries_cast$ str
+^((user)|(oppo))_turn_\d+_((user)|(oppo))_abilities$ str
+^((user)|(oppo))_turn_\d+_((user)|(oppo))_cards_learned$ str
+^((user)|(oppo))_turn_\d+_creatures_attacked$ str
+^((user)|(oppo))_turn_\d+_creatures_blocked$ str
+^((user)|(oppo))_turn_\d+_creatures_unblocked$ str
+^((user)|(oppo))_turn_\d+_creatures_blocking$ str
+^((user)|(oppo))_turn_\d+_creatures_blitzed$ int8
+^((user)|(oppo))_turn_\d+_player_combat_damage_dealt$ str
+^((user)|(oppo))_turn_\d+_((user)|(oppo))_combat_damage_taken$ str
+^((user)|(oppo))_turn_\d+_((user)|(oppo))_creatures_killed_combat$ str
+^((user)|(oppo))_turn_\d+_((user)|(oppo))_creatures_killed_non_combat$ str
+^((user)|(oppo))_turn_\d+_((user)|(oppo))_mana_spent$ float16
+^((user)|(oppo))_turn_\d+_eot_user_cards_in_hand$ str
+^((user)|(oppo))_turn_\d+_eot_oppo_cards_in_hand$ float16
+^((user)|(oppo))_turn_\d+_eot_((user)|(oppo))_lands_in_play$ str
+^((user)|(oppo))_turn_\d+_eot_((user)|(oppo))_creatures_in_play$ str
+^((user)|(oppo))_turn_\d+_eot_((user)|(oppo))_non_creatures_in_play$ str
+^((user)|(oppo))_turn_\d+_eot_((user)|(oppo))_life$ float16
+^((user)|(oppo))_turn_\d+_eot_((user)|(oppo))_poison_counters$ float16
+^user_turn_\d+_cards_tutored$ str
+^oppo_turn_\d+_cards_tutored$ int8
+^oppo_turn_\d+_cards_drawn_or_tutored$ int8
+^oppo_turn_\d+_cards_drawn$ int8
+^oppo_turn_\d+_cards_foretold$ int8
+^((user)|(oppo))_total_cards_drawn$ int8
+^((user)|(oppo))_total_cards_discarded$ int8
+^((user)|(oppo))_total_lands_played$ int8
+^((user)|(oppo))_total_cards_foretold$ int8
+^((user)|(oppo))_total_creatures_cast$ int8
+^((user)|(oppo))_total_creatures_blitzed$ int8
+^((user)|(oppo))_total_non_creatures_cast$ int8
+^((user)|(oppo))_total_instants_sorceries_cast$ int8
+^((user)|(oppo))_total_cards_learned$ int8
+^((user)|(oppo))_total_mana_spent$ int16
+^oppo_total_cards_drawn_or_tutored$ int8
+"""
+_TEXT = T.StringType()
+# Spark has no half float
+_TYPES = {"int8": T.ByteType(), "int16": T.ShortType(), "float16": T.FloatType(), "str": _TEXT, "bool": T.BooleanType()}
+TYPE_RULES = tuple((pattern, _TYPES[name]) for pattern, name in map(str.split, _TYPE_RULES.split("\n")[1:-1]))
 
 
 def schema_for_header(columns: Sequence[str]) -> tuple[T.StructType, list[str]]:
