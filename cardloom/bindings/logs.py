@@ -15,8 +15,13 @@ EV = f"ev AS (SELECT event_id, user_id, event_type, ts, {K} FROM events)"
 FILE = "concat('f', CAST(user_id AS STRING)) AS source_file"
 
 
+def _spread(df):
+    """The table is one small file; logs are many, so its rows go to all cores first."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def ev(spark, sf):
-    return view(table(spark, sf, "events"), f"event_id, user_id, event_type, ts, {K}")
+    return view(_spread(table(spark, sf, "events")), f"event_id, user_id, event_type, ts, {K}")
 
 
 def _exploded(df, lines_sql: str):
@@ -362,7 +367,7 @@ ORDER_FILE = "concat('c', CAST(o_custkey AS STRING)) AS source_file"
 
 
 def order_lines(spark, sf, file_sql=ORDER_FILE, *extra):
-    rows = table(spark, sf, "orders").selectExpr(file_sql, *extra, "o_orderkey", f"{ORDER_LINES} AS ls")
+    rows = _spread(table(spark, sf, "orders")).selectExpr(file_sql, *extra, "o_orderkey", f"{ORDER_LINES} AS ls")
     cols = [c for c in rows.columns if c not in ("o_orderkey", "ls")]
     return rows.select(*cols, "o_orderkey", F.posexplode("ls").alias("i", "line")).select(
         *cols, (F.col("o_orderkey") * 2 + F.col("i")).alias("line_no"), "line"

@@ -25,6 +25,7 @@ from cardloom.functions.variants import (
     text,
 )
 from cardloom.operators.ordered import HOT_ROWS, running_last, split_hot
+from cardloom.plans.staging import stage
 
 # Marks of response and request lines.
 ARROWS = ("<==", "==>")
@@ -36,6 +37,7 @@ ID_FIELD = r'(?i)"(?:deckId|id)"\s*:\s*"([^"]+)"'
 UNKNOWN_DECK = "Unknown Deck"
 
 LONE_BRACE = r"^\s*\},?\s*$"
+EMBEDDED = r"(?s)\{.*\}"
 
 
 def _braces(c: Column) -> Column:
@@ -52,7 +54,7 @@ def extract_messages(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """JSON messages of log lines, as ``(source_file, line_no, line, payload)``.
 
     * Arrow lines whose rest from the first ``{`` is JSON are emitted as they are. This is
-      most of a log and needs no shuffle.
+      most of a log and needs no shuffle; nor do files in which no block opens.
     * An arrow line that is no JSON yet opens a block. The block ends at the first line
       where its text is JSON, or is dropped at a lone ``}`` / ``},``; lines in it belong to
       it. Strings cannot span lines, so the text can only be JSON where the brace depth is
@@ -61,32 +63,36 @@ def extract_messages(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     * Other lines give their ``{…}`` part (first to last brace) if it is JSON.
 
     ``line`` of a block is its last line. Of a repeated key the last value counts; the
-    session is set to read such objects.
+    session is set to read such objects. The parsed lines are staged (``plans.staging``).
     """
     lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     c = F.col("line")
     arrow = (c.contains(ARROWS[0]) | c.contains(ARROWS[1])) & c.contains("{")
     rest = F.expr("substring(line, locate('{', line))")
-    base = lines.select("source_file", "line_no", "line")
-
     cols = ["source_file", "line_no", "line"]
-    whole_arrows = emit_json(base.filter(arrow), cols, rest).filter(
-        F.col("payload").isNotNull()
-    )
-    others = emit_json(base, cols, F.when(arrow, rest)).filter(F.col("payload").isNull()).select(
-        *cols, F.when(arrow, True).alias("__start")
-    )
-    part = F.when(F.col("__start"), rest).otherwise(c)
+
+    # Each line is parsed once; everything else reads the result.
+    own = F.when(arrow, rest).when(c.contains("{"), F.nullif(F.regexp_extract(c, EMBEDDED, 0), F.lit("")))
+    base = lines.select(*cols, arrow.alias("arrow"))
+    parsed = stage(emit_json(base, [*cols, "arrow"], own), "parsed-lines")
+    whole = F.col("payload").isNotNull()
+    starts = parsed.filter(F.col("arrow") & ~whole)
+    if starts.isEmpty():
+        return parsed.filter(whole).drop("arrow")
+    # Only files in which a block opens need the order of their lines.
+    files = starts.select(F.col("source_file").alias("__f")).distinct()
+    in_file = F.col("source_file").eqNullSafe(F.col("__f"))
+    alone = parsed.filter(whole & ~F.col("arrow")).join(files, in_file, "left_anti").drop("arrow")
+    others = parsed.filter(~(F.col("arrow") & whole)).join(files, in_file, "left_semi")
+    part = F.when(F.col("arrow"), rest).otherwise(c)
     marked = others.select(
-        "source_file",
-        "line_no",
-        "line",
-        F.coalesce("__start", F.lit(False)).alias("start"),
+        *cols,
+        F.col("arrow").alias("start"),
         part.alias("part"),
         c.rlike(LONE_BRACE).alias("lone"),
         _braces(part).alias("delta"),
     )
-    rows = _with_blocks(marked, base, hot_rows)
+    rows = _with_blocks(marked, parsed, hot_rows)
 
     # One group per block that reaches depth zero, and one per line outside blocks.
     group = F.coalesce("block", "line_no").alias("__g")
@@ -116,7 +122,8 @@ def extract_messages(lines: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         .join(still_open, ["source_file", "unless_open"], "left_anti")
         .select("source_file", "line_no", "line", "payload")
     )
-    return whole_arrows.unionByName(told)
+    whole_arrows = parsed.filter(F.col("arrow") & whole).drop("arrow")
+    return whole_arrows.unionByName(alone).unionByName(told)
 
 
 def _with_blocks(marked: DataFrame, lines: DataFrame, hot_rows: int) -> DataFrame:
@@ -231,7 +238,7 @@ def _with_blocks(marked: DataFrame, lines: DataFrame, hot_rows: int) -> DataFram
         "line_no",
         "line",
         F.when(F.col("open"), F.col("part"))
-        .otherwise(F.regexp_extract("line", r"(?s)\{.*\}", 0))
+        .otherwise(F.regexp_extract("line", EMBEDDED, 0))
         .alias("part"),
         F.when(F.col("open"), b).alias("block"),
         F.when(~F.col("open") & waits, b).alias("unless_open"),

@@ -4,9 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cardloom.plans import folders
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables staged inside once the block ends; read what rests on them before."""
+    staged: list[str] = []
+    _scopes.append(staged)
+    try:
+        yield
+    finally:
+        _scopes.remove(staged)
+        for path in staged:
+            folders.delete(spark, path)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``.
@@ -40,5 +59,7 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from cardloom.operators.messages import extract_messages
 from cardloom.operators.ordered import HOT_ROWS
 from cardloom.plans.log_flow import LogTables, parser_lines, tables_of_messages
+from cardloom.plans.staging import temporary
 from cardloom.sources.scan import number_lines
 
 
@@ -42,9 +43,9 @@ def write_messages(
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        extract_messages(parser_lines(number_lines(batch), player), hot_rows).write.mode("overwrite").parquet(
-            _batch_folder(folder, batch_id)
-        )
+        with temporary(batch.sparkSession):
+            messages = extract_messages(parser_lines(number_lines(batch), player), hot_rows)
+            messages.write.mode("overwrite").parquet(_batch_folder(folder, batch_id))
 
     writer = lines.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     timing = {"availableNow": True} if available_now else {"processingTime": interval}
