@@ -13,6 +13,15 @@ A = "UTC_Log - 03-01-2024 10.00.00.log"
 B = "UTC_Log - 03-02-2024 09.30.00.log"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """State is kept per partition; two are enough here."""
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
 class Lines:
     """A query over growing logs that is started anew for every look at the folder."""
 

@@ -9,6 +9,15 @@ from cardloom.plans.sessions import COLUMNS, EVENTS, sessions
 from cardloom.streaming.sessions import stream_sessions
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """State is kept per partition; two are enough here."""
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
 def history(players=6, steps=60, seed=3):
     """Events of some players, mostly one to sixty seconds apart, at times much later."""
     r = random.Random(seed)
