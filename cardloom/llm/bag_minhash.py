@@ -8,13 +8,17 @@ its count of the shingle, and each slot keeps the name of its earliest point. Tw
 with a probability of sum(min) / sum(max) of the counts, for any counts. Slots form bands; texts
 that share a band are candidates and are verified by their real multiset overlap.
 
-Candidates are not spread into all pairs of a band: a round compares the members with one pivot
-per band and links the close ones, again as long as that joins at least half of the pairs left;
-then only members that are still in different components are compared directly, each pair in the
-first band it shares. Before their texts are read, a pair must pass two tests that true pairs pass:
-its numbers of shingles, from the second round on without those that no other open text has, as
-they are in no overlap (sure), and the share of equal slots in one-byte sketches of the
-signatures (a true pair fails with a chance below one in a million).
+Candidates are not spread into all pairs of a band. The members of a band are compared with one
+pivot and the close ones are linked. Members that are then still in different components, and share
+enough shingles with other such texts at all, are compared with a hub, a member with few shingles of
+its own that many of their bands have in common. What a text adds to its hub's shingles or lacks of
+them is a set; if two texts reach the limit, their sets have at least (e_x + e_y) / 2 elements in
+common, where e is the size of the set less (1 - s) / (1 + s) times the text's shingles for a limit
+of s. So they share one of their rarest elements, early enough in both for the rest to suffice (a
+prefix join), and only such pairs become candidates. In a family of copies with edits of their own
+all shingles are common, but the differences are not. No pair of a band is lost by this. Before their
+texts are read, candidates must have enough equal slots in one-byte sketches of the signatures (a true
+pair fails with a chance below one in a million).
 
 Null and empty texts are one class (equal texts); a text without any letter or digit has copies
 only. Texts of fewer than five words are one shingle. Repeated rows and repeated or null ids each
@@ -27,7 +31,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.llm.shared import drop_staged, mix, stage, word_batches
@@ -36,7 +40,10 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS = 40
 ROWS = 8
-PAIRS_A_MEMBER = 100  # with fewer unlinked pairs in the bands a member they are compared directly
+HUB_JUMPS = 2  # times that a hub is replaced by the best hub of its own bands
+HUB_SIZE = 2  # a text is compared with hubs of up to so many times its shingles, others by all its shingles
+HOT_TOKEN = 2000  # texts with one difference above which they are dealt to several tasks
+TOKENS_A_BATCH = 1 << 20
 SKETCH_MARGIN = 0.12  # a pair this far below the limit by its sketches (5 sigma) is not compared by text
 
 
@@ -151,17 +158,49 @@ def _band_batches(batches, bands: int, rows: int):
         yield pa.RecordBatch.from_arrays(data, ["id", "digest", "bands", "sketch", "n_shingles"])
 
 
+def _counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of a text in order, with their counts."""
+    out, _ = shingles(*_words(text or ""))
+    return np.unique(out, return_counts=True)
+
+
 def _overlap(a: str, b: str) -> float:
-    got = []
-    for text in (a, b):
-        out, _ = shingles(*_words(text))
-        got.append(np.unique(out, return_counts=True))
-    (ha, ca), (hb, cb) = got
+    (ha, ca), (hb, cb) = _counts(a), _counts(b)
     _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
     both = np.minimum(ca[i], cb[j]).sum()
     return both / max(1, ca.sum() + cb.sum() - both)
 
 
+def difference(a, b) -> np.ndarray:
+    """The set of what multiset ``a`` has more or less than ``b``: a name for each shingle, occurrence and direction."""
+    names = np.union1d(a[0], b[0])
+    has = np.zeros((2, len(names)), np.int64)
+    for row, (hashes, counts) in zip(has, (a, b), strict=True):
+        row[np.searchsorted(names, hashes)] = counts
+    size = np.abs(has[0] - has[1])
+    place = np.arange(size.sum()) + np.repeat(has.min(axis=0) - np.cumsum(size) + size, size)
+    lacks = np.repeat(has[0] < has[1], size)
+    return mix(np.repeat(names, size) + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + lacks * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _difference_batches(batches):
+    """(digest, hub, tokens): how each text differs from its hub's; without a hub all its shingles."""
+    last, base = None, _counts(None)
+    for batch in batches:
+        digests, hubs, texts, hub_texts = (batch.column(i) for i in range(4))
+        held, start, size = [], 0, 0
+        for i, (hub, text, hub_text) in enumerate(zip(hubs.to_pylist(), texts, hub_texts, strict=True)):
+            if hub != last:
+                last, base = hub, _counts(hub_text.as_py())
+            held.append(difference(_counts(text.as_py()), base))
+            size += len(held[-1])
+            if size > TOKENS_A_BATCH or i + 1 == len(texts):
+                offsets = np.concatenate(([0], np.cumsum([len(t) for t in held]))).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(held).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([digests[start : i + 1], hubs[start : i + 1], tokens], ["digest", "hub", "tokens"])
+                held, start, size = [], i + 1, 0
+
+
 def _words(text: str):
     parts = [(h, c) for _, h, c in word_batches([text])]
     return parts[0]
@@ -201,6 +240,69 @@ def unshared(texts: DataFrame) -> DataFrame:
     return once.filter("n = 1").groupBy("digest").agg(F.sum("weight").alias("alone"))
 
 
+def open_members(band: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of bands that hold several components, with their component."""
+    found = labels.select(F.col("node").alias("digest"), F.col("label").alias("comp"))
+    held = band.join(found, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+    held = stage(held, "held")
+    several = held.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("band")
+    out = stage(held.join(several, "band"), "open")
+    drop_staged(held)
+    return out
+
+
+def spokes(members: DataFrame, similarity: float) -> DataFrame:
+    """(digest, n, hub, hub_n): the hubs of each member; texts that share a band share a hub.
+
+    The hub of a band is its member with the smallest share of shingles of its own, then the best
+    hub of that member's bands. Members far smaller than their hub have the empty hub; sizes in
+    between have both, so that no pair which can reach the similarity is parted.
+    """
+    rank = F.struct((1 - F.col("shared") / F.col("n_shingles")).alias("own"), F.col("digest").alias("hub"), F.col("n_shingles").alias("hub_n"))
+    lead = members.groupBy("band").agg(F.min(rank).alias("lead"))
+    best = stage(members.join(lead, "band").groupBy("digest").agg(F.min("lead").alias("up")), "best")
+    up = best.withColumnRenamed("digest", "at")
+    for _ in range(HUB_JUMPS):
+        lead = lead.join(up, F.col("lead.hub") == F.col("at")).select("band", F.col("up").alias("lead"))
+    of = members.join(lead, "band").select("digest", F.col("n_shingles").alias("n"), "lead.hub", "lead.hub_n").distinct()
+    of = stage(of, "hubs")
+    drop_staged(best)
+    near = of.filter((F.col("hub") != F.col("digest")) & (F.col("hub_n") <= HUB_SIZE * F.col("n")))
+    far = of.filter(F.col("hub_n") > HUB_SIZE * similarity * F.col("n")).select("digest", "n").distinct()
+    return near.union(far.select("digest", "n", F.lit(b"").alias("hub"), F.lit(0).cast("long").alias("hub_n")))
+
+
+def prefix_pairs(at: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different components that may reach the similarity, by their differences from one hub.
+
+    at: (digest, hub, comp, outside, d, e, tokens): d is the number of tokens, e is d less the part
+    that sizes allow; outside tells members that are not in their hub's component.
+    """
+    least = at.groupBy("hub").agg(F.min("e").alias("e_any"), F.min(F.when(F.col("outside"), F.col("e"))).alias("e_out"))
+    e_other = F.when(F.col("outside"), F.col("e_any")).otherwise(F.col("e_out"))
+    # of each pair one member is outside; the common tokens that a member needs with any partner
+    need = F.greatest(F.lit(1), F.ceil((F.col("e") + e_other) / 2 - 1e-6))
+    at = at.join(least.filter("e_out is not null"), "hub").withColumn("need", need).filter("d >= need").drop("e_any", "e_out")
+    rows = stage(at.withColumn("token", F.explode("tokens")).drop("tokens"), "tokens")
+    common = rows.groupBy("hub", "token").agg(F.count("*").alias("n"), F.max("outside").alias("any")).filter("n > 1 and any").drop("any")
+    held = rows.join(common, ["hub", "token"])
+    # tokens that nobody shares come first in the order and are counted only
+    of_text = Window.partitionBy("hub", "digest")
+    place = F.row_number().over(of_text.orderBy("n", "token")) - 1 + F.col("d") - F.count("*").over(of_text)
+    held = held.withColumn("rest", F.col("d") - place).filter("rest >= need")
+    salts = F.floor(F.col("n") / HOT_TOKEN).cast("int")
+    held = stage(held.withColumn("salts", salts), "prefixes")
+    one = held.filter("outside").withColumn("salt", F.explode(F.sequence(F.lit(0), "salts"))).alias("x")
+    two = held.withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("salts") + 1).cast("int")).alias("y")
+    key = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt"))
+    once = ~F.col("y.outside") | (F.col("x.digest") < F.col("y.digest"))
+    enough = F.least("x.rest", "y.rest") >= (F.col("x.e") + F.col("y.e")) / 2 - 1e-6
+    pairs = one.join(two, key & (F.col("x.comp") != F.col("y.comp")) & once & enough)
+    pairs = stage(pairs.select(F.least("x.digest", "y.digest").alias("u"), F.greatest("x.digest", "y.digest").alias("v")).distinct(), "pairs")
+    drop_staged(rows, held)
+    return pairs
+
+
 def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(node, label): the smallest node of each connected component; links are (u, v).
 
@@ -248,7 +350,7 @@ def near_duplicates(
     nodes = stage(hashed.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n"), *facts), "nodes")
 
     # members of the bands that several texts share, each with the band's first pivot: its smallest digest
-    in_band = nodes.select("digest", "n_shingles", F.posexplode("bands").alias("place", "band"))
+    in_band = nodes.select("digest", "n_shingles", F.explode("bands").alias("band"))
     first_pivot = in_band.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("digest", "n_shingles")).alias("p"))
     first_pivot = first_pivot.filter("n > 1").select("band", F.col("p.digest").alias("pivot"), F.col("p.n_shingles").alias("pivot_n"))
     band = stage(in_band.join(first_pivot, "band"), "candidates")
@@ -267,67 +369,39 @@ def near_duplicates(
         alike = alike.select("u", "v", "tu", "tv")
         return stage(alike.mapInArrow(partial(_verify, similarity=similarity), "u binary, v binary"), "close")
 
-    def sized(x, y):  # the overlap is at most the smaller number of shared shingles
-        most = F.least(f"{x}.shared", f"{y}.shared")
-        return most >= similarity * (F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles") - most)
-
     with_pivot = (F.col("digest") != F.col("pivot")) & (F.least("n_shingles", "pivot_n") >= similarity * F.greatest("n_shingles", "pivot_n"))
     pairs = stage(band.filter(with_pivot).select(F.col("pivot").alias("u"), F.col("digest").alias("v")).distinct(), "pairs")
     links = close_ones(pairs)
-    tested = pairs
     labels = components(links)
-    band = band.select("band", "digest", "place", "n_shingles")
-    before = shared = None
-    turn = 1
-    done = False
-    while not done:
-        found = labels.select(F.col("node").alias("digest"), "label")
-        held = band.join(found, "digest", "left").select(*band.columns, F.coalesce("label", "digest").alias("comp"))
-        held = stage(held, "held")
-        sizes = held.groupBy("band", "comp").agg(F.count("*").alias("n"))
-        apart = sizes.groupBy("band").agg(
-            F.max(F.struct("n", "comp"))["comp"].alias("main"),
-            F.count("*").alias("comps"),
-            ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"),
-        )
-        apart = stage(apart.filter("comps > 1"), "apart")
-        left = apart.agg(F.sum("pairs").alias("p"), F.sum("comps").alias("c")).first()
-        # pivots again only while many pairs are left and the last round joined at least half of them
-        few = not left["p"] or left["p"] <= PAIRS_A_MEMBER * left["c"]
-        done = few or (before is not None and left["p"] > before / 2)
-        before = left["p"]
-        open_bands = held.join(apart.select("band", "main"), "band")
-        if shared is None:  # shingles of no other open text are in no overlap
-            alone = unshared(texts.join(open_bands.select("digest").distinct(), "digest", "left_semi"))
-            shared = band.select("digest", "n_shingles").distinct().join(alone, "digest", "left")
-            shared = shared.select("digest", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("shared"))
-            shared = stage(shared.filter(F.col("shared") >= similarity * F.col("n_shingles")), "shared")
-            band = stage(band.join(shared, "digest"), "members")
-            drop_staged(held, apart)
-            before = None
-            done = False
-            continue
-        if done:
-            # of two members in different components one is outside the band's largest component
-            one = open_bands.filter(F.col("comp") != F.col("main")).join(nodes.select("digest", "bands"), "digest").alias("x")
-            two = open_bands.join(nodes.select("digest", "bands"), "digest").alias("y")
-            earlier = lambda i: F.col("x.bands")[i] == F.col("y.bands")[i]
-            first = (F.col("x.place") == 0) | ~F.exists(F.sequence(F.lit(0), F.greatest(F.col("x.place") - 1, F.lit(0))), earlier)
-            once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.digest") < F.col("y.digest"))
-            apart_pair = (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & once
-            pairs = one.join(two, apart_pair & sized("x", "y") & first)
-        else:
-            order = F.struct(F.xxhash64("digest", F.lit(turn)).alias("h"), "digest", "comp", "n_shingles", "shared")
-            pivot = open_bands.groupBy("band").agg(F.min(order).alias("p")).select("band", "p.*").alias("y")
-            apart_pair = (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp"))
-            pairs = open_bands.alias("x").join(pivot, apart_pair & sized("x", "y"))
-        pairs = pairs.select(F.least("x.digest", "y.digest").alias("u"), F.greatest("x.digest", "y.digest").alias("v"))
-        pairs = stage(pairs.distinct().join(tested, ["u", "v"], "left_anti"), "pairs")
-        drop_staged(held, apart)
-        tested = tested.union(pairs)
-        links = links.union(close_ones(pairs))
-        labels = components(links, labels)
-        turn += 1
+    band = band.select("band", "digest", "n_shingles")
+    members = open_members(band, labels)
+    # shingles of no other open text are in no overlap
+    alone = unshared(texts.join(members.select("digest").distinct(), "digest", "left_semi"))
+    shared = members.select("digest", "n_shingles").distinct().join(alone, "digest", "left")
+    shared = shared.select("digest", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("shared"), "n_shingles")
+    shared = stage(shared.filter(F.col("shared") >= similarity * F.col("n_shingles")).drop("n_shingles"), "shared")
+    drop_staged(members)
+    members = open_members(band.join(shared, "digest"), labels)
+
+    of = stage(spokes(members, similarity), "spokes")
+    compared = of.select("digest", "hub").join(texts.select("digest", "text"), "digest")
+    hub_text = texts.select(F.col("digest").alias("hub"), F.col("text").alias("hub_text"))
+    compared = compared.join(hub_text, "hub", "left").select("digest", "hub", "text", "hub_text")
+    compared = compared.mapInArrow(_difference_batches, "digest binary, hub binary, tokens array<bigint>")
+    differs = stage(compared.join(of, ["digest", "hub"]).withColumn("d", F.size("tokens")), "differences")
+    both = F.col("n") + F.col("hub_n")
+    linked = (F.length("hub") > 0) & ((both - F.col("d")) / (both + F.col("d")) >= similarity)
+    links = links.union(stage(differs.filter(linked).select(F.col("hub").alias("u"), F.col("digest").alias("v")), "close"))
+    labels = components(links, labels)
+    comp = labels.select(F.col("node").alias("digest"), F.col("label").alias("comp"))
+    hub_comp = comp.select(F.col("digest").alias("hub"), F.col("comp").alias("hub_comp"))
+    at = differs.join(comp, "digest", "left").join(hub_comp, "hub", "left")
+    at = at.withColumn("comp", F.coalesce("comp", "digest")).withColumn("outside", F.col("comp") != F.coalesce("hub_comp", "hub"))
+    at = at.select("digest", "hub", "comp", "outside", "d", (F.col("d") - (1 - similarity) / (1 + similarity) * F.col("n")).alias("e"), "tokens")
+    pairs = prefix_pairs(at)
+    links = links.union(close_ones(pairs))
+    labels = components(links, labels)
+    drop_staged(members, of, differs)
 
     label = labels.select(F.col("node").alias("digest"), "label")
     classed = nodes.select("digest", "rep", "n").join(label, "digest", "left")

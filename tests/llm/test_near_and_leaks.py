@@ -291,3 +291,50 @@ def test_mix_edge_cases(spark):
     assert {x["size"] for x in got} == {0, 2, 3}
     assert M.mix(df.limit(0)).collect() == []
     assert M.mix(df.filter("text is null")).collect()[0]["taken"] == 0
+
+
+def test_classes_of_a_family_just_below_the_limit(spark, monkeypatch):
+    """A thousand copies with edits of their own, most pairs at 0.6 to 0.9, with tokens dealt to several tasks."""
+    monkeypatch.setattr(B, "HOT_TOKEN", 20)
+    r = random.Random(11)
+    base = [f"w{r.randrange(5000)}" for _ in range(150)]
+    texts = [" ".join(base)]
+    for k in range(1000):
+        now = list(base if k % 5 else texts[r.randrange(len(texts))].split())
+        for _ in range(r.randint(1, 7)):
+            i = r.randrange(len(now))
+            now[i : i + 1] = r.choice([[], [f"w{r.randrange(300)}"], [now[i], f"v{r.randrange(10)}"]])
+        texts.append(" ".join(now))
+    index: dict = {}
+    has = np.zeros((len(texts), 40_000), np.float32)
+    for i, t in enumerate(texts):
+        for gram, n in multiset(t).items():
+            for k in range(n):
+                has[i, index.setdefault((gram, k), len(index))] = 1
+    size = has.sum(axis=1)
+    both = has @ has.T
+    close = both / (size[:, None] + size - both) >= np.float32(0.8)
+    want = np.arange(len(texts))
+    while True:
+        new = np.where(close, want, len(texts)).min(axis=1)
+        if (new == want).all():
+            break
+        want = new
+    assert 20 < len(set(want)) < 900
+    got = {row["id"]: row["class_id"] for row in B.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == dict(enumerate(want.tolist()))
+
+
+def test_differences_from_a_hub_tell_the_distance_of_two_texts():
+    r = random.Random(5)
+    for _ in range(300):
+        sets = []
+        for _ in range(3):
+            bag = Counter(r.choices(range(30), k=r.randint(0, 60)))
+            keys = sorted(bag)
+            sets.append((np.array(keys, np.uint64), np.array([bag[k] for k in keys], np.int64)))
+        x, y, hub = sets
+        dx, dy = (set(B.difference(z, hub).tolist()) for z in (x, y))
+        cx, cy, ch = (dict(zip(h.tolist(), c.tolist(), strict=True)) for h, c in sets)
+        apart = lambda a, b: sum(abs(a.get(k, 0) - b.get(k, 0)) for k in a.keys() | b.keys())
+        assert len(dx) == apart(cx, ch) and len(dx ^ dy) == apart(cx, cy)
