@@ -42,6 +42,7 @@ BANDS = 40
 ROWS = 8
 HUB_JUMPS = 2  # times that a hub is replaced by the best hub of its own bands
 HUB_SIZE = 2  # a text is compared with hubs of up to so many times its shingles, others by all its shingles
+STAR_ROUNDS = 2  # times that each text is compared with one of its candidates before all that are left are
 HOT_TOKEN = 2000  # texts with one difference above which they are dealt to several tasks
 TOKENS_A_BATCH = 1 << 20
 SKETCH_MARGIN = 0.12  # a pair this far below the limit by its sketches (5 sigma) is not compared by text
@@ -303,18 +304,14 @@ def prefix_pairs(at: DataFrame) -> DataFrame:
     return pairs
 
 
-def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component; links are (u, v).
 
-    ``start``: labels of an earlier call over some of the links. Every round takes the smallest
-    label among the neighbours and then the label of that label, so a path of length n closes in
-    about log n rounds. Each round's table is written out.
+    Every round takes the smallest label among the neighbours and then the label of that label, so a
+    path of length n closes in about log n rounds. Each round's table is written out.
     """
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("label"))
-    if start is not None:
-        known = start.select("node", F.col("label").alias("was"))
-        labels = labels.join(known, "node", "left").select("node", F.coalesce("was", "node").alias("label"))
     labels = stage(labels, "labels")
     while True:
         seen = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
@@ -329,6 +326,25 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
             return labels
 
 
+def by_label(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(u, v, cu, cv): the pairs whose texts are in different components, with these."""
+    for side in "uv":
+        known = labels.select(F.col("node").alias(side), F.col("label").alias("c" + side))
+        pairs = pairs.join(known, side, "left").withColumn("c" + side, F.coalesce("c" + side, side))
+    return pairs.filter("cu != cv").select("u", "v", "cu", "cv")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links, which join whole components."""
+    between = stage(by_label(links, labels).select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct(), "between")
+    joined = components(between)
+    top = joined.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    moved = labels.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    out = stage(moved.union(joined.join(labels, "node", "left_anti")), "labels")
+    drop_staged(between, joined, labels)
+    return out
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -391,17 +407,25 @@ def near_duplicates(
     differs = stage(compared.join(of, ["digest", "hub"]).withColumn("d", F.size("tokens")), "differences")
     both = F.col("n") + F.col("hub_n")
     linked = (F.length("hub") > 0) & ((both - F.col("d")) / (both + F.col("d")) >= similarity)
-    links = links.union(stage(differs.filter(linked).select(F.col("hub").alias("u"), F.col("digest").alias("v")), "close"))
-    labels = components(links, labels)
+    labels = merged(labels, differs.filter(linked).select(F.col("hub").alias("u"), F.col("digest").alias("v")))
     comp = labels.select(F.col("node").alias("digest"), F.col("label").alias("comp"))
     hub_comp = comp.select(F.col("digest").alias("hub"), F.col("comp").alias("hub_comp"))
     at = differs.join(comp, "digest", "left").join(hub_comp, "hub", "left")
     at = at.withColumn("comp", F.coalesce("comp", "digest")).withColumn("outside", F.col("comp") != F.coalesce("hub_comp", "hub"))
     at = at.select("digest", "hub", "comp", "outside", "d", (F.col("d") - (1 - similarity) / (1 + similarity) * F.col("n")).alias("e"), "tokens")
     pairs = prefix_pairs(at)
-    links = links.union(close_ones(pairs))
-    labels = components(links, labels)
-    drop_staged(members, of, differs)
+    # nearly all of these are close: one pair of each text first, then those that are still apart
+    for _ in range(STAR_ROUNDS):
+        ends = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        star = ends.groupBy("u").agg(F.min("v").alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        star = stage(star.distinct(), "star")
+        labels = merged(labels, close_ones(star))
+        rest = by_label(pairs.select("u", "v"), labels).select("u", "v").join(star, ["u", "v"], "left_anti")
+        rest = stage(rest, "pairs")
+        drop_staged(pairs, star)
+        pairs = rest
+    labels = merged(labels, close_ones(pairs))
+    drop_staged(members, of, differs, pairs)
 
     label = labels.select(F.col("node").alias("digest"), "label")
     classed = nodes.select("digest", "rep", "n").join(label, "digest", "left")
