@@ -44,6 +44,8 @@ HUB_JUMPS = 2  # times that a hub is replaced by the best hub of its own bands
 HUB_SIZE = 2  # a text is compared with hubs of up to so many times its shingles, others by all its shingles
 STAR_ROUNDS = 2  # times that each text is compared with one of its candidates before all that are left are
 HOT_TOKEN = 2000  # texts with one difference above which they are dealt to several tasks
+HUB_ROWS = 64  # texts that are dealt to one copy of their hub's text
+LEAD_ROUNDS = 2  # times that the texts of a prefix are compared with one of them before pairs are formed
 TOKENS_A_BATCH = 1 << 20
 SKETCH_MARGIN = 0.12  # a pair this far below the limit by its sketches (5 sigma) is not compared by text
 
@@ -273,8 +275,8 @@ def spokes(members: DataFrame, similarity: float) -> DataFrame:
     return near.union(far.select("digest", "n", F.lit(b"").alias("hub"), F.lit(0).cast("long").alias("hub_n")))
 
 
-def prefix_pairs(at: DataFrame) -> DataFrame:
-    """Pairs (u, v) of different components that may reach the similarity, by their differences from one hub.
+def prefixes(at: DataFrame) -> DataFrame:
+    """The tokens (hub, token, digest, comp, outside, e, rest, salts) of which close pairs share one, by their differences from one hub.
 
     at: (digest, hub, comp, outside, d, e, tokens): d is the number of tokens, e is d less the part
     that sizes allow; outside tells members that are not in their hub's component.
@@ -292,7 +294,38 @@ def prefix_pairs(at: DataFrame) -> DataFrame:
     place = F.row_number().over(of_text.orderBy("n", "token")) - 1 + F.col("d") - F.count("*").over(of_text)
     held = held.withColumn("rest", F.col("d") - place).filter("rest >= need")
     salts = F.floor(F.col("n") / HOT_TOKEN).cast("int")
-    held = stage(held.withColumn("salts", salts), "prefixes")
+    held = held.withColumn("salts", salts)
+    held = held.select("hub", "token", "digest", "comp", "outside", "e", "rest", "salts")
+    out = stage(held, "prefixes")
+    drop_staged(rows)
+    return out
+
+
+def relabelled(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """The prefixes with the components of today; tokens of one component only are left out."""
+    now = labels.select(F.col("node").alias("digest"), F.col("label").alias("now"))
+    held = held.join(now, "digest", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
+    several = held.groupBy("hub", "token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("hub", "token")
+    return stage(held.join(several, ["hub", "token"], "left_semi"), "prefixes")
+
+
+def lead_pairs(held: DataFrame, number: int) -> DataFrame:
+    """Pairs (u, v) of the texts of each token with one text of it, another one for each number.
+
+    As many as there are prefixes at most; in a cluster of close texts they link what would
+    otherwise be all its pairs.
+    """
+    rank = F.struct(F.xxhash64("digest", F.lit(number)).alias("draw"), F.col("digest").alias("lead"), F.col("comp").alias("lead_comp"))
+    lead = held.groupBy("hub", "token").agg(F.min(rank).alias("m"), F.first("salts").alias("salts"))
+    lead = lead.select("hub", "token", "m.lead", "m.lead_comp", F.explode(F.sequence(F.lit(0), "salts")).alias("salt"))
+    dealt = held.withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("salts") + 1).cast("int"))
+    pairs = dealt.join(lead, ["hub", "token", "salt"]).filter("comp != lead_comp")
+    pairs = pairs.select(F.least("digest", "lead").alias("u"), F.greatest("digest", "lead").alias("v"))
+    return stage(pairs.distinct(), "leads")
+
+
+def prefix_pairs(held: DataFrame) -> DataFrame:
+    """Pairs (u, v) of different components that may reach the similarity and share a token of their prefixes."""
     one = held.filter("outside").withColumn("salt", F.explode(F.sequence(F.lit(0), "salts"))).alias("x")
     two = held.withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("salts") + 1).cast("int")).alias("y")
     key = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.salt") == F.col("y.salt"))
@@ -300,7 +333,6 @@ def prefix_pairs(at: DataFrame) -> DataFrame:
     enough = F.least("x.rest", "y.rest") >= (F.col("x.e") + F.col("y.e")) / 2 - 1e-6
     pairs = one.join(two, key & (F.col("x.comp") != F.col("y.comp")) & once & enough)
     pairs = stage(pairs.select(F.least("x.digest", "y.digest").alias("u"), F.greatest("x.digest", "y.digest").alias("v")).distinct(), "pairs")
-    drop_staged(rows, held)
     return pairs
 
 
@@ -400,9 +432,13 @@ def near_duplicates(
     members = open_members(band.join(shared, "digest"), labels)
 
     of = stage(spokes(members, similarity), "spokes")
-    compared = of.select("digest", "hub").join(texts.select("digest", "text"), "digest")
-    hub_text = texts.select(F.col("digest").alias("hub"), F.col("text").alias("hub_text"))
-    compared = compared.join(hub_text, "hub", "left").select("digest", "hub", "text", "hub_text")
+    # a hub may be that of a third of all texts: its text is given to several tasks
+    copies = of.groupBy("hub").agg(F.floor(F.count("*") / HUB_ROWS).cast("int").alias("copies"))
+    dealt = of.select("digest", "hub").join(copies, "hub").select("digest", "hub", F.pmod(F.xxhash64("digest"), F.col("copies") + 1).cast("int").alias("copy"))
+    compared = dealt.join(texts.select("digest", "text"), "digest")
+    hub_text = copies.join(texts.select(F.col("digest").alias("hub"), F.col("text").alias("hub_text")), "hub", "left")
+    hub_text = hub_text.withColumn("copy", F.explode(F.sequence(F.lit(0), "copies"))).drop("copies")
+    compared = compared.join(hub_text, ["hub", "copy"], "left").select("digest", "hub", "text", "hub_text")
     compared = compared.mapInArrow(_difference_batches, "digest binary, hub binary, tokens array<bigint>")
     differs = stage(compared.join(of, ["digest", "hub"]).withColumn("d", F.size("tokens")), "differences")
     both = F.col("n") + F.col("hub_n")
@@ -413,7 +449,15 @@ def near_duplicates(
     at = differs.join(comp, "digest", "left").join(hub_comp, "hub", "left")
     at = at.withColumn("comp", F.coalesce("comp", "digest")).withColumn("outside", F.col("comp") != F.coalesce("hub_comp", "hub"))
     at = at.select("digest", "hub", "comp", "outside", "d", (F.col("d") - (1 - similarity) / (1 + similarity) * F.col("n")).alias("e"), "tokens")
-    pairs = prefix_pairs(at)
+    held = relabelled(prefixes(at), labels)
+    for number in range(LEAD_ROUNDS):
+        leads = lead_pairs(held, number)
+        labels = merged(labels, close_ones(leads))
+        left = relabelled(held, labels)
+        drop_staged(leads, held)
+        held = left
+    pairs = prefix_pairs(held)
+    drop_staged(held)
     # nearly all of these are close: one pair of each text first, then those that are still apart
     for _ in range(STAR_ROUNDS):
         ends = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
