@@ -3,7 +3,9 @@
 Tokens of a URL are its scheme, the labels of its host with their place, the words of its path and
 the names of its query parameters. A page shows the document whose number ends its path, and has
 that document's label. FP-growth over the token sets of labelled pages (a page is bad if its label
-says toxic or of low quality) finds frequent combinations; those that come with the bad mark in at
+says toxic or of low quality) finds frequent combinations. Tokens that stand on the same labelled pages
+(the words of one url template) are one item of it: a combination with one of them is as frequent as that with
+any other of them or with several, so nothing is lost and they do not multiply. Those that come with the bad mark in at
 least ``confidence`` of their pages, and in ``least`` pages, become rules if that is no coincidence: the
 chance of so many bad pages at the base rate, times the number of combinations looked at, is at most
 CHANCE. A rule is dropped where one with fewer tokens of it is at least as confident. A page is blocked if it holds all tokens of a rule. Rules
@@ -77,13 +79,15 @@ def tokens(url):
 class Rules:
     """Learned rules with their inverted index: from a token to the rules of which it is the rarest."""
 
-    def __init__(self, rules: list[tuple[tuple[str, ...], float, float]], frequency: dict[str, float]):
+    def __init__(self, rules: list[tuple[tuple[str, ...], float, float]], frequency: dict[str, float], items: dict[str, str] | None = None):
         self.rules = rules
+        self.items = items or {}  # the item of each token of a rule
         self.index: dict[str, list[frozenset[str]]] = defaultdict(list)
         for tokens_, _, _ in rules:
             self.index[min(tokens_, key=lambda t: (frequency.get(t, 0), t))].append(frozenset(tokens_))
 
     def blocks(self, have: set[str]) -> bool:
+        have = {self.items.get(t, t) for t in have}
         return any(rule <= have for t in have if t in self.index for rule in self.index[t])
 
 
@@ -102,18 +106,36 @@ def chance_of(bad: int, of: int, base: float) -> float:
     return math.exp(-of * (share * math.log(share / base) + rest))
 
 
+def items_of(sets: DataFrame, least: float) -> DataFrame:
+    """(token, item): the item of each token on at least ``least`` rows of sets (t): the first of those on the same rows."""
+    names = [F.xxhash64("t", F.lit(i)).alias(f"x{i}") for i in (1, 2)]
+    distinct = sets.groupBy("t").agg(F.count("*").alias("n")).select(F.explode("t").alias("token"), "n", *names)
+    of = distinct.groupBy("token").agg(F.sum("n").alias("n"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
+    of = of.filter(F.col("n") >= least)
+    first = of.groupBy("n", "x1", "x2").agg(F.min("token").alias("item"))
+    return of.join(first, ["n", "x1", "x2"]).select("token", "item")
+
+
 def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> Rules:
     """Rules from pages whose document has a label. labels: (doc_id, quality, toxic)."""
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
     marks = labels.groupBy(F.col("doc_id").alias("_id")).agg(F.max(bad).alias("bad")).filter("bad is not null and _id is not null")
     sets = pages.select(document_number(F.col("url")).alias("_id"), tokens(F.col("url")).alias("t")).join(marks, "_id")
-    items = F.when(F.col("bad") == 1, F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t"))
-    baskets = sets.select(items.alias("items")).persist()
-    n, n_bad = baskets.agg(F.count("*"), F.count_if(F.array_contains("items", BAD))).first()
+    sets = sets.select(F.array_sort("t").alias("t"), "bad").persist()
+    n, n_bad = sets.agg(F.count("*"), F.count_if(F.col("bad") == 1)).first()
     if n_bad < least:
-        baskets.unpersist()
+        sets.unpersist()
+        return Rules([], {})
+    least_share = max(support, least / n)
+    named = items_of(sets, least_share * n * (1 - 1e-9)).persist()
+    folded = sets.withColumn("row", F.monotonically_increasing_id()).withColumn("token", F.explode("t")).join(named, "token")
+    folded = folded.groupBy("row").agg(F.collect_set("item").alias("items"), F.first("bad").alias("bad"))
+    baskets = folded.select(F.when(F.col("bad") == 1, F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items")).persist()
+    in_baskets = baskets.count()  # pages without any frequent token are in none
+    if not in_baskets:
         return Rules([], {})
-    model = FPGrowth(itemsCol="items", minSupport=max(support, least / n), minConfidence=confidence).fit(baskets)
+    share = min(1.0, least_share * n * (1 - 1e-9) / in_baskets)
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=confidence).fit(baskets)
     frequent = model.freqItemsets.select("items", "freq").persist()
     with_bad = frequent.filter(F.array_contains("items", BAD) & (F.size("items") > 1))
     with_bad = with_bad.select(F.array_sort(F.array_remove("items", BAD)).alias("rule"), F.col("freq").alias("bad_freq"))
@@ -129,8 +151,15 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confiden
         if size > MAX_RULE_BYTES:
             raise ValueError("too many rules to send to the tasks: raise support or confidence")
     single = {r["items"][0]: r["freq"] for r in frequent.filter(F.size("items") == 1).toLocalIterator()}
-    baskets.unpersist()
-    frequent.unpersist()
+    used = sorted({t for rule, _, _ in rules for t in rule})
+    items = {}
+    for r in named.filter(F.col("item").isin(used) & (F.col("item") != F.col("token"))).toLocalIterator():
+        items[r["token"]] = r["item"]
+        size += len(r["token"]) + len(r["item"]) + 64
+        if size > MAX_RULE_BYTES:
+            raise ValueError("too many rules to send to the tasks: raise support or confidence")
+    for held in (sets, named, baskets, frequent):
+        held.unpersist()
     rules.sort(key=lambda r: (len(r[0]), r[0]))
     kept: list[tuple[tuple[str, ...], float, float]] = []
     best: dict[frozenset[str], float] = {}
@@ -141,7 +170,7 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confiden
             continue
         best[have] = conf
         kept.append((rule, conf, freq))
-    return Rules(kept, single)
+    return Rules(kept, single, items)
 
 
 def _match_batches(batches, rules: Rules):

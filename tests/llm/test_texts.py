@@ -276,6 +276,16 @@ def test_labels_go_to_pages_by_the_number_in_the_url(spark):
     assert blocked == {199 - i for i in range(100)}
 
 
+def test_a_long_path_that_pages_share_is_one_item(spark):
+    shared = "/".join(f"w{chr(97 + k % 26)}{'x' * (k // 26)}" for k in range(40))
+    rows = [(i, f"http://spam.org/{shared}/{i}", None) for i in range(60)] + [(i, f"http://good.org/{'abc'[i % 3]}/{i}", None) for i in range(60, 300)]
+    labels = [(i, int(i < 3), 0) for i in range(30)] + [(i, 1, 0) for i in range(60, 200)]
+    rules = U.mine(spark.createDataFrame(rows, PAGES), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = U.judge(spark.createDataFrame(rows, PAGES), rules)
+    assert {r["page_id"] for r in got.filter("learned = 'block'").collect()} == set(range(60))
+    assert len(rules.rules) == 1
+
+
 def test_coincidences_are_no_rules(spark):
     r = random.Random(8)
     rows = [(i, f"http://h{r.randrange(40)}.org/{'abc'[i % 3]}{r.choice('xyz')}/{r.choice('uvw')}/{i}", None) for i in range(900)]
