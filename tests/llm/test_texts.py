@@ -296,6 +296,28 @@ def test_coincidences_are_no_rules(spark):
     assert U.mine(pages, few).rules == []
 
 
+def test_links_and_short_lines_of_an_article_stay():
+    body = f"<article><p>{LONG * 2}</p><ul><li><a href=x>a link</a></li></ul><p>end words.</p></article>"
+    assert H.main_text(page(body)) == f"{LONG * 2}a link end words."
+    ad = f"<article><p>{LONG * 2}</p><div class=ad>Buy now</div><p>The end.</p></article><p>{LONG}</p>"
+    assert H.main_text(page(ad)) == f"{LONG * 2}The end."
+    assert H.main_text(page(f"<article><h1>Short</h1><p>Hi.</p></article><div>{LONG * 10}</div>")) == "Short Hi."
+
+
+def test_work_grows_with_the_length_of_a_page():
+    import time
+
+    for part in ("<div>", "</span><div>", "<nav>x", "<b><table><div>x</b>", "<b><dt>x</dt>"):
+        start = time.process_time()
+        H.main_text(part * 40_000)
+        assert time.process_time() - start < 20, part
+    assert H.main_text("<div>" * 30_000 + "</span>" * 30_000 + "x") == "x"
+
+
+def test_main_text_of_no_pages(spark):
+    assert H.extract(spark.createDataFrame([], PAGES)).collect() == []
+
+
 def page(body, head=""):
     return f"<!DOCTYPE html><html><head><title>T</title>{head}</head><body>{body}</body></html>"
 
