@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardloom.llm.shared import drop_staged, mix, stage, word_batches
+from cardloom.llm.shared import drop_staged, free_name, mix, stage, word_batches
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -486,9 +486,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     classes = near_duplicates(docs, id_col, text_col)
     first = F.min(F.struct(F.col("id").isNull(), "id", "digest")).alias("m")
-    keep = classes.groupBy("class_digest").agg(first).select(F.col("m.id").alias("_keep_id"), F.col("m.digest").alias("_keep_digest"))
+    name, keep_id, keep_digest = (free_name(docs, c) for c in ("_digest", "_keep_id", "_keep_digest"))
+    keep = classes.groupBy("class_digest").agg(first).select(F.col("m.id").alias(keep_id), F.col("m.digest").alias(keep_digest))
     keep = stage(keep, "keep")
-    held = docs.withColumn("_digest", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    stays = (F.col("_digest") == F.col("_keep_digest")) & F.col(id_col).eqNullSafe(F.col("_keep_id"))
+    held = docs.withColumn(name, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    stays = (F.col(name) == F.col(keep_digest)) & F.col(id_col).eqNullSafe(F.col(keep_id))
     held = held.join(keep, stays, "left_semi")
-    return held.dropDuplicates(["_digest", id_col]).drop("_digest")
+    return held.dropDuplicates([name, id_col]).drop(name)

@@ -4,7 +4,7 @@ Features are the one- to three-grams of the lower-cased text with everything but
 space, hashed into FEATURES buckets, weighted (1 + log tf) * idf and scaled to length one. Document
 frequencies count all training documents. Weights are fitted by follow-the-regularised-leader with
 an elastic net on a sample of about PER_LANG documents of each language (a bound that does not grow
-with the corpus; rows are drawn by a hash of their id); a fifth of the sample is kept back to choose
+with the corpus; rows are drawn by a hash of id and text, equal ones once); a fifth of the sample is kept back to choose
 the temperature that calibrates the scores.
 
 A document of null text or without letters is ``und`` with score 1. Repeated rows and ids each get
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.shared import SLICE_CHARS
+from cardloom.llm.shared import SLICE_CHARS, free_name
 
 BITS = 15
 FEATURES = 1 << BITS
@@ -168,10 +168,20 @@ def _sample_features(batches):
             at.append(f)
             tf.append(counts[f])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(at, pa.list_(pa.int64())), pa.array(tf, pa.list_(pa.int64()))], ["lang", "at", "tf"]
+            [batch.column(0), pa.array(at, pa.list_(pa.int64())), pa.array(tf, pa.list_(pa.int64())), batch.column(2)], ["lang", "at", "tf", "key"]
         )
 
 
+def drawn(rows: DataFrame, sizes: dict[str, int], per_lang: int) -> DataFrame:
+    """(lang, text, key) of about ``per_lang`` rows (id, text, lang) of each language, whatever share one id or text has."""
+    key = F.xxhash64("id", "text", F.lit(10))
+    place = F.pmod(key, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    some = F.lit(False)
+    for lang, n in sizes.items():
+        some = some | ((F.col("lang") == lang) & (place < per_lang / n))
+    return rows.filter(some).dropDuplicates(["id", "text", "lang"]).select("lang", "text", key.alias("key"))
+
+
 def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_lang: int = PER_LANG) -> Model:
     """Fit on all rows of ``docs``; pass only rows that may be learned from."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
@@ -187,19 +197,16 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", pe
     model = Model(langs, np.log((1 + total) / (1 + df)) + 0.1)
     if not langs:
         return model
-    share = {r["lang"]: per_lang / r["n"] for r in sizes}
-    place = F.pmod(F.xxhash64("id", F.lit(10)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = F.lit(False)
-    for lang, p in share.items():
-        drawn = drawn | ((F.col("lang") == lang) & (place < p))
-    sample = rows.filter(drawn).select("lang", "text").mapInArrow(_sample_features, "lang string, at array<bigint>, tf array<bigint>")
+    picked = drawn(rows, {r["lang"]: r["n"] for r in sizes}, per_lang)
+    sample = picked.mapInArrow(_sample_features, "lang string, at array<bigint>, tf array<bigint>, key bigint")
     number = {lang: i for i, lang in enumerate(langs)}
     fitted = []
     for r in sample.toLocalIterator():
         at, tf = np.array(r["at"], np.int64), np.array(r["tf"], np.int64)
         if len(at):
             x = (1 + np.log(tf)) * model.idf[at]
-            fitted.append((at, x / np.sqrt((x * x).sum()), number[r["lang"]]))
+            fitted.append((r["key"], number[r["lang"]], at, x / np.sqrt((x * x).sum())))
+    fitted = [(at, x, y) for _, y, at, x in sorted(fitted, key=lambda f: f[:2])]
     order = np.random.default_rng(10).permutation(len(fitted))
     model.fit([fitted[i] for i in order])
     return model
@@ -225,8 +232,9 @@ def _predict_batches(batches, model: Model):
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with lang_pred and score; columns of these names are replaced."""
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    work = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias("_text"))
-    schema = work.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    at_end = free_name(docs, "_text")
+    work = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias(at_end))
+    schema = work.drop(at_end).schema.add("lang_pred", "string").add("score", "double")
     return work.mapInArrow(partial(_predict_batches, model=model), schema)
 
 

@@ -7,8 +7,9 @@ its shape (shares of character classes, share of distinct words, length), hashed
 buckets; every document yields its expected grade and the tail probability of the best grade.
 
 Weights are fitted by proximal gradient steps with an L1 penalty on about ``max_labels`` labelled
-rows, drawn by a hash of the id (a bound that does not grow with the corpus). Null text counts as
-empty. Rows with a null rating are not learned from; repeated rows count as often as they occur.
+rows, drawn by a hash of the id and, where ids are repeated, of id and text (a bound that does not grow
+with the corpus). Null text counts as empty. Rows with a null rating are not learned from; rows of equal
+id and text are learned from once, with the smallest rating of the id.
 Without labels every document gets the best grade.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.shared import mix, word_batches
+from cardloom.llm.shared import free_name, mix, word_batches
 
 BITS = 18
 GRADES = 3
@@ -127,26 +128,34 @@ class Model:
 def _sample(batches):
     for batch in batches:
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(list(features(batch.column(1).to_pylist())), pa.list_(pa.int64()))], ["grade", "at"]
+            [batch.column(0), pa.array(list(features(batch.column(1).to_pylist())), pa.list_(pa.int64())), batch.column(2)], ["grade", "at", "key"]
         )
 
 
+def drawn(docs: DataFrame, rated: DataFrame, max_labels: int) -> DataFrame:
+    """(grade, text, key) of about ``max_labels`` rows of docs (_id, text) with a rating (_id, grade), whatever share one id has."""
+
+    def below(key, share: float):
+        return F.pmod(key, F.lit(1 << 30)) / F.lit(float(1 << 30)) < share
+
+    # expected max_labels rows, so the broadcast is bounded by the parameter
+    some = rated.filter(below(F.xxhash64("_id", F.lit(3)), max_labels / max(1, rated.count())))
+    some = F.broadcast(some.groupBy("_id").agg(F.min("grade").alias("grade")))
+    n = docs.select("_id").join(some, "_id").count()
+    key = F.xxhash64("_id", "text", F.lit(33))
+    rows = docs.join(some, "_id").filter(below(key, max_labels / max(1, n)))
+    return rows.dropDuplicates(["_id", "text"]).select("grade", "text", key.alias("key"))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", max_labels: int = MAX_LABELS) -> Model:
     """Fit on documents with labels (doc_id, quality, toxic)."""
     grade = (F.col("quality") + 1 - F.col("toxic")).cast("int")
     rated = labels.select(F.col("doc_id").alias("_id"), grade.alias("grade")).filter("_id is not null and grade between 0 and 2")
-    total = rated.count()
-    place = F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # expected max_labels rows, so the broadcast is bounded by the parameter
-    drawn = rated.filter(place < max_labels / max(1, total)).groupBy("_id").agg(F.min("grade").alias("grade"))
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    sample = text.join(F.broadcast(drawn), "_id").select("grade", "text").mapInArrow(_sample, "grade int, at array<bigint>")
-    rows, grades = [], []
-    for r in sample.toLocalIterator():
-        rows.append(np.array(r["at"], np.int64))
-        grades.append(r["grade"])
+    sample = drawn(text, rated, max_labels).mapInArrow(_sample, "grade int, at array<bigint>, key bigint")
+    fitted = sorted(((r["key"], r["grade"], np.array(r["at"], np.int64)) for r in sample.toLocalIterator()), key=lambda f: f[:2])
     model = Model()
-    model.fit(rows, np.array(grades, np.int64))
+    model.fit([at for _, _, at in fitted], np.array([grade for _, grade, _ in fitted], np.int64))
     return model
 
 
@@ -163,6 +172,7 @@ def _score_batches(batches, model: Model):
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with expected_grade and tail_prob; columns of these names are replaced."""
     rest = [c for c in docs.columns if c not in ("expected_grade", "tail_prob")]
-    work = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias("_text"))
-    schema = work.drop("_text").schema.add("expected_grade", "double").add("tail_prob", "double")
+    at_end = free_name(docs, "_text")
+    work = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias(at_end))
+    schema = work.drop(at_end).schema.add("expected_grade", "double").add("tail_prob", "double")
     return work.mapInArrow(partial(_score_batches, model=model), schema)

@@ -52,6 +52,14 @@ def drop_staged(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have: ``name``, with underscores added where it is taken."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser: every input bit reaches every output bit. Keeps the input array."""
     x = x ^ (x >> np.uint64(30))

@@ -17,31 +17,36 @@ from cardloom.llm.shared import new_path
 MIN_LANGUAGE_SCORE = 0.3  # below it no language stands out
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """(row, text): each row whole, so that no column of it meets one of an operator's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those of which no language can be told."""
     learn = langid_ftrl.may_learn(docs)
     model = langid_ftrl.train(docs.filter(learn))
-    told = langid_ftrl.predict(docs, model)
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+    told = langid_ftrl.predict(carried(docs), model)
+    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that probably miss the best grade (toxic, or of low quality)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = ordinal_quality.train(docs, labels)
-    scored = ordinal_quality.score(docs, model)
-    return scored.filter(F.col("tail_prob") >= ordinal_quality.KEEP_TAIL).select(docs.columns)
+    scored = ordinal_quality.score(carried(docs), model)
+    return scored.filter(F.col("tail_prob") >= ordinal_quality.KEEP_TAIL).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near duplicates."""
-    return bag_minhash.one_of_each(docs).select(docs.columns)
+    return bag_minhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold a benchmark passage."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return cgk_decontam.without_contaminated(docs, benchmark).select(docs.columns)
+    return cgk_decontam.without_contaminated(docs, benchmark)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,6 +65,19 @@ def test_stages_catch_planted_cases_and_keep_clean_documents(spark, planted):
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in mixed.values())
 
 
+def test_columns_named_like_those_of_an_operator_are_unchanged(spark, planted):
+    names = ("score", "lang_pred", "tail_prob", "expected_grade", "_text", "_digest", "_keep_id")
+    docs = spark.read.parquet(f"{planted}/documents.parquet").filter("doc_id < 60 or doc_id > 100000")
+    docs = spark.createDataFrame(docs.collect(), DOCS).selectExpr("*", *[f"'mine' AS {c}" for c in names])
+    for _, stage in P.STAGES[:2]:
+        out = stage(spark, docs, planted)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == "mine" for r in rows for c in names)
+    out = P.near_duplicates(spark, docs.limit(20), planted)
+    assert out.columns == docs.columns and all(r[c] == "mine" for r in out.collect() for c in names)
+
+
 @pytest.mark.xfail(reason="two toxic words among many clean ones leave the tail probability above the limit")
 def test_quality_rejects_a_text_with_two_toxic_words(spark, planted):
     kept = P.quality(spark, spark.read.parquet(f"{planted}/documents.parquet"), planted)

@@ -286,6 +286,17 @@ def test_a_long_path_that_pages_share_is_one_item(spark):
     assert len(rules.rules) == 1
 
 
+def test_samples_keep_their_bound_with_hot_ids_and_copies(spark):
+    rows = [(7, f"text {i}", "en") for i in range(2000)] + [(9, "the same", "en")] * 2000 + [(100 + i, f"other {i}", "en") for i in range(2000)]
+    rows += [(None, f"none {i}", "en") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string")
+    got = G.drawn(docs.withColumn("id", F.coalesce(F.col("id").cast("string"), F.lit(""))), {"en": len(rows)}, 400)
+    assert 200 < got.count() < 500
+    rated = spark.createDataFrame([(i, 1) for i in [7, 9, *range(100, 2100)]], "_id long, grade int")
+    assert 200 < Q.drawn(docs.withColumnRenamed("id", "_id"), rated, 2002).count() < 2500
+    assert Q.drawn(docs.withColumnRenamed("id", "_id"), rated, 4002).filter("text = 'the same'").count() <= 1
+
+
 def test_coincidences_are_no_rules(spark):
     r = random.Random(8)
     rows = [(i, f"http://h{r.randrange(40)}.org/{'abc'[i % 3]}{r.choice('xyz')}/{r.choice('uvw')}/{i}", None) for i in range(900)]
