@@ -72,6 +72,27 @@ def _count(texts: list[str]) -> Iterator[tuple[np.ndarray, int]]:
         at += len(text) + 1
 
 
+def _count_slices(text: str) -> tuple[np.ndarray, int]:
+    """The counts of one long text from slices that begin at a letter and reach two characters into the next.
+
+    Those two characters are n-grams of both slices, so they are taken off once.
+    """
+    total, letters, at = np.zeros(FEATURES, np.int64), 0, 0
+    while at < len(text):
+        cut = at + SLICE_CHARS
+        while cut < len(text) and not text[cut].isalpha():
+            cut += 1
+        counts, n = next(_count([text[at : cut + 2]]))
+        total += counts
+        letters += n
+        if cut < len(text):
+            counts, n = next(_count([text[cut : cut + 2]]))
+            total -= counts
+            letters -= n
+        at = cut
+    return total, letters
+
+
 def ngram_counts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, int]]:
     """(n-gram counts, letters) of each whole text; null counts as empty."""
     held: list[str] = []
@@ -82,12 +103,7 @@ def ngram_counts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, int]]:
             yield from _count(held)
             held, size = [], 0
         if len(low) > SLICE_CHARS:
-            total, letters = np.zeros(FEATURES, np.int64), 0
-            for at in range(0, len(low), SLICE_CHARS):
-                counts, n = next(_count([low[at : at + SLICE_CHARS]]))
-                total += counts
-                letters += n
-            yield total, letters
+            yield _count_slices(low)
             continue
         held.append(low)
         size += len(low) + 1

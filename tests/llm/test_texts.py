@@ -286,6 +286,17 @@ def test_a_long_path_that_pages_share_is_one_item(spark):
     assert len(rules.rules) == 1
 
 
+def test_ngrams_of_long_texts_do_not_depend_on_slices(monkeypatch):
+    r = random.Random(5)
+    for text in ("".join(r.choice("abc é!!  7日") for _ in range(997)), "--" * 300, "a" * 500, "x" + "." * 400 + "y"):
+        (want, n), = G.ngram_counts([text])
+        for size in (1, 2, 3, 50, 499):
+            monkeypatch.setattr(G, "SLICE_CHARS", size)
+            (got, m), = G.ngram_counts([text])
+            assert (got == want).all() and m == n, (text, size)
+        monkeypatch.undo()
+
+
 def test_samples_keep_their_bound_with_hot_ids_and_copies(spark):
     rows = [(7, f"text {i}", "en") for i in range(2000)] + [(9, "the same", "en")] * 2000 + [(100 + i, f"other {i}", "en") for i in range(2000)]
     rows += [(None, f"none {i}", "en") for i in range(2000)]
