@@ -1,8 +1,10 @@
 """Document fingerprints by Order MinHash, in built-in expressions only.
 
-The k-mers of a text are its runs of K words (runs without white space; a shorter text is one k-mer).
-A run of over WORD_CHARS characters, as in scripts without spaces, gives the PIECE_CHARS characters
-from each of its characters on as words, so an edit changes only the k-mers around it. The n-th occurrence of a k-mer in the text
+The k-mers of a text are its runs of K pieces (a shorter text is one k-mer). Every text is cut in the same
+way, by its characters alone and at any length: a piece is a run of letters up to white space, another kind
+of character or one of CUT_LETTERS, a run of digits up to such a place or a 0, one sign, or one character
+of a script without spaces (SINGLE). So an edit changes only the k-mers around it, in words as in text
+without spaces; only a run without any such place stands or falls as a whole. The n-th occurrence of a k-mer in the text
 becomes an element (k-mer, n). For each of SKETCHES orders the L smallest elements are selected,
 brought back to their order in the text, and the tuple of their k-mers is hashed. Equal tuples in
 two texts show k-mers that are shared and stand in the same order, so the share of equal sketches
@@ -27,11 +29,11 @@ from pyspark.sql import functions as F
 K = 3
 L = 2
 SKETCHES = 32
-WORD_CHARS = 24
-PIECE_CHARS = 6
-_WORD = r"(?<!\S)\S{1,%d}(?!\S)" % WORD_CHARS
-# a word as a whole, or at each character of a longer run the piece that begins there
-WORDS = r"(?=(%s|\S{%d}))(?:%s|\S)" % (_WORD, PIECE_CHARS, _WORD)
+# characters that are a piece each: scripts without spaces, and pictures
+SINGLE = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan")) + r"\p{So}"
+CUT_LETTERS = "gjkqvxzGJKQVXZ"  # not frequent inside words, frequent enough in codes
+_LETTER = rf"[\p{{L}}\p{{M}}&&[^{CUT_LETTERS}{SINGLE}]]"
+WORDS = rf"([{SINGLE}]|{_LETTER}+[{CUT_LETTERS}]?|[{CUT_LETTERS}]|[\p{{N}}&&[^0{SINGLE}]]+0?|0|[^\s\p{{L}}\p{{M}}\p{{N}}])"
 PLACE_BITS = 26
 HASH_BITS = 63 - PLACE_BITS
 _PLACE = (1 << PLACE_BITS) - 1
