@@ -14,26 +14,31 @@ Chunks end at quantiles of a sample of the key's rows, taken over all order colu
 clustered values, far-off ones, nulls and ties on the first columns do not matter; only rows equal
 in every order column share a chunk. Order columns may be of any type that can be ordered.
 
-The cuts and the carry table have at most ``rows / hot_rows`` (+ one per hot key) entries,
-which is the size bound behind the two ``broadcast`` hints. Whether there is a hot key at all is
-asked once, by a job over the key columns; without one the plan is the plain window and nothing is
-joined. With one, a second job samples the rows of the hot keys; the cuts are then fixed for the plan.
+The cuts and the carry table have about ``rows / hot_rows`` (+ one per hot key) entries. They are
+broadcast up to ``BROADCAST_ROWS`` entries; above that Spark chooses the join. A key of many chunks is
+cut in levels of at most ``FAN`` chunks each, so a row is compared with a few cuts of its own group and
+no group sorts more than ``FAN * SAMPLES`` sampled rows. Whether there is a hot key at all is asked
+once, by a job over the key columns; without one the plan is the plain window and nothing is
+joined. With one, a job per level samples the rows of the hot keys; the cuts are then fixed for the plan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.functions.exprs import col
+from cardloom.plans.staging import stage
 
 HOT_ROWS = 2_000_000
 
 SAMPLES = 64  # sampled rows per chunk: chunks are within twice hot_rows with all but certainty
+FAN = 64  # chunks that one level of cuts makes of a group of rows
+BROADCAST_ROWS = 100_000  # entries of a table that is broadcast, keys, cuts or chunks
 
 _CHUNK, _HOT = "__chunk", "__hot"
 
@@ -42,6 +47,10 @@ def _same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
+def _joined_to(df: DataFrame, entries: int) -> DataFrame:
+    return F.broadcast(df) if entries <= BROADCAST_ROWS else df
+
+
 @dataclass(frozen=True)
 class Chunked:
     """Rows with a chunk number; chunks of cold keys are always 0."""
@@ -50,6 +59,7 @@ class Chunked:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     hot: bool
+    chunks: int = 0  # number of chunks of hot keys, roughly
 
     @property
     def window(self):
@@ -100,7 +110,7 @@ class Chunked:
             lambda a, b: a & b,
             [_same(col(n), F.col(f"__r{i}")) for i, n in enumerate(names)],
         )
-        joined = rows.join(F.broadcast(renamed), on, "left")
+        joined = rows.join(_joined_to(renamed, self.chunks), on, "left")
         return joined.drop(*[f"__r{i}" for i in range(len(names))])
 
 
@@ -118,48 +128,79 @@ def split_hot(
     """
     names = [f"__h{i}" for i in range(len(keys))]
     source = (df if sized_by is None else sized_by).select(
-        *[col(k).alias(n) for k, n in zip(keys, names, strict=True)], _order_struct(order).alias("__at")
+        *[col(k).alias(n) for k, n in zip(keys, names, strict=True)], _order_struct(order).alias("__order")
     )
     size = F.count(F.lit(1)).alias("__n")
-    counts = (source.groupBy(*names) if names else source.groupBy()).agg(size).filter(F.col("__n") > hot_rows)
-    hot = counts.toArrow()  # at most rows / hot_rows keys
-    if not hot.num_rows:
+    chunks = F.ceil(F.col("__n") / F.lit(hot_rows)).alias("__chunks")
+    counts = (source.groupBy(*names) if names else source.groupBy()).agg(size).filter(F.col("__n") > hot_rows).select("*", chunks)
+    hot = _fixed(counts, counts.limit(BROADCAST_ROWS + 1).toArrow())
+    n_keys, most, n_chunks = hot.agg(F.count(F.lit(1)), F.max("__chunks"), F.sum("__chunks")).head()
+    if not n_keys:
         plain = df.select("*", F.lit(False).alias(_HOT), F.lit(0).cast("bigint").alias(_CHUNK))
         return Chunked(plain, tuple(keys), tuple(order), False)
-    cuts = _cuts(source, df.sparkSession.createDataFrame(hot), names, hot_rows)
-    if names:
-        on = reduce(lambda a, b: a & b, [_same(col(k), F.col(n)) for k, n in zip(keys, names, strict=True)])
-        sized = df.join(F.broadcast(cuts), on, "left").drop(*names)
-    else:
-        sized = df.select("*", cuts.select("__cuts").scalar().alias("__cuts"))
-    below = F.size(F.filter("__cuts", lambda cut: cut <= _order_struct(order)))
-    is_hot = F.col("__cuts").isNotNull()
-    chunk = F.when(is_hot, below).otherwise(F.lit(0)).cast("bigint")
-    return Chunked(
-        sized.select(*[col(x) for x in df.columns], is_hot.alias(_HOT), chunk.alias(_CHUNK)), tuple(keys), tuple(order), True
-    )
+    levels = _cuts(source, hot, names, most, n_keys, n_chunks)
+    placed = _place(df.select("*", _order_struct(order).alias("__order")), list(keys), names, levels)
+    return Chunked(placed.drop("__order"), tuple(keys), tuple(order), True, n_chunks)
 
 
-def _cuts(source: DataFrame, hot: DataFrame, names: Sequence[str], hot_rows: int) -> DataFrame:
-    """First order values of the chunks of every hot key but its first chunk.
+def _fixed(df: DataFrame, held=None) -> DataFrame:
+    """A table that is computed once: a local one, or a staged one where it has many rows.
 
-    Held as a local table, since another sample would give other cuts.
+    Another sample would give other cuts, so the plan must not compute it again.
     """
-    chunks = F.ceil(F.col("__n") / F.lit(hot_rows))
-    wanted = hot.withColumn("__chunks", chunks).withColumn("__share", F.lit(SAMPLES) * chunks / F.col("__n"))
-    if names:
-        renamed = wanted.withColumnsRenamed({n: f"{n}_" for n in names})
-        on = reduce(lambda a, b: a & b, [_same(F.col(n), F.col(f"{n}_")) for n in names])
-        rows = source.join(F.broadcast(renamed), on)
-    else:
-        rows = source.join(F.broadcast(wanted), F.lit(True))  # one row
-    sampled = rows.filter(F.rand(7) < F.col("__share"))
-    sorted_rows = F.sort_array(F.collect_list("__at")).alias("__s")
-    per_key = sampled.groupBy(*names, "__chunks").agg(sorted_rows)
-    place = lambda i: F.floor(i * F.size("__s") / F.col("__chunks")).cast("int") + 1
-    cuts = F.transform(F.sequence(F.lit(1), F.col("__chunks").cast("int") - 1), lambda i: F.element_at("__s", place(i)))
-    found = per_key.select(*names, F.array_distinct(cuts).alias("__cuts"))
-    return source.sparkSession.createDataFrame(found.toArrow(), found.schema)
+    if held is not None and held.num_rows <= BROADCAST_ROWS:
+        return df.sparkSession.createDataFrame(held, df.schema)
+    return stage(df, "cuts")
+
+
+def _place(rows: DataFrame, keys: Sequence[str], names: Sequence[str], levels: Sequence[tuple[DataFrame, int]]) -> DataFrame:
+    """Rows (with ``__order``) and their chunk so far; every level numbers the chunks inside those of the level before."""
+    rows = rows.select("*", F.lit(False).alias(_HOT), F.lit(0).cast("bigint").alias(_CHUNK))
+    base = [col(x) for x in rows.columns if x not in (_HOT, _CHUNK)]
+    for cuts, entries in levels:
+        renamed = cuts.select(*[F.col(n).alias(f"{n}_") for n in names], "__place", "__cuts", F.lit(True).alias("__in"))
+        on = reduce(lambda a, b: a & b, [_same(col(k), F.col(f"{n}_")) for k, n in zip(keys, names, strict=True)], F.col(_CHUNK) == F.col("__place"))
+        below = F.coalesce(F.size(F.filter("__cuts", lambda cut: cut <= F.col("__order"))), F.lit(0))
+        found = rows.join(_joined_to(renamed, entries), on, "left")
+        within = F.when(F.col("__cuts").isNotNull(), below).otherwise(F.lit(0))
+        rows = found.select(
+            *base, (F.col(_HOT) | F.coalesce("__in", F.lit(False))).alias(_HOT), (F.col(_CHUNK) * FAN + within).cast("bigint").alias(_CHUNK)
+        )
+    return rows
+
+
+def _cuts(source: DataFrame, hot: DataFrame, names: Sequence[str], most: int, n_keys: int, n_chunks: int) -> list[tuple[DataFrame, int]]:
+    """Tables (key, place, first order values of its chunks but the first) of each level, and their entries.
+
+    The first level holds every hot key; a group that needs no cut has none.
+    """
+    depth = 1
+    while FAN**depth < most:
+        depth += 1
+    levels: list[tuple[DataFrame, int]] = []
+    made = F.lit(1).cast("bigint")
+    for level in range(depth):
+        fan = F.least(F.lit(FAN), F.ceil(F.col("__chunks") / F.lit(FAN ** (depth - 1 - level))))
+        # a group of this level has about n / made rows
+        share = F.lit(SAMPLES) * fan * made / F.col("__n")
+        wanted = hot.select(*[F.col(n).alias(f"{n}_") for n in names], fan.alias("__fan"), share.alias("__share")).filter("__fan > 1")
+        made = made * fan
+        placed = _place(source, names, names, levels)
+        on = reduce(lambda a, b: a & b, [_same(F.col(n), F.col(f"{n}_")) for n in names], F.lit(True))
+        sampled = placed.join(_joined_to(wanted, n_keys), on).filter(F.rand(7 + level) < F.col("__share"))
+        per_group = sampled.groupBy(*names, F.col(_CHUNK).alias("__place"), "__fan").agg(F.sort_array(F.collect_list("__order")).alias("__s"))
+        at = lambda i: F.floor(i * F.size("__s") / F.col("__fan")).cast("int") + 1
+        cuts = F.transform(F.sequence(F.lit(1), F.col("__fan").cast("int") - 1), lambda i: F.element_at("__s", at(i)))
+        found = per_group.select(*names, "__place", F.array_distinct(cuts).alias("__cuts"))
+        entries = n_chunks if level == depth - 1 else min(n_chunks, n_keys * FAN ** (level + 1))
+        fixed = _fixed(found, found.toArrow() if entries <= BROADCAST_ROWS else None)
+        if level == 0:
+            again = hot.select(*[F.col(n).alias(f"{n}_") for n in names])
+            fixed = again.join(_joined_to(fixed, entries), on, "left").select(
+                *[F.col(f"{n}_").alias(n) for n in names], F.lit(0).cast("bigint").alias("__place"), "__cuts"
+            )
+        levels.append((fixed, entries))
+    return levels
 
 
 def _order_struct(order: Sequence[str]) -> Column:
@@ -173,11 +214,15 @@ def running_last(
     values: Mapping[str, Column],
     inclusive: bool = True,
     hot_rows: int = HOT_ROWS,
+    cut: Chunked | None = None,
 ) -> DataFrame:
-    """Add, per output name, the last non-null value up to (or before) each row."""
+    """Add, per output name, the last non-null value up to (or before) each row.
+
+    ``cut``: chunks of the same keys and order, whose columns ``df`` still holds; they are kept.
+    """
     tmp = {name: f"__v{i}" for i, name in enumerate(values)}
     valued = df.select("*", *[v.alias(tmp[n]) for n, v in values.items()])
-    c = split_hot(valued, keys, order, hot_rows)
+    c = split_hot(valued, keys, order, hot_rows) if cut is None else replace(cut, df=valued)
     frame = c.window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     rows = c.df.select(
         "*", *[F.last(t, ignorenulls=True).over(frame).alias(f"{t}_in") for t in tmp.values()]
@@ -264,11 +309,12 @@ def running_sum(
     order: Sequence[str],
     values: Mapping[str, Column],
     hot_rows: int = HOT_ROWS,
+    cut: Chunked | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums of whole numbers."""
+    """Add inclusive running sums of whole numbers; ``cut`` as in ``running_last``."""
     tmp = {name: f"__v{i}" for i, name in enumerate(values)}
     valued = df.select("*", *[v.alias(tmp[n]) for n, v in values.items()])
-    c = split_hot(valued, keys, order, hot_rows)
+    c = split_hot(valued, keys, order, hot_rows) if cut is None else replace(cut, df=valued)
     frame = c.window.rowsBetween(Window.unboundedPreceding, 0)
     rows = c.df.select("*", *[F.sum(t).over(frame).alias(f"{t}_in") for t in tmp.values()])
 

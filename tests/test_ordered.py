@@ -111,3 +111,28 @@ def test_order_columns_of_other_types(spark):
     for order in (["s", "d", "i"], ["st", "i"], ["t"]):
         plain, cut = (O.row_positions(df, ["k"], order, "p", None, h).select("i", "p") for h in (10_000, 20))
         assert sorted(plain.collect()) == sorted(cut.collect())
+
+
+@pytest.mark.parametrize("held", [O.BROADCAST_ROWS, 10])
+def test_a_key_of_many_chunks_is_cut_in_levels(spark, monkeypatch, held):
+    """Rows are compared with the cuts of their own group only, and tables of many entries are not broadcast."""
+    monkeypatch.setattr(O, "BROADCAST_ROWS", held)
+    monkeypatch.setattr(O, "FAN", 4)
+    n, hot_rows = 3000, 20
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 40).cast("string"))).alias("k"),
+        F.pmod(F.col("id") * 7919, F.lit(n)).alias("seq"),
+        F.col("id").alias("i"),
+    ).repartition(3)
+    c = O.split_hot(df, ["k"], ["seq"], hot_rows)
+    chunks = [r for r in c.df.groupBy("k", "__hot", "__chunk").agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b")).collect()]
+    hot = sorted((r["__chunk"], r.n, r.a, r.b) for r in chunks if r.k == "hot")
+    assert all(r["__hot"] == (sum(x.n for x in chunks if x.k == r.k) > hot_rows) for r in chunks)
+    assert len(hot) >= 80 and max(x[1] for x in hot) <= 4 * hot_rows
+    assert all(left[3] < right[2] for left, right in zip(hot, hot[1:]))
+    got = O.row_positions(df, ["k"], ["seq"], "p", "n", hot_rows).collect()
+    by_k = {}
+    for r in sorted(got, key=lambda r: r.seq):
+        by_k[r.k] = by_k.get(r.k, 0) + 1
+        assert r.p == by_k[r.k]
+    assert all(r.n == by_k[r.k] for r in got)
