@@ -3,7 +3,7 @@
 A document is scanned as text that is cut at every closing brace, which Spark splits like lines. Whether
 a piece begins inside a string follows from the quotes before it, and its depth from the braces
 outside strings before it: two running sums over the pieces of a file, in chunks where a file has
-many. An object of the wanted depth then reaches from the piece that opens it to the one that
+many. The chunks are cut once for all passes, and the measured pieces are staged (``plans.staging``). An object of the wanted depth then reaches from the piece that opens it to the one that
 closes it, and only those pieces are put together; where the name of an object holds a brace, the
 pieces of the name go along.
 """
@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.operators.ordered import HOT_ROWS, running_last, running_sum
+from cardloom.operators.ordered import HOT_ROWS, running_last, running_sum, split_hot
+from cardloom.plans.staging import stage
 
 _CUT = "}"
 _STRING = r'"(?:[^"\\]|\\.)*"'
@@ -37,35 +38,39 @@ def json_elements(
 
     scanned = spark.read.option("lineSep", _CUT).text(path)
     pieces = scanned.select(F.col("_metadata.file_path").alias(_FILE), file_position().alias(_AT), F.col("value").alias("text"))
+    cut = split_hot(pieces, [_FILE], [_AT], hot_rows, sized_by=pieces)
     # an escape never goes over a cut, as a closing brace cannot be escaped
     bare = F.regexp_replace("text", r"(?s)\\.", "")
-    plain = pieces.withColumn("__bare", bare).withColumn("__odd", _quotes(F.col("__bare")) % 2)
-    quoted = running_sum(plain, [_FILE], [_AT], {"__sum": F.col("__odd")}, hot_rows)
+    plain = cut.df.withColumn("__bare", bare).withColumn("__odd", _quotes(F.col("__bare")) % 2)
+    quoted = running_sum(plain, [_FILE], [_AT], {"__sum": F.col("__odd")}, cut=cut)
     inside = (F.col("__sum") - F.col("__odd")) % 2 == 1
     ends_inside = F.col("__sum") % 2 == 1
     whole = F.when(inside, F.concat(F.lit('"'), F.col("__bare"))).otherwise(F.col("__bare"))
     outside = F.regexp_replace(F.regexp_replace(whole, r'"[^"]*"', ""), r'"[^"]*$', "")
     opens = F.length(outside) - F.length(F.replace(outside, F.lit("{"), F.lit("")))
-    measured = quoted.select(
+    chunk = ["__hot", "__chunk"]
+    told = quoted.select(
         _FILE,
         _AT,
         "text",
+        *chunk,
         opens.alias("__opens"),
         F.when(ends_inside, 0).otherwise(1).alias("__closes"),
         F.when(~inside, F.col(_AT)).alias("__clear"),  # begins outside strings
     )
+    measured = stage(told, "json-pieces")
     delta = F.col("__opens") - F.col("__closes")
-    deep = running_sum(measured, [_FILE], [_AT], {"__depth": delta}, hot_rows)
-    linked = running_last(deep, [_FILE], [_AT], {"__link": F.col("__clear")}, True, hot_rows)
+    deep = running_sum(measured, [_FILE], [_AT], {"__depth": delta}, cut=cut)
+    linked = running_last(deep, [_FILE], [_AT], {"__link": F.col("__clear")}, cut=cut)
     before = F.col("__depth") - delta
     begins = (before < depth) & (before + F.col("__opens") >= depth)
     placed = linked.select(
-        _FILE, _AT, "text", "__link", before.alias("__before"), begins.alias("__begins"),
+        _FILE, _AT, "text", *chunk, "__link", before.alias("__before"), begins.alias("__begins"),
         (F.col("__closes") == 0).alias("__cut_string"),
     )
     inner = F.col("__before") >= depth
     held = placed.filter(F.col("__begins") | inner | F.col("__cut_string"))
-    started = running_last(held, [_FILE], [_AT], {"__start": F.when(F.col("__begins"), F.col("__link"))}, True, hot_rows)
+    started = running_last(held, [_FILE], [_AT], {"__start": F.when(F.col("__begins"), F.col("__link"))}, cut=cut)
     own = F.when(F.col("__begins") | inner, F.col("__start")).otherwise(F.col("__link"))
     parts = F.sort_array(F.collect_list(F.struct(_AT, "text", "__before")))
     joined = started.groupBy(_FILE, own.alias("input_pos")).agg(parts.alias("__parts"), F.bool_or("__begins").alias("__object"))
