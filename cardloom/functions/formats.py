@@ -87,10 +87,9 @@ def format_name_short(event_id: Column | str) -> Column:
 
 
 def format_category(event_id: Column | str) -> Column:
-    """Group of a format, decided on its display name."""
-    return ordered_contains(
-        format_name(event_id), FORMAT_CATEGORIES, F.lit("Other")
-    )
+    """Group of a format, decided on its display name, which is made once and not for every pattern."""
+    name = F.array(F.lower(format_name(event_id)))
+    return F.transform(name, lambda n: ordered_contains(n, FORMAT_CATEGORIES, F.lit("Other")))[0]
 
 
 def is_limited(event_id: Column | str) -> Column:
