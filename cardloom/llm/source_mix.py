@@ -17,7 +17,7 @@ of the shard's line. ``mixed_texts`` cuts these pieces out of the texts, which g
 A document's ``taken`` in ``mix`` is the sum of its pieces, repeats counted.
 
 Null text counts 0 words and is never taken. Repeated rows and ids are separate documents of the
-line. Null ids hash like a fixed value. An empty table gives an empty result.
+line; a hash of the text orders those of equal id and size. Null ids hash like a fixed value. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -125,8 +125,8 @@ def spans(
     one piece for each chosen block. Columns to keep that are named like a result are replaced by it.
     """
     spark = docs.sparkSession
-    wide = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sizes_of(text_col).alias("size"), *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep])
-    work = stage(wide.select("id", "source", "size"), "sizes")
+    wide = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sizes_of(text_col).alias("size"), F.xxhash64(text_col).alias("mark"), *[F.col(f"`{c}`").alias(f"keep_{c}") for c in keep])
+    work = stage(wide.select("id", "source", "size", "mark"), "sizes")
     if not keep:
         wide = work
     # one row per source; a corpus names its sources, so they are few against the documents
@@ -153,7 +153,7 @@ def spans(
     shard = shard.withColumns({"n_blocks": F.ceil(F.col("shard_size") / block_words), "repeat": F.lit(repeat)})
     quota = shard.groupBy("number").applyInPandas(_shard_quotas, "number long, shard long, n_blocks long, quota long")
 
-    place = Window.partitionBy("number", "shard").orderBy(F.xxhash64(F.col("id"), F.lit(seed + 1)), "id", "size")
+    place = Window.partitionBy("number", "shard").orderBy(F.xxhash64(F.col("id"), F.lit(seed + 1)), "id", "size", "mark")
     # begin of the document in its shard's line of words
     line = dealt(wide).withColumn("begin", F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, -1)))
     line = line.withColumn("begin", F.coalesce("begin", F.lit(0)))
