@@ -9,7 +9,9 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+from pyspark.shuffle import ExternalSorter
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +20,8 @@ from cardloom.functions.variants import emit_json
 from cardloom.operators.messages import ARROWS, LONE_BRACE
 from cardloom.sources.growing import name_order
 
+SORT_MB = 400  # memory of a Python worker above which the lines it puts in order go to Spark's local folders
+
 _LONE = re.compile(LONE_BRACE, re.ASCII)
 _LINE_ENDS = "".join(map(chr, (0x0A, 0x0D, 0x85, 0x2028, 0x2029)))  # what a dot does not match in the batch
 _ESCAPED = re.compile(rf"\\[^{_LINE_ENDS}]")
@@ -43,6 +47,12 @@ def braces(text: str) -> int:
     return plain.count("{") - plain.count("}")
 
 
+def in_order(lines: Iterator[tuple]) -> Iterator[tuple]:
+    """(file, place, line, reset) by the time of the file's name and the place, in bounded memory."""
+    order = lru_cache(maxsize=1024)(name_order)
+    return iter(ExternalSorter(SORT_MB).sorted(lines, key=lambda r: (order(r[0]), r[1])))
+
+
 class OpenBlocks(StatefulProcessor):
     """Lines of a key -> texts of its messages.
 
@@ -62,13 +72,13 @@ class OpenBlocks(StatefulProcessor):
         held = self.block.get() if self.block.exists() else (False, None, 0, 0, -1, None)
         is_open, text, depth, base, last, file = held
         anew = set()
-        for row in sorted(rows, key=lambda r: (name_order(r["source_file"]), r["line_no"])):
-            name = row["source_file"]
-            if (name != file and file is not None) or (row["reset"] and name not in anew):
+        lines = ((r["source_file"], r["line_no"], r["line"], r["reset"]) for r in rows)
+        for name, line_no, line, reset in in_order(lines):
+            if (name != file and file is not None) or (reset and name not in anew):
                 base = last + 1
-            if row["reset"]:
+            if reset:
                 anew.add(name)
-            file, line, last = name, row["line"], base + row["line_no"]
+            file, last = name, base + line_no
             brace = line.find("{")
             if brace >= 0 and any(a in line for a in ARROWS):
                 rest = line[brace:]
@@ -99,7 +109,8 @@ def stream_messages(lines: DataFrame, by: tuple[str, ...] = ("player_id", "sourc
 
     By player and file it equals the batch operator. By player alone one parser follows all files of a
     player in the order of their names' times, so a block may begin in one and end in the next;
-    ``line_no`` then grows over the files. The rows of one key and batch are put in order in their task.
+    ``line_no`` then grows over the files. The rows of one key and batch are put in order in their task,
+    on disk above SORT_MB of its Python worker.
     """
     shape = ", ".join(f"{c} string" for c in by) + ", line_no bigint, line string, text string"
     texts = lines.groupBy(*by).transformWithState(

@@ -86,3 +86,14 @@ def test_known_names_stop_repeats_and_direct_names(spark):
     names = own.selectExpr("source_file", "line_no", "cast(ord AS double) AS ord", "deck_name")
     assert M.deck_from_request(M.route(m), names).count() == 0
     assert M.deck_from_request(M.route(m)).count() == 1
+
+
+def test_lines_of_a_stream_batch_are_put_in_order_in_bounded_memory(monkeypatch):
+    """With a limit that is always passed the lines are sorted over spilled runs."""
+    from cardloom.streaming import blocks
+
+    monkeypatch.setattr(blocks, "SORT_MB", 1)
+    names = ["UTC_Log - 03-02-2024 09.30.00.log", "UTC_Log - 12-01-2023 10.00.00.log"]
+    lines = [(names[i % 2], (i * 7919) % 30_011, f"line {i} " + "x" * 200, False) for i in range(20_000)]
+    got = blocks.in_order(iter(lines))
+    assert iter(got) is got and list(got) == sorted(lines, key=lambda r: (blocks.name_order(r[0]), r[1]))
