@@ -47,7 +47,7 @@ def _ring(h: Column) -> Column:
 
 def with_fingerprint(df: DataFrame, text_col: str, out: str, k: int = K) -> DataFrame:
     """``df`` with column ``out``: 8 hexadecimal digits per sketch, empty for texts without words."""
-    w, s, e, n = f"_{out}_w", f"_{out}_s", f"_{out}_e", f"_{out}_n"
+    w, s, e, n, t = f"_{out}_w", f"_{out}_s", f"_{out}_e", f"_{out}_n", f"_{out}_t"
     df = df.withColumn(w, F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORDS), F.lit(1)))
     last = F.greatest(F.size(w) - k, F.lit(0))
     word = F.col(w)
@@ -60,14 +60,19 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str, k: int = K) -> Data
     df = df.drop(w)
     sorted_ = F.col(s)
 
+    def steps(count: Column) -> Column:
+        """The steps of a search among ``count`` entries: longer ones could never be taken."""
+        all_steps = F.array(*[F.lit(b) for b in STRIDES])
+        return F.slice(all_steps, F.greatest(F.lit(PLACE_BITS) - F.length(F.bin(count.cast("bigint"))) + 1, F.lit(1)).cast("int"), F.lit(PLACE_BITS))
+
     def same(i: Column, x: Column, back: Column) -> Column:
         return (i >= back) & (F.shiftright(F.get(sorted_, i - back), PLACE_BITS) == F.shiftright(x, PLACE_BITS))
 
     def occurrence(i: Column, x: Column) -> Column:
-        strides = F.array(*[F.lit(b) for b in STRIDES])
-        climb = F.aggregate(strides, F.lit(0), lambda r, b: F.when(same(i, x, r + b), r + b).otherwise(r))
+        climb = F.aggregate(F.col(t), F.lit(0), lambda r, b: F.when(same(i, x, r + b), r + b).otherwise(r))
         return F.when(same(i, x, F.lit(1)), climb).otherwise(F.lit(0))
 
+    df = df.withColumn(t, steps(F.size(s)))
     elements = F.transform(
         sorted_,
         lambda x, i: F.shiftleft(_ring(F.xxhash64(F.shiftright(x, PLACE_BITS), occurrence(i, x))), PLACE_BITS).bitwiseOR(
@@ -80,9 +85,8 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str, k: int = K) -> Data
 
     def first_from(start: Column) -> Column:
         """Number of elements below the start of an order: the index of its smallest element."""
-        strides = F.array(*[F.lit(b) for b in STRIDES])
         below = lambda r, b: (r + b <= total) & (F.get(ring, r + b - 1) < start)
-        return F.aggregate(strides, F.lit(0), lambda r, b: F.when(below(r, b), r + b).otherwise(r))
+        return F.aggregate(F.col(t), F.lit(0), lambda r, b: F.when(below(r, b), r + b).otherwise(r))
 
     def sketch(start: Column) -> Column:
         at = lambda f, j: F.get(ring, F.pmod(f + j, total))
@@ -96,7 +100,7 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str, k: int = K) -> Data
 
     starts = F.array(*[F.lit((j * 0x9E3779B97F4A7C15 % (1 << 64) >> (64 - HASH_BITS)) << PLACE_BITS) for j in range(SKETCHES)])
     df = df.withColumn(out, F.when(total > 0, F.concat_ws("", F.transform(starts, sketch))).otherwise(F.lit("")))
-    return df.drop(e, n)
+    return df.drop(e, n, t)
 
 
 def likeness(a: str, b: str) -> Column:
