@@ -14,7 +14,7 @@ training document every text is ``und`` with score 0.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.shared import SLICE_CHARS, free_name
+from cardloom.llm.shared import free_name
 
+SLICE_CHARS = 250_000  # characters counted at once in a task; longer texts are cut into overlapping slices
 BITS = 15
 FEATURES = 1 << BITS
 PER_LANG = 1000
@@ -93,7 +94,7 @@ def _count_slices(text: str) -> tuple[np.ndarray, int]:
     return total, letters
 
 
-def ngram_counts(texts: list[str | None]) -> Iterator[tuple[np.ndarray, int]]:
+def ngram_counts(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, int]]:
     """(n-gram counts, letters) of each whole text; null counts as empty."""
     held: list[str] = []
     size = 0
@@ -169,7 +170,7 @@ def _softmax(a: np.ndarray) -> np.ndarray:
 def _document_frequencies(batches):
     df = np.zeros(FEATURES, np.int64)
     for batch in batches:
-        for counts, n in ngram_counts(batch.column(0).to_pylist()):
+        for counts, n in ngram_counts(t.as_py() for t in batch.column(0)):
             if n:
                 df += counts > 0
     at = np.flatnonzero(df)
@@ -179,7 +180,7 @@ def _document_frequencies(batches):
 def _sample_features(batches):
     for batch in batches:
         at, tf = [], []
-        for counts, _ in ngram_counts(batch.column(1).to_pylist()):
+        for counts, _ in ngram_counts(t.as_py() for t in batch.column(1)):
             f = np.flatnonzero(counts)
             at.append(f)
             tf.append(counts[f])
@@ -231,7 +232,7 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", pe
 def _predict_batches(batches, model: Model):
     for batch in batches:
         lang, score = [], []
-        for counts, n in ngram_counts(batch.column(batch.num_columns - 1).to_pylist()):
+        for counts, n in ngram_counts(t.as_py() for t in batch.column(batch.num_columns - 1)):
             if not n:
                 got = ("und", 1.0)
             elif not model.langs:
