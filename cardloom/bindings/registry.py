@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_PER_TASK = 500_000  # rows of a table that one task groups; about 400 MB with wide logs
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,6 +21,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def tasks(df: DataFrame) -> int:
+    """Tasks for the groups of a table: as many as its rows need, so that none grows with the table."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK))
+
+
 def query(name: str, sql: str | None = None):
     """Register a query; ``sql`` is its counterpart for DuckDB."""
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cardloom.bindings.registry import query, table
+from cardloom.bindings.registry import query, table, tasks
 from cardloom.functions.exprs import col
 from cardloom.operators import wide as Wd
 
@@ -22,9 +22,15 @@ CELLS = f"""cells AS (
     CAST(sum(CAST(l_quantity AS INTEGER) - 10) AS INTEGER) AS n FROM lineitem GROUP BY 1, 2, 3)"""
 
 
+def order_lines(spark, sf):
+    """Order lines with those of a game in one task of bounded size; what is grouped by game stays there."""
+    lines = table(spark, sf, "lineitem")
+    return lines.repartition(tasks(lines), "l_orderkey")
+
+
 def game_logs(spark, sf):
     places = F.array(*[F.lit(p) for p in Wd.CARD_POSITIONS])
-    lines = table(spark, sf, "lineitem").select(
+    lines = order_lines(spark, sf).select(
         F.col("l_orderkey").alias("game_id"),
         F.concat_ws(
             "_",
@@ -75,8 +81,11 @@ def _(spark, sf):
     any_card = F.exists(F.array(*[col(c) for c in COUNT_COLUMNS]), lambda x: x != 0)
     before = logs.filter(any_card).select("game_id", *[col(c) for c in COUNT_COLUMNS])
     after = Wd.pivot_cards(Wd.melt_cards(logs, meta, KEY), meta, KEY)
-    changed = before.exceptAll(after).unionByName(after.exceptAll(before))
-    return changed.agg(F.count(F.lit(1)).alias("changed_rows"))
+    more = F.lit(1).cast("bigint").alias("__more")
+    both = before.select("*", more).unionByName(after.select("*", (-more).alias("__more")))
+    # a row that one side has more often than the other counts as often as it has it more
+    apart = both.repartition(tasks(table(spark, sf, "lineitem")), "game_id").groupBy(*[col(c) for c in after.columns]).agg(F.sum("__more").alias("__more"))
+    return apart.agg(F.coalesce(F.sum(F.abs("__more")), F.lit(0)).cast("bigint").alias("changed_rows"))
 
 
 @query("row_count", "SELECT count(*) AS n FROM lineitem")
@@ -177,7 +186,7 @@ def replay_logs(spark, sf):
         .otherwise("eot_user_life")
     )
     player = F.when(F.col("l_returnflag") == "R", "oppo").otherwise("user")
-    lines = table(spark, sf, "lineitem").select(
+    lines = order_lines(spark, sf).select(
         F.col("l_orderkey").alias("game_id"),
         F.concat_ws("_", player, F.lit("turn"), F.col("l_linenumber").cast("string"), field).alias("c"),
         F.col("l_quantity").cast("int").alias("n"),

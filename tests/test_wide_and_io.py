@@ -165,3 +165,40 @@ def test_numbers_of_any_length_sort_by_value(spark, hot_rows):
     got = index_page(df, hot_rows=hot_rows).orderBy("position").collect()
     assert [r["collectorNumber"] for r in got] == want
     assert [r["collectorNumber"] for r in df.orderBy(natural_sort_key("collectorNumber")).collect()] == want
+
+
+@pytest.fixture
+def many_lines(spark, tmp_path, monkeypatch):
+    """A folder of 400 order lines and their parts, of which a task shall group about 20."""
+    from cardloom.bindings import registry
+
+    monkeypatch.setattr(registry, "ROWS_PER_TASK", 20)
+    lines = spark.range(400).selectExpr(
+        "CAST(id DIV 4 AS BIGINT) AS l_orderkey", "id % 30 AS l_partkey", "id % 7 AS l_suppkey", "CAST(1 + id % 7 AS INT) AS l_linenumber",
+        "CAST(id % 50 AS DOUBLE) AS l_quantity", "substring('ANR', CAST(1 + id % 3 AS INT), 1) AS l_returnflag", "substring('FO', CAST(1 + id % 2 AS INT), 1) AS l_linestatus",
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts = spark.range(30).selectExpr("id AS p_partkey", "concat('n', id % 9) AS p_name", "CAST(id AS INT) AS p_size", "'T' AS p_type", "'b' AS p_brand")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name,key", [("pivot_cards", "game_id"), ("turn_features", "game_id"), ("deck_by_type", "deck_id"), ("consolidate_deck", "deck_id")])
+def test_a_task_groups_a_bounded_number_of_rows(spark, many_lines, name, key):
+    from cardloom.bindings import QUERIES
+
+    rows = QUERIES[name](spark, many_lines)
+    per_task = [r.n for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct(key).alias("n")).collect()]
+    assert sum(per_task) == rows.select(key).distinct().count() > 90
+    assert rows.rdd.getNumPartitions() == 20 and max(per_task) < 20
+
+
+def test_changed_rows_are_counted_on_both_sides(spark, many_lines, monkeypatch):
+    from cardloom.bindings import QUERIES, wide
+
+    count = lambda: QUERIES["melt_pivot_identity"](spark, many_lines).head().changed_rows
+    assert count() == 0
+    whole = W.pivot_cards
+    monkeypatch.setattr(wide.Wd, "pivot_cards", lambda *a: whole(*a).filter("game_id % 10 <> 0").withColumn("deck_A F", F.when(F.col("game_id") == 1, 99).otherwise(F.col("`deck_A F`"))))
+    missing = sum(1 for r in whole(W.melt_cards(wide.game_logs(spark, many_lines), wide.game_meta(), ["game_id"]), wide.game_meta(), ["game_id"]).collect() if r.game_id % 10 == 0)
+    assert count() == missing + 2
