@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cardloom.bindings.registry import MAPPING_SQL, mapping, query, table, view
+from cardloom.bindings.registry import MAPPING_SQL, mapping, query, table, tasks, view
 from cardloom.bindings.stats import COLLECTION_SQL, ownings
 from cardloom.functions.cards import card_type, draw_probability
 from cardloom.operators import deck as D
@@ -41,7 +41,8 @@ def decks(spark, sf):
 
 
 def consolidated(spark, sf):
-    return D.consolidate_deck(decks(spark, sf), mapping(spark, sf))
+    lines = decks(spark, sf)
+    return D.consolidate_deck(lines, mapping(spark, sf), tasks=tasks(lines))
 
 
 @query(
@@ -99,7 +100,7 @@ def remaining(spark, sf):
     singles = decks(spark, sf).filter("board = 'main'").selectExpr(
         "deck_id", "board", "grp_id", "CAST(1 AS BIGINT) AS quantity"
     )
-    deck = D.consolidate_deck(singles, mapping(spark, sf)).drop("board")
+    deck = D.consolidate_deck(singles, mapping(spark, sf), tasks=tasks(singles)).drop("board")
     return D.remaining_cards(deck, view(table(spark, sf, "lineitem"), SEEN_COLUMNS))
 
 

@@ -23,14 +23,18 @@ DECK_LINE = r"^(\d+)\s+(.+?)(?:\s+\(([^)]+)\))?(?:\s+\d+)?$"
 
 
 def consolidate_deck(
-    decks: DataFrame, mapping: DataFrame, by: Sequence[str] = ("deck_id", "board")
+    decks: DataFrame, mapping: DataFrame, by: Sequence[str] = ("deck_id", "board"), tasks: int | None = None
 ) -> DataFrame:
     """Merge the printings of one name: summed quantity, ids, type, mana cost.
 
     Type and cost come from the printing listed first (``pos``, else the lowest id). Ids
     are summed before the card lookup, so a hot deck or card is reduced on the map side
-    and the join sees one row per (deck, id).
+    and the join sees one row per (deck, id). With ``tasks`` the rows are dealt to so many tasks by the
+    first of ``by`` and all groups are made there, so a task's memory follows from their number; a deck
+    of a great share of the rows is better left without.
     """
+    if tasks is not None:
+        decks = decks.repartition(tasks, col(by[0]))
     first = F.min("pos" if "pos" in decks.columns else "grp_id").alias("__first")
     per_id = decks.groupBy(*by, "grp_id").agg(
         F.sum("quantity").cast("bigint").alias("q"), first
