@@ -46,7 +46,8 @@ def sub(v: Column, path: str) -> Column:
 
 
 def has(v: Column, key: str) -> Column:
-    return sub(v, f"$.{key}").isNotNull()
+    # An object is told without copying it; only other values are read.
+    return is_object(v, f"$.{key}") | sub(v, f"$.{key}").isNotNull()
 
 
 def text(v: Column, path: str) -> Column:

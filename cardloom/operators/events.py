@@ -28,7 +28,7 @@ from cardloom.functions.variants import (
     text,
     whole,
 )
-from cardloom.operators.ordered import HOT_ROWS, running_last
+from cardloom.operators.ordered import HOT_ROWS, running_last, split_hot
 
 UNKNOWN_DECK = "Unknown Deck"
 WHERE = ("source_file", "line_no", "ord")
@@ -396,13 +396,11 @@ def local_player(players: Column | str, platform: str = "Mac") -> Column:
 
 
 def _rooms(routed: DataFrame, state: str) -> DataFrame:
-    room = obj(F.col("payload"), "$.matchGameRoomStateChangedEvent.gameRoomInfo")
-    return emit(
-        routed.filter(F.col("kind") == "match"),
-        _where(routed),
-        {"room": room},
-        lambda r: text(r["room"], "$.stateType") == state,
-    )
+    path = "$.matchGameRoomStateChangedEvent.gameRoomInfo"
+    p = F.col("payload")
+    # told before the room is copied, as other states are half of the messages
+    wanted = (F.col("kind") == "match") & (text(p, f"{path}.stateType") == state)
+    return emit(routed.filter(wanted), _where(routed), {"room": obj(p, path)}, lambda r: r["room"].isNotNull())
 
 
 def match_starts(routed: DataFrame, platform: str = "Mac") -> DataFrame:
@@ -540,7 +538,9 @@ def match_ends(
         F.struct(F.col("start_team").alias("t"))
     )
     order = [c for c in at if c != "source_file"]
-    told = running_last(both, ["source_file"], order, {"__last": box}, False, hot_rows).filter("is_end")
+    # every end and start is a match message: those are counted without reading them
+    cut = split_hot(both, ["source_file"], order, hot_rows, sized_by=routed.filter(F.col("kind") == "match"))
+    told = running_last(cut.df, ["source_file"], order, {"__last": box}, False, hot_rows, cut).filter("is_end")
     declared = F.try_element_at(
         F.filter("results", lambda x: x["scope"] == MATCH_SCOPE), F.lit(1)
     )

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cardloom.plans import folders
 
+SHREDDING = "spark.sql.variant.writeShredding.enabled"
+
 _scopes: list[list[str]] = []
 
 
@@ -51,6 +53,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _whole_variants(spark: SparkSession) -> Iterator[None]:
+    """Write VARIANT values as they are: one cut into typed columns is put together again at every read."""
+    held = spark.conf.get(SHREDDING, None)
+    spark.conf.set(SHREDDING, "false")
+    try:
+        yield
+    finally:
+        if held is None:
+            spark.conf.unset(SHREDDING)
+        else:
+            spark.conf.set(SHREDDING, held)
+
+
 def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write a table that several jobs read, and read it back.
 
@@ -61,5 +77,6 @@ def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = new_folder(spark, name)
     if _scopes:
         _scopes[-1].append(path)
-    df.write.partitionBy(*partition_by).parquet(path)
+    with _whole_variants(spark):
+        df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

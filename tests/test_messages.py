@@ -97,3 +97,27 @@ def test_lines_of_a_stream_batch_are_put_in_order_in_bounded_memory(monkeypatch)
     lines = [(names[i % 2], (i * 7919) % 30_011, f"line {i} " + "x" * 200, False) for i in range(20_000)]
     got = blocks.in_order(iter(lines))
     assert iter(got) is got and list(got) == sorted(lines, key=lambda r: (blocks.name_order(r[0]), r[1]))
+
+
+def test_staged_variants_are_written_whole(spark):
+    """A value cut into typed columns would be put together again at every read."""
+    import pyarrow.parquet as pq
+
+    from cardloom.plans import staging
+
+    held = spark.conf.get(staging.SHREDDING)
+    rows = spark.range(50).selectExpr("id", "parse_json(concat('{\"a\":', id, ',\"b\":{\"c\":\"x\"}}')) AS v")
+    back = staging.stage(rows, "whole")
+    for file in back.inputFiles():
+        assert "typed_value" not in str(pq.ParquetFile(file.removeprefix("file://")).schema)
+    assert spark.conf.get(staging.SHREDDING) == held
+    assert sorted(r[0] for r in back.selectExpr("variant_get(v, '$.a', 'int')").collect()) == list(range(50))
+
+
+def test_a_key_counts_with_any_value(spark):
+    from cardloom.functions.variants import has
+
+    values = ["{}", "[]", "null", "0", '"x"', '{"b": 1}']
+    df = spark.createDataFrame([(f'{{"k": {v}}}',) for v in values] + [('{"j": 1}',), ("[1]",), ("3",)], "j string").selectExpr("parse_json(j) AS v")
+    got = [r[0] for r in df.select(has(F.col("v"), "k")).collect()]
+    assert got == [True] * len(values) + [False] * 3
