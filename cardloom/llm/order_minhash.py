@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K = 3
 L = 2
@@ -32,13 +33,19 @@ SKETCHES = 32
 # characters that are a piece each: scripts without spaces, and pictures
 SINGLE = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan")) + r"\p{So}"
 CUT_LETTERS = "gjkqvxzGJKQVXZ"  # not frequent inside words, frequent enough in codes
-_LETTER = rf"[\p{{L}}\p{{M}}&&[^{CUT_LETTERS}{SINGLE}]]"
-WORDS = rf"([{SINGLE}]|{_LETTER}+[{CUT_LETTERS}]?|[{CUT_LETTERS}]|[\p{{N}}&&[^0{SINGLE}]]+0?|0|[^\s\p{{L}}\p{{M}}\p{{N}}])"
+# Runs of letters below U+0100 and of digits have classes of their own, and of the others the scripts are asked
+# last: telling a script is a search. The possessive loops take no stack.
+_PLAIN = "".join(chr(i) for i in range(256) if chr(i).isalpha() and chr(i) not in CUT_LETTERS)
+_LETTERS = rf"(?:[{_PLAIN}]+|[\p{{L}}\p{{M}}&&[^{CUT_LETTERS}]&&[^{SINGLE}]]+)++"
+_DIGITS = rf"(?:[123456789]+|[\p{{N}}&&[^0]&&[^{SINGLE}]]+)++"
+# a piece in group 1, which white space may precede; no two choices begin alike, so their order is free
+WORDS = rf"\s?+({_LETTERS}[{CUT_LETTERS}]?|[{CUT_LETTERS}]|{_DIGITS}0?|0|[^\s\p{{L}}\p{{M}}\p{{N}}]|[{SINGLE}])"
 PLACE_BITS = 26
 HASH_BITS = 63 - PLACE_BITS
 _PLACE = (1 << PLACE_BITS) - 1
 _RING = 1 << HASH_BITS
 STRIDES = tuple(1 << b for b in range(PLACE_BITS - 1, -1, -1))
+_LONGS = T.ArrayType(T.LongType(), containsNull=False)  # sorted without boxing, as no entry is null
 
 
 def _ring(h: Column) -> Column:
@@ -56,7 +63,7 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str, k: int = K) -> Data
         F.sequence(F.lit(0), last),
         lambda i: F.shiftleft(_ring(F.xxhash64(*[F.get(word, i + j) for j in range(k)])), PLACE_BITS).bitwiseOR(i.cast("bigint")),
     )
-    df = df.withColumn(s, F.when(F.size(w) > 0, F.sort_array(kmers)).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn(s, F.when(F.size(w) > 0, F.sort_array(kmers)).otherwise(F.array().cast(_LONGS)))
     df = df.drop(w)
     sorted_ = F.col(s)
 
@@ -70,7 +77,8 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str, k: int = K) -> Data
 
     def occurrence(i: Column, x: Column) -> Column:
         climb = F.aggregate(F.col(t), F.lit(0), lambda r, b: F.when(same(i, x, r + b), r + b).otherwise(r))
-        return F.when(same(i, x, F.lit(1)), climb).otherwise(F.lit(0))
+        # most repeated k-mers occur twice, which needs no search
+        return F.when(~same(i, x, F.lit(1)), 0).when(~same(i, x, F.lit(2)), 1).otherwise(climb)
 
     df = df.withColumn(t, steps(F.size(s)))
     elements = F.transform(
