@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.shared import free_name
+from cardloom.llm.shared import small_batches, with_text
 
 SLICE_CHARS = 250_000  # characters counted at once in a task; longer texts are cut into overlapping slices
 BITS = 15
@@ -201,6 +201,7 @@ def drawn(rows: DataFrame, sizes: dict[str, int], per_lang: int) -> DataFrame:
 
 def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_lang: int = PER_LANG) -> Model:
     """Fit on all rows of ``docs``; pass only rows that may be learned from."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter("lang is not null")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()
@@ -229,10 +230,10 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", pe
     return model
 
 
-def _predict_batches(batches, model: Model):
+def _predict_batches(batches, model: Model, text: int, n_kept: int):
     for batch in batches:
         lang, score = [], []
-        for counts, n in ngram_counts(t.as_py() for t in batch.column(batch.num_columns - 1)):
+        for counts, n in ngram_counts(t.as_py() for t in batch.column(text)):
             if not n:
                 got = ("und", 1.0)
             elif not model.langs:
@@ -241,18 +242,19 @@ def _predict_batches(batches, model: Model):
                 got = model.predict(counts)
             lang.append(got[0])
             score.append(got[1])
-        kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-        names = batch.schema.names[:-1]
+        kept = [batch.column(i) for i in range(n_kept)]
+        names = batch.schema.names[:n_kept]
         yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with lang_pred and score; columns of these names are replaced."""
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    at_end = free_name(docs, "_text")
-    work = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias(at_end))
-    schema = work.drop(at_end).schema.add("lang_pred", "string").add("score", "double")
-    return work.mapInArrow(partial(_predict_batches, model=model), schema)
+    kept = docs.select(*[F.col(f"`{c}`") for c in rest])
+    schema = kept.schema[:].add("lang_pred", "string").add("score", "double")
+    work, text = with_text(docs, kept, text_col)
+    small_batches(docs.sparkSession)
+    return work.mapInArrow(partial(_predict_batches, model=model, text=text, n_kept=len(rest)), schema)
 
 
 def may_learn(docs: DataFrame, id_col: str = "doc_id"):

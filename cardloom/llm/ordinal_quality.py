@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.shared import free_name, mix, word_batches
+from cardloom.llm.shared import mix, small_batches, with_text, word_batches
 
 BITS = 18
 GRADES = 3
@@ -159,20 +159,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     return model
 
 
-def _score_batches(batches, model: Model):
+def _score_batches(batches, model: Model, text: int, n_kept: int):
     for batch in batches:
-        tails = [model.tails(at) for at in features(batch.column(batch.num_columns - 1).to_pylist())]
+        tails = [model.tails(at) for at in features(batch.column(text).to_pylist())]
         tails = np.array(tails).reshape(-1, 2)
-        kept = [batch.column(i) for i in range(batch.num_columns - 1)]
+        kept = [batch.column(i) for i in range(n_kept)]
         yield pa.RecordBatch.from_arrays(
-            [*kept, pa.array(tails.sum(axis=1)), pa.array(tails[:, 1])], [*batch.schema.names[:-1], "expected_grade", "tail_prob"]
+            [*kept, pa.array(tails.sum(axis=1)), pa.array(tails[:, 1])], [*batch.schema.names[:n_kept], "expected_grade", "tail_prob"]
         )
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with expected_grade and tail_prob; columns of these names are replaced."""
     rest = [c for c in docs.columns if c not in ("expected_grade", "tail_prob")]
-    at_end = free_name(docs, "_text")
-    work = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).alias(at_end))
-    schema = work.drop(at_end).schema.add("expected_grade", "double").add("tail_prob", "double")
-    return work.mapInArrow(partial(_score_batches, model=model), schema)
+    kept = docs.select(*[F.col(f"`{c}`") for c in rest])
+    schema = kept.schema[:].add("expected_grade", "double").add("tail_prob", "double")
+    work, text = with_text(docs, kept, text_col)
+    small_batches(docs.sparkSession)
+    return work.mapInArrow(partial(_score_batches, model=model, text=text, n_kept=len(rest)), schema)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_CHARS = 2_000_000  # characters hashed at once in a task; longer texts are cut between words
+BATCH_BYTES = 4 << 20  # of rows handed to a Python worker at once; a longer row is a batch by itself
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -52,6 +55,18 @@ def drop_staged(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of at most BATCH_BYTES between the JVM and Python, unless the session has smaller ones.
+
+    A batch is held several times, as it is written and read on both sides, next to the work on it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(\d+)([bkmgtp]?)i?b?", spark.conf.get(name).lower()).groups()
+    held = int(number) * 1024 ** "bkmgtp".index(unit or "b")
+    if held > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have: ``name``, with underscores added where it is taken."""
     taken = {c.lower() for c in df.columns}
@@ -60,6 +75,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_text(docs: DataFrame, kept: DataFrame, text_col: str) -> tuple[DataFrame, int]:
+    """``kept`` (columns of ``docs``) with the text, and its place: added at the end only where it is not among them."""
+    if kept.columns.count(text_col) == 1:
+        return kept, kept.columns.index(text_col)
+    names = [F.col(f"`{c}`") for c in kept.columns]
+    return docs.select(*names, F.col(text_col).alias(free_name(docs, "_text"))), len(names)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser: every input bit reaches every output bit. Keeps the input array."""
     x = x ^ (x >> np.uint64(30))

@@ -18,15 +18,15 @@ MIN_LANGUAGE_SCORE = 0.3  # below it no language stands out
 
 
 def carried(docs: DataFrame) -> DataFrame:
-    """(row, text): each row whole, so that no column of it meets one of an operator's."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    """(row): each row whole, so that no column of it meets one of an operator's; the text is ``row.text``."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters and those of which no language can be told."""
     learn = langid_ftrl.may_learn(docs)
     model = langid_ftrl.train(docs.filter(learn))
-    told = langid_ftrl.predict(carried(docs), model)
+    told = langid_ftrl.predict(carried(docs), model, "row.text")
     return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
 
 
@@ -34,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that probably miss the best grade (toxic, or of low quality)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = ordinal_quality.train(docs, labels)
-    scored = ordinal_quality.score(carried(docs), model)
+    scored = ordinal_quality.score(carried(docs), model, "row.text")
     return scored.filter(F.col("tail_prob") >= ordinal_quality.KEEP_TAIL).select("row.*")
 
 

@@ -461,3 +461,48 @@ def test_look_up_finds_captures_of_single_keys(spark, tmp_path):
             assert got == sorted((i, b) for i, u, b in rows if u == url)
     finally:
         W.BLOCK_LINES = old
+
+
+def test_pieces_of_any_script_and_length(spark):
+    """The pieces are those of the plain classes, and no run of letters or digits takes the stack."""
+    letter = rf"[\p{{L}}\p{{M}}&&[^{O.CUT_LETTERS}{O.SINGLE}]]"
+    plain = rf"([{O.SINGLE}]|{letter}+[{O.CUT_LETTERS}]?|[{O.CUT_LETTERS}]|[\p{{N}}&&[^0{O.SINGLE}]]+0?|0|[^\s\p{{L}}\p{{M}}\p{{N}}])"
+    r = random.Random(8)
+    odd = ["a", "g", "é", "з", "漢", "〇", "ก", "๑", "0", "10", "7٣", "½", "́", "😀", ".", " ", "\n\t ", " ", " " * 20, "xyz"]
+    texts = ["".join(r.choice(odd) for _ in range(r.randint(0, 60))) for _ in range(2000)] + ["aз" * 200_000, "з" * 200_000, "7٣" * 100_000, " " * 50_000 + "a" + " " * 50_000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    cut = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(1))
+    assert df.filter(cut(plain) != cut(O.WORDS)).count() == 0
+    # entries that can't be null are sorted without boxing
+    assert spark.range(1).select(F.array().cast(O._LONGS).alias("x")).schema["x"].dataType == T.ArrayType(T.LongType(), False)
+
+
+def test_batches_for_python_are_small(spark):
+    """A stage that carries whole rows through Python holds few of them at once, and each text once."""
+    from cardloom.llm import shared
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for value, small in (("64MB", False), ("5m", False), ("100k", True)):
+            spark.conf.set(name, value)
+            shared.small_batches(spark)
+            assert spark.conf.get(name) == (value if small else str(shared.BATCH_BYTES))
+        spark.conf.set(name, "64MB")
+        rows = spark.range(0, 8000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 400) AS text", "'en' AS lang")
+        told = G.predict(rows, G.train(rows.limit(0)))
+
+        def sizes(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+        assert told.count() == 8000
+        assert max(x.n for x in rows.mapInArrow(sizes, "n long").collect()) < 3000
+        whole, at = shared.with_text(rows, rows.select("doc_id", "text"), "text")
+        assert (whole.columns, at) == (["doc_id", "text"], 1)
+        nested, at = shared.with_text(rows.selectExpr("struct(*) AS row"), rows.selectExpr("struct(*) AS row").select("row"), "row.text")
+        assert (len(nested.columns), at) == (2, 1)
+    finally:
+        spark.conf.set(name, before)
