@@ -5,29 +5,38 @@ come out of order within the delay; rows behind the watermark are left out by Sp
 them. The state of a player holds the waiting events, what the session knows, and the last name of
 each deck. Event-time timers wake a player when an event is due, when a match has been silent for the
 time-out, and when names have expired, also without new events.
+
+Each call of the state is a message to the JVM and each cell a conversion, so the state of a player
+is one list of JSON texts of at most ``HELD`` entries, read and written once when the player is woken;
+events come as JSON and leave as such texts. A player's first timer of a batch takes all that is due.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from cardloom.operators.fold import UNKNOWN_DECK
 from cardloom.plans.sessions import COLUMNS, EVENTS, FIRST_STATE, TIMEOUT, micros
 
+HELD = 1_000  # entries of a text
 _FACTS = COLUMNS[3:]  # kind and its facts
-_WAITING = "us bigint, seq bigint, " + ", ".join(EVENTS.split(", ")[3:])
 _ADDED = (
     "in_match boolean, current_match string, current_deck_id string, current_deck_name string, own_team int, "
     "last_turn int, last_player_life int, last_opponent_life int"
 )
-OUTPUT = f"player_id string, us bigint, seq bigint, {', '.join(EVENTS.split(', ')[3:])}, {_ADDED}"
-_SESSION = (
-    "last_us bigint, in_match boolean, match_id string, deck_id string, deck_of string, name string, team int, "
-    "turn int, life int, other int"
-)
+_ADDED_NAMES = tuple(c.split()[0] for c in _ADDED.split(", "))
+_ROW = f"us bigint, seq bigint, {', '.join(EVENTS.split(', ')[3:])}, {_ADDED}"
+OUTPUT = "player_id string, rows string"
+# parts of a state: the session (a list like _NEW), names by deck ([deck, name, time] each), waiting events
+_STATE = "part string, entries string"
+SESSION, NAMES, WAITING = "session", "names", "waiting"
+# time of the last event, whether in a match, match, deck and its own name, the name chosen last, team, turn, life totals
 _NEW = (None, False, None, None, None, None, None, *FIRST_STATE)
 
 
@@ -38,97 +47,102 @@ def _known(name: str | None) -> bool:
 class Sessions(StatefulProcessor):
     def __init__(self, timeout_us: int | None, name_us: int | None):
         self.timeout_us, self.name_us = timeout_us, name_us
-        self.shape = Row(*(c.split()[0] for c in OUTPUT.split(", ")))
-        self.waiting_shape = ("us", "seq", *_FACTS)
+        self.shape = Row("player_id", "rows")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _WAITING)
-        self.session = handle.getValueState("session", _SESSION)
-        self.names = handle.getMapState("names", "deck_id string", "name string, us bigint")
+        self.state = handle.getListState("state", _STATE)
+        self.woken: set[str | None] = set()  # players taken up to the watermark of this batch
 
     def _wake_at(self, us: int) -> None:
         self.handle.registerTimer(-(-us // 1000))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        new = [tuple(r[c] for c in self.waiting_shape) for r in rows]
-        self.waiting.appendList(new)
-        self._wake_at(min(r[0] for r in new))
+        first = None
+        for piece in batched(rows, HELD):
+            _, _, times, events = zip(*piece, strict=True)
+            self.state.appendValue((WAITING, f"[{','.join(events)}]"))
+            first = min(times) if first is None else min(first, *times)
+        self._wake_at(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        if key[0] in self.woken:
+            return
+        self.woken.add(key[0])
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        held = list(self.waiting.get()) if self.waiting.exists() else []
-        due = sorted((r for r in held if r[0] <= upto), key=lambda r: r[:2])
-        rest = [r for r in held if r[0] > upto]
-        if due:
-            if rest:
-                self.waiting.put(rest)
-                self._wake_at(min(r[0] for r in rest))
-            else:
-                self.waiting.clear()
-        self.now = list(self.session.get()) if self.session.exists() else list(_NEW)
-        before = tuple(self.now)
-        for row in due:
-            yield from self._silence(key, row[0] - 1)
-            yield self._take(key, row)
-        yield from self._silence(key, upto)
-        if tuple(self.now) != before:
-            self.session.update(tuple(self.now))
+        held: dict[str, list] = {SESSION: [], NAMES: [], WAITING: []}
+        for part, entries in self.state.get():
+            held[part] += json.loads(entries)
+        due = [event for event in held[WAITING] if event["us"] <= upto]
+        rest = [event for event in held[WAITING] if event["us"] > upto]
+        due.sort(key=lambda event: (event["us"], event.get("seq")))
+        self.now = tuple(held[SESSION]) or _NEW
+        self.names = {deck_id: (name, us) for deck_id, name, us in held[NAMES]}
+        before, listed = self.now, dict(self.names)
+        for piece in batched(self._taken(due, upto), HELD):
+            yield self.shape(*key, json.dumps(piece))
+        self._forget(upto)
+        if due or self.now != before or self.names != listed:
+            names = [(deck_id, *known) for deck_id, known in self.names.items()]
+            parts = {SESSION: self.now, NAMES: names, WAITING: rest}
+            self.state.put([(part, json.dumps(piece)) for part, all_of in parts.items() for piece in batched(all_of, HELD)])
+        if due and rest:
+            self._wake_at(min(event["us"] for event in rest))
         if self.now[1] and self.timeout_us is not None:
             self._wake_at(self.now[0] + self.timeout_us)
-        self._forget(upto)
+        if self.name_us is not None:
+            for us in {known[1] for deck_id, known in self.names.items() if known != listed.get(deck_id)}:
+                self._wake_at(us + self.name_us + 1)
+
+    def _taken(self, due: Iterable[dict], upto: int) -> Iterator[dict]:
+        for event in due:
+            yield from self._silence(event["us"] - 1)
+            yield self._take(event)
+        yield from self._silence(upto)
 
-    def _silence(self, key, upto: int) -> Iterator[Row]:
+    def _silence(self, upto: int) -> Iterator[dict]:
         """Close a match whose time-out ends at ``upto`` or before."""
         last, in_match, match_id = self.now[:3]
         if self.timeout_us is None or not in_match or last + self.timeout_us > upto:
             return
-        facts = dict.fromkeys(_FACTS)
-        facts |= {"kind": TIMEOUT, "match_id": match_id}
-        yield self._take(key, (last + self.timeout_us, -1, *facts.values()))
+        yield self._take({"us": last + self.timeout_us, "seq": -1, "kind": TIMEOUT, "match_id": match_id})
 
-    def _take(self, key, row: tuple) -> Row:
+    def _take(self, event: dict) -> dict:
         """The row of an event; the session goes on behind it."""
-        us, seq, *facts = row
-        f = dict(zip(_FACTS, facts, strict=True))
-        kind = f["kind"]
-        if kind == "summary" and f["deck_id"] and f["deck_name"]:
-            self.names.updateValue((f["deck_id"],), (f["deck_name"], us))
-            if self.name_us is not None:
-                self._wake_at(us + self.name_us + 1)
-        if kind == "deck" and f["deck_id"] and not _known(f["deck_name"]) and self.names.containsKey((f["deck_id"],)):
-            name, since = self.names.getValue((f["deck_id"],))
+        us = event["us"]
+        kind, match, own_team, deck, deck_name, *state = map(event.get, _FACTS)
+        if kind == "summary" and deck and deck_name:
+            self.names[deck] = (deck_name, us)
+        if kind == "deck" and deck and not _known(deck_name) and deck in self.names:
+            told, since = self.names[deck]
             if self.name_us is None or us - since <= self.name_us:
-                f["deck_name"] = name
+                deck_name = told
         last, in_match, match_id, deck_id, deck_of, name, team, turn, life, other = self.now
-        out = self.shape(
-            *key, us, seq, *f.values(), in_match, match_id, deck_id, name or deck_of or None, team, turn, life, other
-        )
+        added = (in_match, match_id, deck_id, name or deck_of or None, team, turn, life, other)
+        out = event | {"deck_name": deck_name} | dict(zip(_ADDED_NAMES, added, strict=True))
         if kind == "match_start":
-            in_match, match_id, team = f["match_id"] is not None, f["match_id"], f["team"]
+            in_match, match_id, team = match is not None, match, own_team
             turn, life, other = FIRST_STATE
         elif kind in ("match_end", TIMEOUT):
             in_match, match_id, deck_id, deck_of, team = False, None, None, None, None
         elif kind == "deck":
-            deck_id, deck_of = f["deck_id"], f["deck_name"]
+            deck_id, deck_of = deck, deck_name
         elif kind == "state":
-            turn = f["turn"] if f["turn"] and f["turn"] > 0 else turn
-            life = f["player_life"] if f["player_life"] is not None else life
-            other = f["opponent_life"] if f["opponent_life"] is not None else other
-        if kind not in ("match_start", "match_end", TIMEOUT, "summary") and _known(f["deck_name"]):
-            name = f["deck_name"]
+            new_turn, new_life, new_other = state
+            turn = new_turn if new_turn and new_turn > 0 else turn
+            life = new_life if new_life is not None else life
+            other = new_other if new_other is not None else other
+        if kind not in ("match_start", "match_end", TIMEOUT, "summary") and _known(deck_name):
+            name = deck_name
         # a silence is no event: the time-out counts from the last real one
-        self.now = [last if kind == TIMEOUT else us, in_match, match_id, deck_id, deck_of, name, team, turn, life, other]
+        self.now = (last if kind == TIMEOUT else us, in_match, match_id, deck_id, deck_of, name, team, turn, life, other)
         return out
 
     def _forget(self, upto: int) -> None:
         """Drop names that no later deck may use."""
-        if self.name_us is None or not self.names.exists():
-            return
-        old = [k for k, (_, us) in list(self.names.iterator()) if us + self.name_us < upto]
-        for k in old:
-            self.names.removeKey(tuple(k))
+        if self.name_us is not None:
+            self.names = {k: v for k, v in self.names.items() if v[1] + self.name_us >= upto}
 
 
 def stream_sessions(
@@ -141,10 +155,14 @@ def stream_sessions(
 
     ``delay``: how late an event may come. Rows are given once the watermark has passed them.
     """
-    timed = events.withWatermark("at", delay).select(*COLUMNS, micros("at").alias("us"))
+    us = micros("at").alias("us")
+    timed = events.withWatermark("at", delay).select(  # "at" stays: by it Spark leaves out late rows
+        "player_id", "at", us, F.to_json(F.struct(us, *COLUMNS[2:])).alias("event")
+    )
     scaled = [None if s is None else s * 1_000_000 for s in (timeout_seconds, name_seconds)]
-    rows = timed.groupBy("player_id").transformWithState(
+    groups = timed.groupBy("player_id").transformWithState(
         statefulProcessor=Sessions(*scaled), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
     )
+    rows = groups.select("player_id", F.inline(F.from_json("rows", f"array<struct<{_ROW}>>", {"mode": "FAILFAST"})))
     at = "timestamp_micros(us) AS at"
-    return rows.selectExpr("player_id", at, *COLUMNS[2:], *(c.split()[0] for c in _ADDED.split(", ")))
+    return rows.selectExpr("player_id", at, *COLUMNS[2:], *_ADDED_NAMES)

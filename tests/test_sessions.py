@@ -1,12 +1,13 @@
 """Sessions on a stream equal those of the table."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from cardloom.plans.sessions import COLUMNS, EVENTS, sessions
-from cardloom.streaming.sessions import stream_sessions
+from cardloom.streaming.sessions import HELD, Sessions, stream_sessions
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -101,3 +102,76 @@ def test_hot_player_equals_the_plain_window(spark):
     plain, cut = (sessions(table(spark, rows), timeout_seconds=90, name_seconds=150, hot_rows=h) for h in (1000, 10))
     assert sorted(map(str, plain.collect())) == sorted(map(str, cut.collect()))
     assert sessions(table(spark, [])).collect() == []
+
+
+class Calls:
+    """A state handle that counts its messages; ``texts`` are those of the only list."""
+
+    def __init__(self):
+        self.count, self.texts, self.wakes = 0, [], []
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.count, self.wakes = self.count + 1, [*self.wakes, ms]
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.upto
+
+    def appendValue(self, value):  # noqa: N802
+        self.count, self.texts = self.count + 1, [*self.texts, value]
+
+    def put(self, values):
+        self.count, self.texts = self.count + 1, list(values)
+
+    def get(self):
+        self.count += 1
+        return iter(self.texts)
+
+
+@pytest.mark.parametrize("names", [None, 10_000])
+def test_calls_of_the_state_do_not_grow_with_events(names):
+    kinds = ("summary", "deck", "match_start", "state", "match_end")
+    event = lambda i: {"us": i * 1_000_000, "seq": i, "kind": kinds[i % 5], "deck_id": f"d{i // 5 % 7}"}
+    events = [event(i) | ({"deck_name": f"n{i}"} if i % 5 == 0 else {}) for i in range(2 * HELD + 500)]
+    told = []
+    for share in (5, 1):
+        calls, rows = Calls(), []
+        own = Sessions(None, names and names * 1_000_000)
+        own.init(calls)
+        here = events[:: -1 if share == 1 else 1][: len(events) // share]
+        own.handleInputRows(("p",), iter([("p", None, e["us"], json.dumps(e)) for e in here]), calls)
+        calls.upto = (len(events) - 100) * 1000
+        for _ in range(3):  # three timers of one batch
+            rows += [r for out in own.handleExpiredTimer(("p",), calls, None) for r in json.loads(out.rows)]
+        assert all(len(json.loads(text)) <= HELD for _, text in calls.texts)
+        told.append(calls.count - len(calls.wakes))
+        assert len(calls.wakes) <= 2 + 7  # an event, the rest, and each name that expires
+        due = sorted(e["seq"] for e in here if e["us"] <= calls.upto * 1000)
+        assert [r["seq"] for r in rows] == due
+        assert all(r["deck_name"] == f"n{r['seq'] - 1}" for r in rows if r["kind"] == "deck")
+    assert max(told) <= 8
+
+
+def test_long_batches_of_a_player_and_one_state_row_each(spark, tmp_path):
+    rows = [(p, at + 1, *r) for p, at, *r in history(players=2, steps=HELD + 200)]  # time 0 is behind the first watermark
+    end = max(r[1] for r in rows)
+    source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    placed = sorted(rows, key=lambda r: (r[1] % 7, r[0]))
+    for batch in (placed, [("zz", end + 100_000, 0, "name", *[None] * 7)]):
+        table(spark, batch).coalesce(1).write.mode("append").parquet(source)
+        events = spark.readStream.schema(table(spark, []).schema).parquet(source)
+        q = (
+            stream_sessions(events, delay="10 days").writeStream.format("parquet").option("checkpointLocation", check)
+            .option("path", out).trigger(availableNow=True).start()
+        )
+        assert q.awaitTermination(300)
+        assert q.exception() is None
+    table(spark, [("zz", end + 10_000_000, 1, "name", *[None] * 7)]).coalesce(1).write.mode("append").parquet(source)
+    q = stream_sessions(events, delay="10 days").writeStream.format("parquet").option("checkpointLocation", check)
+    q = q.option("path", out).trigger(availableNow=True).start()
+    assert q.awaitTermination(300)
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 3
+    got, want = spark.read.parquet(out).filter("player_id <> 'zz'"), sessions(table(spark, rows))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
