@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cardloom.operators import messages as M
 from cardloom.sources import growing
-from cardloom.streaming.blocks import stream_messages
+from cardloom.streaming.blocks import PIECE_ROWS, stream_messages
 
 A = "UTC_Log - 03-01-2024 10.00.00.log"
 B = "UTC_Log - 03-02-2024 09.30.00.log"
@@ -133,6 +133,16 @@ def test_a_block_cut_at_every_place_equals_the_batch(spark, tmp_path):
         assert got == want, i
 
 
+def test_many_messages_of_a_key_come_whole(spark, tmp_path):
+    """More than one table of messages leaves Python; blocks lie over the borders."""
+    log = Lines(spark, tmp_path, stream_messages, startingOffsets="earliest")
+    n = 2 * PIECE_ROWS + 7
+    log.write(A, "".join(f'{{"k": {i}}}\n==> T {{\n"k": {i + 1}}}\n' for i in range(0, n, 2)))
+    log.look()
+    got = log.rows("line_no", F.expr("try_variant_get(payload, '$.k', 'int')"))
+    assert [k for _, k in got] == list(range(n + 1))
+
+
 def test_places_grow_when_a_file_is_read_anew(spark, tmp_path):
     log = Lines(spark, tmp_path, stream_messages, startingOffsets="earliest")
     log.write(A, '{"k": 1}\n==> T {\n"k":\n')

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,54 @@ def test_lines_of_a_stream_batch_are_put_in_order_in_bounded_memory(monkeypatch)
     assert iter(got) is got and list(got) == sorted(lines, key=lambda r: (blocks.name_order(r[0]), r[1]))
 
 
+class Held:
+    """State of one key, and the handle that gives it."""
+
+    value = None
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_messages_of_a_stream_batch_leave_in_tables_of_bounded_size():
+    """Many messages of a key, and few long ones: all come in order, and no table holds them all."""
+    from cardloom.streaming import blocks
+
+    many = [f'{{"k": {i}}}' for i in range(2 * blocks.PIECE_ROWS + 5)]
+    long = [f'{{"k": "{i}{"x" * (blocks.PIECE_CHARS // 4)}"}}' for i in range(5)]
+    for texts, sizes in ((many, [blocks.PIECE_ROWS, blocks.PIECE_ROWS, 5]), (long, [2, 2, 1])):
+        held = Held()
+        processor = blocks.OpenBlocks(("player_id",))
+        processor.init(held)
+        rows = [("UTC_Log - 03-02-2024 09.30.00.log", i, x, False) for i, x in enumerate(texts)]
+        tables = (pd.DataFrame(rows[i : i + 3000], columns=["source_file", "line_no", "line", "reset"]) for i in range(0, len(rows), 3000))
+        found = []
+        for table in processor.handleInputRows((None,), tables, None):
+            assert list(table.columns) == ["player_id", "line_no", "line", "text"]
+            found.append(table)
+        assert [len(t) for t in found] == sizes and held.value[4] == len(texts) - 1
+        whole = pd.concat(found)
+        assert whole["line_no"].tolist() == list(range(len(texts))) and whole["text"].tolist() == texts
+        assert whole["player_id"].isna().all()
+
+
+def test_a_line_of_a_stream_without_a_place_is_an_error():
+    from cardloom.streaming import blocks
+
+    table = pd.DataFrame({"source_file": ["f", "f"], "line_no": [1, None], "line": ["{}", "{}"], "reset": [False, None]})
+    with pytest.raises((TypeError, ValueError)):
+        list(blocks.lines_of(iter([table])))
+
+
 def test_staged_variants_are_written_whole(spark):
     """A value cut into typed columns would be put together again at every read."""
     import pyarrow.parquet as pq
